@@ -1,7 +1,8 @@
 """The factor library: 96 technical columns per entity and day.
 
-Columns are added in stages that share one window specification, so each
-entity is sorted once and unused factors are pruned from the plan.
+Columns are added in stages: exponential means first, while rows are narrow,
+then windows that all share one specification. One shuffle by entity serves
+every stage, and unused factors are pruned from the plan.
 """
 
 from __future__ import annotations
@@ -21,7 +22,17 @@ def technical_factors(bars: DataFrame) -> DataFrame:
 
 def market_state(bars: DataFrame) -> DataFrame:
     c = F.col
-    df = bars.withColumns(
+    df = R.number_rows(bars.withColumns(R.gains_and_losses()))
+    df = R.smooth(
+        df,
+        {f"ema{n}": ("close", n) for n in SPANS}
+        | {"_fast": ("close", 12), "_slow": ("close", 26)}
+        | R.rsi_specs((14, 5)),
+    )
+    df = df.withColumns({"macd_dif": c("_fast") - c("_slow"), **R.rsi_values((14, 5))})
+    df = R.smooth(df, {"macd_dea": ("macd_dif", 9)}).drop("_row", "_block", "_closes", "_fast", "_slow", "_gain", "_loss", *R.rsi_specs((14, 5)))
+
+    df = df.withColumns(
         {
             "_cf": R.forward_fill("close"),
             "_vf": R.forward_fill("volume"),
@@ -77,10 +88,6 @@ def market_state(bars: DataFrame) -> DataFrame:
             **{f"ma{n}_slope": R.pct_change(f"_maf{n}") for n in SPANS},
         }
     )
-    df = R.with_ema(df, {f"ema{n}": ("close", n) for n in SPANS})
-    df = R.with_rsi(df, (14, 5))
-    df = R.with_macd(df)
-
     top = F.when(c("close") >= c("open"), c("close")).otherwise(c("open"))
     bottom = F.when(c("close") >= c("open"), c("open")).otherwise(c("close"))
     band_low, band_high = c("ma20") - 2.0 * c("_std_close20"), c("ma20") + 2.0 * c("_std_close20")
@@ -94,6 +101,7 @@ def market_state(bars: DataFrame) -> DataFrame:
     )
     derived = {
         "ret_abs": F.abs("ret"),
+        "macd_hist": c("macd_dif") - c("macd_dea"),
         "pvo": over(c("close") - c("ema5"), "_ma20v"),
         "sse": over(c("_hi20") - c("_lo20"), "_ma20v"),
         "gap": over(c("open") - c("prev_close"), "prev_close"),

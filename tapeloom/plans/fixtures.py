@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.config import Selection
 from tapeloom.functions import rolling as R
 from tapeloom.functions.scalars import finite
 from tapeloom.operators.calendar import week_ends
 from tapeloom.operators.labels import weekly_labels
-from tapeloom.sources.bars import brand_bars, calendar_days
+from tapeloom.operators.selection import daily_positions, rebalance_plan, select_names
+from tapeloom.sources.bars import brand_bars, brand_groups, calendar_days, index_bars
+from tapeloom.sources.upsert import dimension_ids
 
 
 def weeks(spark: SparkSession, root: str) -> DataFrame:
@@ -32,3 +35,36 @@ def scored_returns(spark: SparkSession, root: str) -> DataFrame:
     """``date, entity, score, ret`` for scored names that have a label."""
     ret = labels(spark, root).withColumnsRenamed({"sample_date": "date", "next_week_return": "ret"})
     return scores(spark, root).join(ret, ["date", "entity"])
+
+
+PICK = Selection(top_pct=0.4, max_n=7, min_n=3, rebalance_every=2)
+
+
+def picked(spark: SparkSession, root: str, cfg: Selection = PICK) -> DataFrame:
+    return select_names(scores(spark, root), cfg)
+
+
+def positions(spark: SparkSession, root: str, cfg: Selection = PICK) -> DataFrame:
+    """Daily positions from momentum scores, rebalanced every other week."""
+    scored = scores(spark, root)
+    chosen = select_names(scored, cfg)
+    plan = rebalance_plan(scored, chosen, cfg.rebalance_every)
+    return daily_positions(chosen, plan, scored, calendar_days(spark, root))
+
+
+def index_returns(spark: SparkSession, root: str) -> DataFrame:
+    """Daily returns of the three index series, keyed by ``series_id``."""
+    return index_bars(spark, root).where("prev_close IS NOT NULL").select(
+        F.col("entity").alias("series_id"), "date", (F.col("close") / F.col("prev_close") - 1).alias("ret")
+    )
+
+
+def industry_ids(spark: SparkSession, root: str) -> DataFrame:
+    groups = brand_groups(spark, root).withColumnRenamed("sector", "name")
+    return dimension_ids(groups).select("entity", "id")
+
+
+def market_caps(spark: SparkSession, root: str) -> DataFrame:
+    """Turnover of the last twenty bars, standing in for market cap."""
+    bars = brand_bars(spark, root)
+    return bars.select("entity", "date", F.round(R.rolling_sum("total_turnover", 20), 4).alias("market_cap"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeloom.config import WalkForward
 from tapeloom.fixed_values import FACTOR_COLUMNS, SPANS
 from tapeloom.functions import rolling as R
-from tapeloom.functions.scalars import safe_div
+from tapeloom.functions.scalars import finite, safe_div
 from tapeloom.operators import calendar as C
 from tapeloom.operators.factors import in_contract_order, market_state, technical_factors
 from tapeloom.plans import sqltext as S
@@ -225,8 +225,8 @@ def kurtosis(spark, root):
 @query("d6_rolling_corr", S.with_base(final(
     f"SELECT entity, date, {S.corr('close', 'volume')} AS corr20 FROM sbars", "entity, date", "corr20", 6)))
 def corr(spark, root):
-    bars = supplier_bars(spark, root)
-    return report(bars.select("entity", "date", R.rolling_corr("close", "volume", 20).alias("corr20")), 6)
+    bars = supplier_bars(spark, root).select("entity", "date", R.rolling_corr("close", "volume", 20).alias("corr20"))
+    return report(bars.withColumn("corr20", finite("corr20")), 6)
 
 
 @query("d7_rolling_zscore", S.with_base(final(
@@ -338,7 +338,10 @@ for _name, (_columns, _digits) in FACTOR_GROUPS.items():
     factor_query(_name, _columns, _digits)
 
 
-@query("e28_all_factors", S.with_base(final("allfac", "entity, date", FACTOR_COLUMNS, 5), *S.FACTORS, *S.SMOOTH,
+FINE = {c: d for columns, d in FACTOR_GROUPS.values() for c in columns if d < 7}
+
+
+@query("e28_all_factors", S.with_base(final("allfac", "entity, date", FACTOR_COLUMNS, 7, **FINE), *S.FACTORS, *S.SMOOTH,
                                       S.all_factors_relation(), recursive=True))
 def all_factors(spark, root):
-    return report(in_contract_order(technical_factors(brand_bars(spark, root))), 5)
+    return report(in_contract_order(technical_factors(brand_bars(spark, root))), 7, **FINE)

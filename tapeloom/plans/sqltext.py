@@ -20,10 +20,7 @@ def ok(e: str) -> str:
 
 
 def corr(a: str, b: str, n: int = 20) -> str:
-    frame = f"OVER ({O} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    sa = f"stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) {frame}"
-    sb = f"stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END) {frame}"
-    return f"CASE WHEN {sa} > 1e-12 AND {sb} > 1e-12 THEN corr({a}, {b}) {frame} END"
+    return ok(f"corr({a}, {b}) OVER ({O} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)")
 
 
 def moment(fn: str, c: str, least: int, n: int = 20) -> str:
@@ -185,3 +182,57 @@ labels_ AS (SELECT f0 AS sample_date, a.entity, b.close / a.open - 1 AS next_wee
 SCORES = f"""
 sc0 AS (SELECT entity, date, close / {lag('close', 20)} - 1 AS score FROM bars),
 scores AS (SELECT sc0.* FROM sc0 JOIN weeks ON weeks.date = sc0.date WHERE score IS NOT NULL)"""
+
+CAPS = f"""
+caps AS (SELECT entity, date, round(sum(total_turnover) OVER ({O} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS market_cap
+         FROM bars)"""
+
+IDS = """
+ids AS (SELECT entity, dense_rank() OVER (ORDER BY sector) - 1 AS id FROM groups)"""
+
+PICKED = """
+sel0 AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, entity) AS rn,
+           count(*) OVER (PARTITION BY date) AS n FROM scores),
+sel1 AS (SELECT *, least(floor(n * CAST(0.4 AS DOUBLE)), 7) AS k FROM sel0),
+sel2 AS (SELECT * FROM sel1 WHERE rn <= CASE WHEN k <= 0 AND n >= 3 THEN least(3, n) ELSE k END),
+picked AS (SELECT date, entity, score, CAST(1 AS DOUBLE) / m AS weight FROM (
+           SELECT *, count(*) OVER (PARTITION BY date) AS m FROM sel2) WHERE m >= 3)"""
+
+POSITIONS = """
+sw AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, lead(date) OVER (ORDER BY date) AS nxt,
+         date IN (SELECT date FROM picked) AS has FROM (SELECT DISTINCT date FROM scores)),
+sw2 AS (SELECT *, last_value(CASE WHEN i % 2 = 0 AND has THEN date END IGNORE NULLS) OVER (ORDER BY date) AS pick_date FROM sw),
+plan AS (SELECT *, coalesce(last_value(CASE WHEN i % 2 = 0 AND pick_date IS NOT NULL THEN date END IGNORE NULLS)
+         OVER (ORDER BY date), date) AS signal_date FROM sw2),
+positions AS (SELECT c.next_date AS date, p.entity, p.weight, p.score, plan.signal_date
+       FROM plan JOIN cal c ON c.date >= plan.date AND (plan.nxt IS NULL OR c.date < plan.nxt)
+       JOIN picked p ON p.date = plan.pick_date WHERE c.next_date IS NOT NULL)"""
+
+MOVES = """
+md AS (SELECT date, row_number() OVER (ORDER BY date) AS ord, lag(date) OVER (ORDER BY date) AS prev_date
+       FROM (SELECT DISTINCT date FROM positions) WHERE date IN (SELECT date FROM bars)),
+dense AS (SELECT e.entity, md.date, md.prev_date, md.ord, coalesce(p.weight, 0) AS weight,
+         coalesce(lag(p.weight) OVER (PARTITION BY e.entity ORDER BY md.date), 0) AS prev_weight
+       FROM (SELECT DISTINCT entity FROM positions) e CROSS JOIN md
+       LEFT JOIN positions p ON p.entity = e.entity AND p.date = md.date),
+moves AS (SELECT d.*, a.open, a.high, a.low, a.close, b.close AS prev_close,
+         CASE WHEN prev_weight = 0 THEN 'add' WHEN weight <> 0 THEN 'keep' ELSE 'reduce' END AS path
+       FROM dense d LEFT JOIN bars a ON a.entity = d.entity AND a.date = d.date
+       LEFT JOIN bars b ON b.entity = d.entity AND b.date = d.prev_date WHERE weight <> 0 OR prev_weight <> 0),
+stock_rets AS (SELECT date, entity, path, w AS weight, r AS ret, w * r AS contribution FROM (SELECT *,
+         CASE WHEN path = 'reduce' THEN prev_weight ELSE weight END AS w,
+         CASE path WHEN 'add' THEN close / (open * CAST(1.0015 AS DOUBLE)) - 1 WHEN 'keep' THEN close / prev_close - 1
+              ELSE open * CAST(0.998 AS DOUBLE) / prev_close - 1 END AS r FROM moves)),
+daily AS (SELECT date, coalesce(sum(contribution), 0) AS ret_total,
+         count(*) FILTER (path IN ('add', 'keep')) AS n_long FROM stock_rets GROUP BY date),
+navs AS (SELECT date, ret_total, n_long, product(1 + ret_total) OVER (ORDER BY date) AS nav FROM daily),
+runs AS (SELECT *, sum(CASE WHEN path = 'add' THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY ord) AS run FROM moves),
+tlog AS (SELECT date, entity, CASE path WHEN 'add' THEN 'BUY' ELSE 'SELL' END AS action,
+         first_value(open) OVER (PARTITION BY entity, run ORDER BY ord) AS entry_price,
+         CASE path WHEN 'add' THEN open * CAST(1.0015 AS DOUBLE) ELSE open * CAST(0.998 AS DOUBLE) END AS exec_price,
+         path FROM runs)"""
+
+BOOK = (SCORES, PICKED, POSITIONS, MOVES)
+
+INDEX_RETURNS = """
+ir AS (SELECT entity AS series_id, date, close / prev_close - 1 AS ret FROM ibars WHERE prev_close IS NOT NULL)"""
