@@ -50,12 +50,53 @@ def value_counts_before(df: DataFrame, by: Sequence[str], value: str, pieces: in
     )
 
 
-def with_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Ascending rank inside the group, ties averaged; NULL values get no rank."""
-    ranks = value_counts_before(df, by, value).select(
-        *by, value, (F.col("below") + (F.col("n") + 1) / 2).alias(out)
+def _long_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    return df.select(*keys, *columns).unpivot(list(keys), list(columns), "_name", "_value").where("_value IS NOT NULL")
+
+
+def _wide_values(long: DataFrame, keys: Sequence[str], outs: Mapping[str, str]) -> DataFrame:
+    picks = [F.max(F.when(F.col("_name") == c, F.col("_place"))).alias(out) for c, out in outs.items()]
+    return long.groupBy(*keys).agg(*picks)
+
+
+def ranks(df: DataFrame, by: Sequence[str], key: str, outs: Mapping[str, str]) -> DataFrame:
+    """Ascending group ranks with averaged ties: one row per group and key, ``{column: rank name}``.
+
+    All columns go through one long table, so they are ranked by the same jobs.
+    """
+    long = _long_values(df, [*by, key], list(outs))
+    placed = value_counts_before(long, [*by, "_name"], "_value").select(
+        *by, "_name", "_value", (F.col("below") + (F.col("n") + 1) / 2).alias("_place")
+    )
+    return _wide_values(long.join(placed, [*by, "_name", "_value"]), [*by, key], outs)
+
+
+def positions_of(df: DataFrame, by: Sequence[str], key: str, outs: Mapping[str, str], pieces: int = PIECES) -> DataFrame:
+    """Group positions 1..n without shared places; ties are ordered by the hash of ``key``.
+
+    The value range is cut at approximate quantiles. A value that is itself a
+    cut may hold many rows, so its rows are cut again by their leading hash
+    digits; pieces stay in order, and each is numbered on its own.
+    """
+    group = [*by, "_name"]
+    long = _long_values(df, [*by, key], list(outs)).withColumn("_hash", F.md5(F.col(key).cast("string")))
+    shares = [i / pieces for i in range(1, pieces)]
+    cuts = long.groupBy(*group).agg(F.percentile_approx("_value", shares, 1000).alias("_cuts"))
+    heavy = F.array_contains("_cuts", F.col("_value"))
+    cut = long.join(cuts, group).withColumns(
+        {
+            "_piece": F.size(F.filter("_cuts", lambda c: c < F.col("_value"))),
+            "_part": F.when(heavy, F.concat(F.lit("+"), F.substring("_hash", 1, 2))).otherwise(F.lit("")),
+        }
+    ).drop("_cuts")
+    totals = cut.groupBy(*group, "_piece", "_part").agg(F.count(F.lit(1)).alias("_in"))
+    chain = Window.partitionBy(*group).orderBy("_piece", "_part")
+    starts = totals.select(*group, "_piece", "_part", (F.sum("_in").over(chain) - F.col("_in")).alias("_start"))
+    inside = Window.partitionBy(*group, "_piece", "_part").orderBy("_value", "_hash", key)
+    placed = cut.join(starts, [*group, "_piece", "_part"]).withColumn(
+        "_place", (F.col("_start") + F.row_number().over(inside)).cast("double")
     )
-    return df.join(ranks, [*by, value], "left")
+    return _wide_values(placed, [*by, key], outs)
 
 
 def with_quantiles(df: DataFrame, by: Sequence[str], value: str, outs: Mapping[str, float]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import finite
 from tapeloom.operators.calendar import align_series
-from tapeloom.operators.crosssection import attach, value_counts_before, with_rank
+from tapeloom.operators.crosssection import attach, positions_of, ranks
 
 SERIES = ("series_id",)
 
@@ -35,7 +35,7 @@ def rank_ic(scores: DataFrame, returns: DataFrame, min_names: int = 5) -> DataFr
         returns.select(F.col("sample_date").alias("date"), "entity", F.col("next_week_return").alias("ret")),
         ["date", "entity"],
     ).where("score IS NOT NULL AND ret IS NOT NULL")
-    ranked = with_rank(with_rank(pairs, ["date"], "score", "_rs"), ["date"], "ret", "_rr")
+    ranked = ranks(pairs, ["date"], "entity", {"score": "_rs", "ret": "_rr"})
     return (
         ranked.groupBy("date")
         .agg(
@@ -48,34 +48,13 @@ def rank_ic(scores: DataFrame, returns: DataFrame, min_names: int = 5) -> DataFr
 
 def rank_ic_ordinal(df: DataFrame, pred: str = "score", target: str = "ret", by: Sequence[str] = ("date",)) -> DataFrame:
     """Rank correlation of positions (no shared ranks); 0 for fewer than two names."""
-    ranked = _ordinal(_ordinal(df, by, pred, "_p"), by, target, "_t")
+    ranked = positions_of(df, by, "entity", {pred: "_p", target: "_t"})
     return ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.when(F.count(F.lit(1)) >= 2, finite(F.corr("_p", "_t"))), F.lit(0.0)).alias("rank_ic"),
     )
 
 
-def _ordinal(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Position inside the group; a tie is broken by the hash of the entity.
-
-    Tied rows are cut by the first hash digits, so even a tie that holds most
-    of a group is spread over many tasks.
-    """
-    keys = [*by, value]
-    counts = value_counts_before(df, by, value).select(*keys, "below", "n")
-    joined = df.join(counts, keys)
-    alone = joined.where("n = 1").withColumn(out, (F.col("below") + 1).cast("double"))
-    tied = joined.where("n > 1").withColumn("_h", F.md5("entity")).withColumn("_cut", F.substring("_h", 1, 2))
-    totals = tied.groupBy(*keys, "_cut").agg(F.count(F.lit(1)).alias("_in"))
-    chain = Window.partitionBy(*keys).orderBy("_cut")
-    starts = totals.select(*keys, "_cut", (F.sum("_in").over(chain) - F.col("_in")).alias("_start"))
-    inside = Window.partitionBy(*keys, "_cut").orderBy("_h", "entity")
-    spread = tied.join(starts, [*keys, "_cut"]).withColumn(
-        out, (F.col("below") + F.col("_start") + F.row_number().over(inside)).cast("double")
-    )
-    return alone.unionByName(spread.drop("_h", "_cut", "_start")).drop("below", "n")
-
-
 def pearson_ic(df: DataFrame, pred: str = "score", target: str = "ret", by: Sequence[str] = ("date",)) -> DataFrame:
     moves = (F.var_pop(pred) > 1e-12) & (F.var_pop(target) > 1e-12)
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(moves, F.corr(pred, target)).alias("ic"))

@@ -1,36 +1,85 @@
-"""Panels and derived inputs shared by the registered queries."""
+"""Panels and derived inputs shared by the registered queries.
+
+The stages of the pipeline hand over stored tables: bars, labels, scores and
+positions are written once per session under the shared checkpoint folder and
+read back, so a plan that needs bars in five places scans five columns of a
+parquet file and does not aggregate the order lines five times.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.config import Selection
+from tapeloom.config import Costs, Selection
 from tapeloom.functions import rolling as R
 from tapeloom.functions.scalars import finite
+from tapeloom.operators import simulate as M
 from tapeloom.operators.calendar import week_ends
+from tapeloom.operators.factors import technical_factors
 from tapeloom.operators.labels import weekly_labels
+from tapeloom.operators.samples import tail_windows
 from tapeloom.operators.selection import daily_positions, rebalance_plan, select_names
-from tapeloom.sources.bars import brand_bars, brand_groups, calendar_days, index_bars
+from tapeloom.session import shared_dir
+from tapeloom.sources import bars as B
 from tapeloom.sources.upsert import dimension_ids
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def stored(name: str) -> Callable:
+    """Write the decorated table once per session and input folder, then read it back."""
+
+    def wrap(build: Callable[[SparkSession, str], DataFrame]):
+        def load(spark: SparkSession, root: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, root, name)
+            if key not in _WRITTEN:
+                place = hashlib.md5(root.encode()).hexdigest()[:12]
+                path = f"{shared_dir(spark)}/{key[0]}/{place}/{name}"
+                build(spark, root).write.mode("overwrite").parquet(path)
+                _WRITTEN[key] = path
+            return spark.read.parquet(_WRITTEN[key])
+
+        return load
+
+    return wrap
 
+
+def forget() -> None:
+    """Make the next use write every table again."""
+    _WRITTEN.clear()
+
+
+bars = stored("bars")(B.brand_bars)
+thin_bars = stored("thin_bars")(B.supplier_bars)
+indices = stored("indices")(B.index_bars)
+calendar = stored("calendar")(B.calendar_days)
+
+
+@stored("weeks")
 def weeks(spark: SparkSession, root: str) -> DataFrame:
-    return week_ends(calendar_days(spark, root))
+    return week_ends(calendar(spark, root))
 
 
+@stored("scores")
 def scores(spark: SparkSession, root: str) -> DataFrame:
     """Twenty-row momentum of the close on week-end dates."""
-    bars = brand_bars(spark, root)
-    momentum = bars.select("entity", "date", finite(F.col("close") / R.shifted("close", 20) - 1).alias("score"))
+    momentum = bars(spark, root).select(
+        "entity", "date", finite(F.col("close") / R.shifted("close", 20) - 1).alias("score")
+    )
     ends = weeks(spark, root).select("date")
     return momentum.where("score IS NOT NULL").join(ends, "date", "left_semi").select("date", "entity", "score")
 
 
+@stored("labels")
 def labels(spark: SparkSession, root: str) -> DataFrame:
-    return weekly_labels(brand_bars(spark, root), weeks(spark, root))
+    return weekly_labels(bars(spark, root), weeks(spark, root))
 
 
+@stored("scored_returns")
 def scored_returns(spark: SparkSession, root: str) -> DataFrame:
     """``date, entity, score, ret`` for scored names that have a label."""
     ret = labels(spark, root).withColumnsRenamed({"sample_date": "date", "next_week_return": "ret"})
@@ -38,33 +87,64 @@ def scored_returns(spark: SparkSession, root: str) -> DataFrame:
 
 
 PICK = Selection(top_pct=0.4, max_n=7, min_n=3, rebalance_every=2)
+COSTS = Costs()
 
 
 def picked(spark: SparkSession, root: str, cfg: Selection = PICK) -> DataFrame:
     return select_names(scores(spark, root), cfg)
 
 
-def positions(spark: SparkSession, root: str, cfg: Selection = PICK) -> DataFrame:
+@stored("positions")
+def positions(spark: SparkSession, root: str) -> DataFrame:
     """Daily positions from momentum scores, rebalanced every other week."""
     scored = scores(spark, root)
-    chosen = select_names(scored, cfg)
-    plan = rebalance_plan(scored, chosen, cfg.rebalance_every)
-    return daily_positions(chosen, plan, scored, calendar_days(spark, root))
+    chosen = select_names(scored, PICK)
+    plan = rebalance_plan(scored, chosen, PICK.rebalance_every)
+    return daily_positions(chosen, plan, scored, calendar(spark, root))
+
+
+@stored("moves")
+def moves(spark: SparkSession, root: str) -> DataFrame:
+    return M.transitions(positions(spark, root), bars(spark, root))
+
+
+def stock_returns(spark: SparkSession, root: str) -> DataFrame:
+    return M.stock_returns(moves(spark, root), COSTS)
+
+
+@stored("nav")
+def nav(spark: SparkSession, root: str) -> DataFrame:
+    return M.daily_nav(stock_returns(spark, root))
+
+
+def trades(spark: SparkSession, root: str) -> DataFrame:
+    return M.trade_log(moves(spark, root), COSTS)
 
 
 def index_returns(spark: SparkSession, root: str) -> DataFrame:
     """Daily returns of the three index series, keyed by ``series_id``."""
-    return index_bars(spark, root).where("prev_close IS NOT NULL").select(
+    return indices(spark, root).where("prev_close IS NOT NULL").select(
         F.col("entity").alias("series_id"), "date", (F.col("close") / F.col("prev_close") - 1).alias("ret")
     )
 
 
 def industry_ids(spark: SparkSession, root: str) -> DataFrame:
-    groups = brand_groups(spark, root).withColumnRenamed("sector", "name")
+    groups = B.brand_groups(spark, root).withColumnRenamed("sector", "name")
     return dimension_ids(groups).select("entity", "id")
 
 
 def market_caps(spark: SparkSession, root: str) -> DataFrame:
     """Turnover of the last twenty bars, standing in for market cap."""
-    bars = brand_bars(spark, root)
-    return bars.select("entity", "date", F.round(R.rolling_sum("total_turnover", 20), 4).alias("market_cap"))
+    return bars(spark, root).select(
+        "entity", "date", F.round(R.rolling_sum("total_turnover", 20), 4).alias("market_cap")
+    )
+
+
+WINDOW_FACTORS = ["mom20", "ret_std20", "price_pos_20"]
+
+
+@stored("factor_windows")
+def factor_windows(spark: SparkSession, root: str) -> DataFrame:
+    """Fifty-row windows of three factors at every week end."""
+    panel = technical_factors(bars(spark, root)).select("entity", "date", *WINDOW_FACTORS)
+    return tail_windows(panel, weeks(spark, root), WINDOW_FACTORS)

@@ -10,29 +10,23 @@ from tapeloom.functions import rolling as R
 from tapeloom.functions.scalars import finite, safe_div
 from tapeloom.operators import calendar as C
 from tapeloom.operators.factors import in_contract_order, market_state, technical_factors
+from tapeloom.plans import fixtures as fx
 from tapeloom.plans import sqltext as S
-from tapeloom.plans.fixtures import labels, weeks
 from tapeloom.plans.registry import final, query, report
-from tapeloom.sources.bars import (
-    brand_bars,
-    calendar_days,
-    index_bars,
-    supplier_bars,
-    table,
-)
+from tapeloom.sources.bars import table
 
 # ---------------------------------------------------------------- calendar
 
 
 @query("b1_week_ends", S.with_base("SELECT date, week_ord, next_week_end FROM weeks"))
 def week_end_table(spark, root):
-    return weeks(spark, root)
+    return fx.weeks(spark, root)
 
 
 @query("b2_gap_week_ends", S.with_base("""
 SELECT date, next_date IS NULL AS is_last FROM cal WHERE next_date IS NULL OR next_date - date > 1"""))
 def gap_weeks(spark, root):
-    cal = calendar_days(spark, root)
+    cal = fx.calendar(spark, root)
     inner = C.gap_week_ends(cal).withColumn("is_last", F.lit(False))
     with_tail = C.gap_week_ends(cal, include_last=True)
     return with_tail.join(inner, "date", "left").withColumn("is_last", F.col("is_last").isNull())
@@ -43,7 +37,7 @@ SELECT d.date, (SELECT min(c.date) FROM cal c WHERE c.date > d.date) AS next_tra
 FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) d"""))
 def next_day(spark, root):
     asked = table(spark, root, "orders").select(F.col("o_orderdate").cast("date").alias("date"))
-    return C.next_trading_day(asked, calendar_days(spark, root))
+    return C.next_trading_day(asked, fx.calendar(spark, root))
 
 
 @query("b4_align_to_last_available", S.with_base("""
@@ -51,7 +45,7 @@ SELECT * FROM (SELECT d.date, (SELECT max(c.date) FROM cal c WHERE c.date <= d.d
 FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) d) WHERE aligned IS NOT NULL"""))
 def align(spark, root):
     asked = table(spark, root, "orders").select(F.col("o_orderdate").cast("date").alias("date"))
-    return C.align_dates(asked, calendar_days(spark, root))
+    return C.align_dates(asked, fx.calendar(spark, root))
 
 
 @query("b5_as_of_row", S.with_base("""
@@ -61,8 +55,8 @@ SELECT p.date, p.picked, reg.close AS index_close FROM (
 reg AS (SELECT i.date, i.close FROM ibars i JOIN weeks w ON w.date = i.date WHERE i.entity = 'A' AND week_ord % 52 = 10)"""))
 def as_of_row(spark, root):
     asked = table(spark, root, "orders").select(F.col("o_orderdate").cast("date").alias("date"))
-    yearly = weeks(spark, root).where("week_ord % 52 = 10").select("date")
-    registry = index_bars(spark, root).where("entity = 'A'").join(yearly, "date", "left_semi")
+    yearly = fx.weeks(spark, root).where("week_ord % 52 = 10").select("date")
+    registry = fx.indices(spark, root).where("entity = 'A'").join(yearly, "date", "left_semi")
     found = C.as_of_rows(asked, registry.select("date", F.col("close").alias("index_close")))
     return found.select("date", "picked", "index_close")
 
@@ -71,16 +65,16 @@ def as_of_row(spark, root):
 SELECT date FROM weeks WHERE date NOT IN (SELECT date FROM lab) UNION SELECT max(date) FROM lab""", S.LABELS, """
 lab AS (SELECT DISTINCT sample_date AS date FROM labels_ WHERE sample_date < DATE '2000-01-01')"""))
 def missing(spark, root):
-    written = labels(spark, root).where("sample_date < DATE '2000-01-01'").select(F.col("sample_date").alias("date"))
-    return C.missing_samples(weeks(spark, root), written.distinct())
+    written = fx.labels(spark, root).where("sample_date < DATE '2000-01-01'").select(F.col("sample_date").alias("date"))
+    return C.missing_samples(fx.weeks(spark, root), written.distinct())
 
 
 @query("b7_history_slice", S.with_base("""
 SELECT entity, date, close FROM bars
 WHERE date >= (SELECT min(date) FROM weeks WHERE date >= DATE '2000-01-01') - 240"""))
 def history(spark, root):
-    targets = weeks(spark, root).where("date >= DATE '2000-01-01'")
-    return C.history_slice(brand_bars(spark, root), targets).select("entity", "date", "close")
+    targets = fx.weeks(spark, root).where("date >= DATE '2000-01-01'")
+    return C.history_slice(fx.bars(spark, root), targets).select("entity", "date", "close")
 
 
 @query("b8_walk_forward_schedule", S.with_base("""
@@ -89,7 +83,7 @@ SELECT CAST((i0 - 104) / 26 AS BIGINT) AS window_id, week_ord, date,
 FROM (SELECT unnest(range(104, (SELECT count(*) FROM weeks) - 26, 26)) AS i0)
 JOIN weeks ON week_ord >= i0 - 104 AND week_ord < i0 + 52"""))
 def schedule(spark, root):
-    plan = C.schedule(weeks(spark, root), WalkForward(104, 26, 26))
+    plan = C.schedule(fx.weeks(spark, root), WalkForward(104, 26, 26))
     return plan.select("window_id", "week_ord", "date", "role")
 
 
@@ -102,7 +96,7 @@ SELECT CAST((i0 - 260) / 52 AS BIGINT) AS window_id,
 FROM (SELECT unnest(range(260, (SELECT count(*) FROM weeks) - 26, 52)) AS i0)
 JOIN weeks ON week_ord >= i0 - 260 AND week_ord < i0 + 26 + 52 GROUP BY i0"""))
 def window_table(spark, root):
-    return C.window_table(C.schedule(weeks(spark, root), WalkForward(260, 26, 52)))
+    return C.window_table(C.schedule(fx.weeks(spark, root), WalkForward(260, 26, 52)))
 
 
 @query("b9_window_spans", S.with_base("""
@@ -116,7 +110,7 @@ SELECT min(s) AS start, max(e) AS "end" FROM (
           JOIN weeks b ON b.week_ord = least(a.week_ord + 15, (SELECT max(week_ord) FROM weeks)))
     WHERE s <= e)) GROUP BY island"""))
 def spans(spark, root):
-    cal = calendar_days(spark, root)
+    cal = fx.calendar(spark, root)
     models = C.days(cal).where("ord % 97 = 5").select("date")
     lo, hi = F.lit("1996-06-01").cast("date"), F.lit("2001-06-01").cast("date")
     return C.window_spans(models, C.week_ends(cal), lo, hi, 16)
@@ -128,7 +122,7 @@ CROSS JOIN (SELECT DISTINCT date FROM rr) d LEFT JOIN rr r ON r.entity = s.entit
     "series_id, date", "ret"),
     "rr AS (SELECT entity, date, close / prev_close - 1 AS ret FROM ibars WHERE prev_close IS NOT NULL)"))
 def align_returns(spark, root):
-    r = index_bars(spark, root).where("prev_close IS NOT NULL").select(
+    r = fx.indices(spark, root).where("prev_close IS NOT NULL").select(
         F.col("entity").alias("series_id"), "date", (F.col("close") / F.col("prev_close") - 1).alias("ret"))
     return report(C.align_series(r, "union"))
 
@@ -139,7 +133,7 @@ SELECT entity AS series_id, date, ret FROM rr WHERE date IN
     "series_id, date", "ret"),
     "rr AS (SELECT entity, date, close / prev_close - 1 AS ret FROM ibars WHERE prev_close IS NOT NULL)"))
 def align_returns_common(spark, root):
-    r = index_bars(spark, root).where("prev_close IS NOT NULL").select(
+    r = fx.indices(spark, root).where("prev_close IS NOT NULL").select(
         F.col("entity").alias("series_id"), "date", (F.col("close") / F.col("prev_close") - 1).alias("ret"))
     return report(C.align_series(r, "intersection"))
 
@@ -152,7 +146,7 @@ CROSS JOIN (SELECT DISTINCT date FROM rr) d LEFT JOIN rr r ON r.entity = s.entit
     "series_id, date", "ret_total nav"),
     "rr AS (SELECT entity, date, close, close / prev_close - 1 AS ret FROM ibars)"))
 def align_nav_frames(spark, root):
-    r = index_bars(spark, root).select(
+    r = fx.indices(spark, root).select(
         F.col("entity").alias("series_id"), "date", F.col("close").alias("nav"),
         (F.col("close") / F.col("prev_close") - 1).alias("ret_total"))
     return report(C.align_navs(r))
@@ -166,8 +160,8 @@ SELECT date, week_end, sample_date FROM (
 WHERE week_end IS NOT NULL AND sample_date IS NOT NULL""", S.LABELS))
 def date_chain(spark, root):
     asked = table(spark, root, "orders").select(F.col("o_orderdate").cast("date").alias("date"))
-    stored = labels(spark, root).select(F.col("sample_date").alias("date")).distinct()
-    return C.chained_alignment(asked, weeks(spark, root).select("date"), stored)
+    stored = fx.labels(spark, root).select(F.col("sample_date").alias("date")).distinct()
+    return C.chained_alignment(asked, fx.weeks(spark, root).select("date"), stored)
 
 
 # ---------------------------------------------------------------- rolling windows
@@ -180,7 +174,7 @@ def rolling_query(name, columns, expressions, sql_columns, source="bars", digits
 
     @query(name, sql)
     def run(spark, root):
-        bars = (supplier_bars if source == "sbars" else brand_bars)(spark, root)
+        bars = (fx.thin_bars if source == "sbars" else fx.bars)(spark, root)
         out = bars.select("*", *[e.alias(c) for c, e in expressions().items()]).select("entity", "date", *columns)
         return report(out, digits, **special)
 
@@ -209,23 +203,23 @@ rolling_query("d14_bollinger", ["boll_ma20", "boll_upper", "boll_lower", "boll_w
 @query("d3_ema", S.factor_sql(final("smooth", "entity, date", "ema5 ema12 ema26 ema60", 6), smooth=True))
 def ema(spark, root):
     spans = {f"ema{n}": ("close", n) for n in (5, 12, 26, 60)}
-    return report(R.with_ema(brand_bars(spark, root), spans).select("entity", "date", *spans), 6)
+    return report(R.with_ema(fx.bars(spark, root), spans).select("entity", "date", *spans), 6)
 
 
 @query("d4_rolling_skew", S.factor_sql(final("fac", "entity, date", "skew", 6)))
 def skew(spark, root):
-    return report(technical_factors(brand_bars(spark, root)).select("entity", "date", "skew"), 6)
+    return report(technical_factors(fx.bars(spark, root)).select("entity", "date", "skew"), 6)
 
 
 @query("d5_rolling_kurtosis", S.factor_sql(final("fac", "entity, date", "kurtosis", 6)))
 def kurtosis(spark, root):
-    return report(technical_factors(brand_bars(spark, root)).select("entity", "date", "kurtosis"), 6)
+    return report(technical_factors(fx.bars(spark, root)).select("entity", "date", "kurtosis"), 6)
 
 
 @query("d6_rolling_corr", S.with_base(final(
     f"SELECT entity, date, {S.corr('close', 'volume')} AS corr20 FROM sbars", "entity, date", "corr20", 6)))
 def corr(spark, root):
-    bars = supplier_bars(spark, root).select("entity", "date", R.rolling_corr("close", "volume", 20).alias("corr20"))
+    bars = fx.thin_bars(spark, root).select("entity", "date", R.rolling_corr("close", "volume", 20).alias("corr20"))
     return report(bars.withColumn("corr20", finite("corr20")), 6)
 
 
@@ -233,7 +227,7 @@ def corr(spark, root):
     f"SELECT entity, date, (close - {S.last('avg(close)', 60)}) / ({S.last('stddev_samp(close)', 60)} + 1e-12) AS z60 FROM sbars",
     "entity, date", "z60", 6)))
 def zscore(spark, root):
-    return report(supplier_bars(spark, root).select("entity", "date", R.rolling_zscore("close", 60).alias("z60")), 6)
+    return report(fx.thin_bars(spark, root).select("entity", "date", R.rolling_zscore("close", 60).alias("z60")), 6)
 
 
 @query("d8_pct_change_filled", S.with_base(final(f"""
@@ -241,25 +235,25 @@ SELECT entity, date, x / lag(x, 5) OVER ({S.O}) - 1 AS change5 FROM (
   SELECT entity, date, last_value(g IGNORE NULLS) OVER ({S.O}) AS x FROM (
     SELECT entity, date, CASE WHEN volume > 10 THEN close END AS g FROM sbars))""", "entity, date", "change5")))
 def pct_change(spark, root):
-    gappy = supplier_bars(spark, root).select("entity", "date", F.when(F.col("volume") > 10, F.col("close")).alias("g"))
+    gappy = fx.thin_bars(spark, root).select("entity", "date", F.when(F.col("volume") > 10, F.col("close")).alias("g"))
     filled = gappy.withColumn("x", R.forward_fill("g"))
     return report(filled.select("entity", "date", R.pct_change("x", 5).alias("change5")))
 
 
 @query("d11_true_range", S.factor_sql(final("f2", "entity, date", "tr")))
 def true_range(spark, root):
-    bars = brand_bars(spark, root).withColumn("prev_close", R.shifted("close"))
+    bars = fx.bars(spark, root).withColumn("prev_close", R.shifted("close"))
     return report(bars.select("entity", "date", R.true_range().alias("tr")))
 
 
 @query("d12_rsi", S.factor_sql(final("smooth", "entity, date", "rsi14 rsi5", 5), smooth=True))
 def rsi(spark, root):
-    return report(R.with_rsi(brand_bars(spark, root)).select("entity", "date", "rsi14", "rsi5"), 5)
+    return report(R.with_rsi(fx.bars(spark, root)).select("entity", "date", "rsi14", "rsi5"), 5)
 
 
 @query("d13_macd", S.factor_sql(final("smooth", "entity, date", "macd_dif macd_dea macd_hist", 5), smooth=True))
 def macd(spark, root):
-    return report(R.with_macd(brand_bars(spark, root)).select("entity", "date", "macd_dif", "macd_dea", "macd_hist"), 5)
+    return report(R.with_macd(fx.bars(spark, root)).select("entity", "date", "macd_dif", "macd_dea", "macd_hist"), 5)
 
 
 @query("d15_rolling_rank_of_last", S.with_base(final(f"""
@@ -268,7 +262,7 @@ SELECT entity, date, CASE WHEN len(v) >= 60 THEN
 FROM (SELECT entity, date, close, list(close) OVER ({S.O} ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS v FROM ibars)""",
     "entity, date", "rank252")))
 def rank_of_last(spark, root):
-    bars = index_bars(spark, root)
+    bars = fx.indices(spark, root)
     return report(bars.select("entity", "date", R.rank_of_last("close", 252, 60).alias("rank252")))
 
 
@@ -276,7 +270,7 @@ def rank_of_last(spark, root):
 SELECT entity, date, last_value(g IGNORE NULLS) OVER ({S.O}) AS filled FROM (
   SELECT entity, date, CASE WHEN volume > 20 THEN volume END AS g FROM sbars)"""))
 def forward_fill(spark, root):
-    gappy = supplier_bars(spark, root).withColumn("g", F.when(F.col("volume") > 20, F.col("volume")))
+    gappy = fx.thin_bars(spark, root).withColumn("g", F.when(F.col("volume") > 20, F.col("volume")))
     return gappy.select("entity", "date", R.forward_fill("g").alias("filled"))
 
 
@@ -284,7 +278,7 @@ def forward_fill(spark, root):
 SELECT entity, date, product(close / prev_close) OVER ({S.O}) AS growth, max(close) OVER ({S.O}) AS top
 FROM ibars WHERE prev_close IS NOT NULL""", "entity, date", "growth top", 6)))
 def running(spark, root):
-    moves = index_bars(spark, root).where("prev_close IS NOT NULL")
+    moves = fx.indices(spark, root).where("prev_close IS NOT NULL")
     growth = R.running_product(F.col("close") / F.col("prev_close"))
     return report(moves.select("entity", "date", growth.alias("growth"), R.running_max("close").alias("top")), 6)
 
@@ -331,7 +325,7 @@ def factor_query(name, columns, digits):
 
     @query(name, sql)
     def run(spark, root):
-        return report(market_state(brand_bars(spark, root)).select("entity", "date", *columns), digits)
+        return report(market_state(fx.bars(spark, root)).select("entity", "date", *columns), digits)
 
 
 for _name, (_columns, _digits) in FACTOR_GROUPS.items():
@@ -344,4 +338,4 @@ FINE = {c: d for columns, d in FACTOR_GROUPS.values() for c in columns if d < 7}
 @query("e28_all_factors", S.with_base(final("allfac", "entity, date", FACTOR_COLUMNS, 7, **FINE), *S.FACTORS, *S.SMOOTH,
                                       S.all_factors_relation(), recursive=True))
 def all_factors(spark, root):
-    return report(in_contract_order(technical_factors(brand_bars(spark, root))), 7, **FINE)
+    return report(in_contract_order(technical_factors(fx.bars(spark, root))), 7, **FINE)

@@ -14,7 +14,6 @@ from tapeloom.operators import stops as X
 from tapeloom.plans import fixtures as fx
 from tapeloom.plans import sqltext as S
 from tapeloom.plans.registry import final, query, report
-from tapeloom.sources.bars import brand_bars, calendar_days, index_bars
 
 COSTS = Costs()
 
@@ -29,14 +28,14 @@ def weekly_labels(spark, root):
 @query("g2_update_labels", S.with_base(final("labels_", "sample_date, entity", "next_week_return"), S.LABELS))
 def update_labels(spark, root):
     stored = fx.labels(spark, root).where("sample_date < DATE '2000-01-01'")
-    return report(G.update_labels(stored, brand_bars(spark, root), fx.weeks(spark, root)))
+    return report(G.update_labels(stored, fx.bars(spark, root), fx.weeks(spark, root)))
 
 
 @query("g3_labels_net_of_costs", S.with_base(final(
     "SELECT sample_date, entity, c1 * (1 - CAST(0.002 AS DOUBLE)) / (o0 * (1 + CAST(0.0015 AS DOUBLE))) - 1 AS net FROM labels_",
     "sample_date, entity", "net"), S.LABELS))
 def labels_net(spark, root):
-    net = G.weekly_labels(brand_bars(spark, root), fx.weeks(spark, root), COSTS)
+    net = G.weekly_labels(fx.bars(spark, root), fx.weeks(spark, root), COSTS)
     return report(net.withColumnRenamed("next_week_return", "net"))
 
 
@@ -59,7 +58,7 @@ WHERE {start} AND {base} > 0""", "entity, sample_date", "ret"),
 def asset_query(name, mode):
     @query(name, _asset_sql(mode))
     def run(spark, root):
-        few = brand_bars(spark, root).where(F.col("entity").isin("Brand#1", "Brand#2", "Brand#3"))
+        few = fx.bars(spark, root).where(F.col("entity").isin("Brand#1", "Brand#2", "Brand#3"))
         return report(G.asset_week_returns(few, fx.weeks(spark, root), mode))
 
 
@@ -70,7 +69,7 @@ asset_query("g4b_asset_week_close_to_close", "c2c")
 @query("g5_cost_terms", S.with_base(final(
     "SELECT entity, date, open * 1.0015 AS buy_at, close * 0.998 AS sell_at FROM bars", "entity, date", "buy_at sell_at", 7)))
 def cost_terms(spark, root):
-    return report(brand_bars(spark, root).select(
+    return report(fx.bars(spark, root).select(
         "entity", "date", (F.col("open") * (1 + COSTS.buy)).alias("buy_at"), (F.col("close") * (1 - COSTS.sell)).alias("sell_at")), 7)
 
 
@@ -151,43 +150,39 @@ def load_scores(spark, root):
 # ---------------------------------------------------------------- simulation
 
 
-def moves(spark, root):
-    return M.transitions(fx.positions(spark, root), brand_bars(spark, root))
-
-
 @query("m1_transitions", S.with_base(final("moves", "date, entity, path", "weight prev_weight"), *S.BOOK))
 def transitions(spark, root):
-    return report(moves(spark, root).select("date", "entity", "path", "weight", "prev_weight"))
+    return report(fx.moves(spark, root).select("date", "entity", "path", "weight", "prev_weight"))
 
 
 @query("m2_daily_returns", S.with_base(final("daily", "date, n_long", "ret_total"), *S.BOOK))
 def daily_returns(spark, root):
-    nav = M.daily_nav(M.stock_returns(moves(spark, root), COSTS))
+    nav = M.daily_nav(M.stock_returns(fx.moves(spark, root), COSTS))
     return report(nav.select("date", "n_long", "ret_total"))
 
 
 @query("m3_nav", S.with_base(final("navs", "date, n_long", "ret_total nav", 7), *S.BOOK))
 def nav(spark, root):
-    out = M.daily_nav(M.stock_returns(moves(spark, root), COSTS))
+    out = M.daily_nav(M.stock_returns(fx.moves(spark, root), COSTS))
     return report(out.select("date", "n_long", "ret_total", "nav"), 7)
 
 
 @query("m4_contributions", S.with_base(final("stock_rets", "date, entity, path", "weight ret contribution"), *S.BOOK))
 def contributions(spark, root):
-    return report(M.stock_returns(moves(spark, root), COSTS))
+    return report(M.stock_returns(fx.moves(spark, root), COSTS))
 
 
 @query("m5_trade_log", S.with_base(final(
     "SELECT * FROM tlog WHERE path <> 'keep' AND (path = 'reduce' OR entry_price IS NOT NULL)",
     "date, entity, action", "entry_price exec_price", 7), *S.BOOK))
 def trade_log(spark, root):
-    return report(M.trade_log(moves(spark, root), COSTS), 7)
+    return report(M.trade_log(fx.moves(spark, root), COSTS), 7)
 
 
 def stop_query(name, events, stops):
     @query(name)
     def run(spark, root):
-        out = X.simulate(fx.positions(spark, root), brand_bars(spark, root), [("base", stops)], COSTS)
+        out = X.simulate(fx.positions(spark, root), fx.bars(spark, root), [("base", stops)], COSTS)
         return report({"nav": X.stopped_nav, "trades": X.trades_of, "returns": X.returns_of}[events](out))
 
 
@@ -201,7 +196,7 @@ stop_query("m10_blocked_reentry_nav", "nav", Stops(take_profit=0.1, stop_loss=0.
 @query("m11_stops_off_equal_plain_nav", S.with_base(final("navs", "date, n_long", "ret_total nav", 7), *S.BOOK))
 def stops_off(spark, root):
     off = Stops(take_profit=99.0, stop_loss=99.0)
-    events = X.simulate(fx.positions(spark, root), brand_bars(spark, root), [("off", off)], COSTS)
+    events = X.simulate(fx.positions(spark, root), fx.bars(spark, root), [("off", off)], COSTS)
     return report(X.stopped_nav(events).select("date", "n_long", "ret_total", "nav"), 7)
 
 
@@ -209,8 +204,8 @@ def stops_off(spark, root):
     "SELECT * FROM tlog WHERE path <> 'keep' AND (path = 'reduce' OR entry_price IS NOT NULL)",
     "date, entity, action", "entry_price exec_price", 7), *S.BOOK))
 def stops_off_trades(spark, root):
-    off = Stops(take_profit=99.0, stop_loss=99.0)
-    events = X.simulate(fx.positions(spark, root), brand_bars(spark, root), [("off", off)], COSTS)
+    off = Stops(rules=())
+    events = X.simulate(fx.positions(spark, root), fx.bars(spark, root), [("off", off)], COSTS)
     return report(X.trades_of(events).drop("param_id"), 7)
 
 
@@ -290,7 +285,7 @@ SELECT series_id, date, ret FROM (SELECT entity AS series_id, date,
   CASE WHEN entity = 'A' THEN close / prev_close - 1 ELSE close / lag(close) OVER (PARTITION BY entity ORDER BY date) - 1 END AS ret
   FROM ibars) WHERE ret IS NOT NULL""", "series_id, date", "ret")))
 def read_returns(spark, root):
-    nav = index_bars(spark, root).select(
+    nav = fx.indices(spark, root).select(
         F.col("entity").alias("series_id"), "date", F.col("close").alias("nav"),
         F.when(F.col("entity") == "A", F.col("close") / F.col("prev_close") - 1).alias("ret_total"))
     return report(E.read_returns(nav))
@@ -372,7 +367,7 @@ def performance_report(spark, root):
 
 def sweep_results(spark, root):
     settings = X.grid(TAKE_PROFIT_GRID, STOP_LOSS_GRID, COOLDOWN_GRID)
-    return X.sweep(fx.positions(spark, root), brand_bars(spark, root), settings, COSTS)
+    return X.sweep(fx.positions(spark, root), fx.bars(spark, root), settings, COSTS)
 
 
 @query("q1_stop_sweep")

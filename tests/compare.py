@@ -10,6 +10,7 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -29,7 +30,7 @@ def canonical(df):
     for row in df.itertuples(index=False, name=None):
         out = []
         for v in row:
-            if v is None or v != v:
+            if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, (float, np.floating)) and v != v):
                 out.append(None)
             elif isinstance(v, (float, np.floating)):
                 out.append(float(v))
