@@ -14,15 +14,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.config import Costs, Selection
+from tapeloom.config import Costs, Selection, UniverseRules
 from tapeloom.functions import rolling as R
 from tapeloom.functions.scalars import finite
 from tapeloom.operators import simulate as M
+from tapeloom.operators.aggregates import context_features, sector_bars
 from tapeloom.operators.calendar import week_ends
 from tapeloom.operators.factors import technical_factors
 from tapeloom.operators.labels import weekly_labels
 from tapeloom.operators.samples import tail_windows
 from tapeloom.operators.selection import daily_positions, rebalance_plan, select_names
+from tapeloom.operators.universe import rule_columns
 from tapeloom.session import shared_dir
 from tapeloom.sources import bars as B
 from tapeloom.sources.upsert import dimension_ids
@@ -148,3 +150,61 @@ def factor_windows(spark: SparkSession, root: str) -> DataFrame:
     """Fifty-row windows of three factors at every week end."""
     panel = technical_factors(bars(spark, root)).select("entity", "date", *WINDOW_FACTORS)
     return tail_windows(panel, weeks(spark, root), WINDOW_FACTORS)
+
+
+def sector_map(spark: SparkSession, root: str) -> DataFrame:
+    return B.brand_groups(spark, root)
+
+
+SECTORS = ["S0", "S1", "S2", "S3", "S4"]
+INDICES = ["A", "N", "R"]
+
+
+@stored("sector_day")
+def sector_day(spark: SparkSession, root: str) -> DataFrame:
+    return sector_bars(bars(spark, root), sector_map(spark, root), SECTORS)
+
+
+def sector_series(spark: SparkSession, root: str) -> DataFrame:
+    return sector_day(spark, root).withColumnRenamed("sector", "entity")
+
+
+@stored("context")
+def context(spark: SparkSession, root: str) -> DataFrame:
+    return context_features(
+        indices(spark, root), sector_series(spark, root), weeks(spark, root), INDICES, SECTORS
+    )
+
+
+@stored("candidates")
+def candidates(spark: SparkSession, root: str) -> DataFrame:
+    """Names that traded in a week, at its week end."""
+    week = F.date_trunc("week", "date").cast("date")
+    ends = weeks(spark, root).select(week.alias("week"), F.col("date").alias("end"))
+    traded = bars(spark, root).select("entity", week.alias("week")).distinct()
+    return traded.join(ends, "week").select(F.col("end").alias("date"), "entity")
+
+
+def suspended_flags(spark: SparkSession, root: str) -> DataFrame:
+    """1 where a candidate has no bar on the day."""
+    seen = bars(spark, root).select("date", "entity", F.lit(0).alias("_bar"))
+    return candidates(spark, root).join(seen, ["date", "entity"], "left").select(
+        "date", "entity", F.when(F.col("_bar").isNull(), 1).otherwise(0).alias("flag")
+    )
+
+
+def st_flags(spark: SparkSession, root: str) -> DataFrame:
+    """1 for brands whose number divides by nine."""
+    number = F.split("entity", "#")[1].cast("int")
+    return candidates(spark, root).select("date", "entity", F.when(number % 9 == 0, 1).otherwise(0).alias("flag"))
+
+
+UNIVERSE = UniverseRules(min_daily_turnover=3000.0)
+
+
+@stored("flagged")
+def flagged(spark: SparkSession, root: str) -> DataFrame:
+    panel = bars(spark, root)
+    return rule_columns(
+        candidates(spark, root), panel, B.master(panel), suspended_flags(spark, root), st_flags(spark, root), UNIVERSE
+    )

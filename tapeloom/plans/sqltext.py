@@ -236,3 +236,61 @@ BOOK = (SCORES, PICKED, POSITIONS, MOVES)
 
 INDEX_RETURNS = """
 ir AS (SELECT entity AS series_id, date, close / prev_close - 1 AS ret FROM ibars WHERE prev_close IS NOT NULL)"""
+
+SECTOR_DAY = """
+sday AS (SELECT date, sector, CASE WHEN sum(total_turnover) > 0 THEN sum(close * total_turnover) / sum(total_turnover) ELSE avg(close) END AS close,
+         sum(total_turnover) AS total_turnover, sum(volume) AS volume, sum(num_trades) AS num_trades, count(*) AS constituents_count,
+         avg(sign(close / open - 1)) AS breadth FROM bars JOIN groups ON groups.entity = bars.entity GROUP BY 1, 2)"""
+
+_SPANS = (5, 10, 20, 60)
+_FEATURES = ["ret_1d"] + [f"{m}_{n}" for n in _SPANS for m in ("ret_mean", "ret_std", "to_mean_ratio", "to_std_ratio")]
+
+
+def _series_features() -> str:
+    cells = []
+    for n in _SPANS:
+        cells += [f"{last('avg(ret_1d)', n)} AS ret_mean_{n}", f"{last('stddev_samp(ret_1d)', n)} AS ret_std_{n}",
+                  f"{last('avg(total_turnover)', n)} / (total_turnover + 1e-12) AS to_mean_ratio_{n}",
+                  f"{last('stddev_samp(total_turnover)', n)} / (abs(total_turnover) + 1e-12) AS to_std_ratio_{n}"]
+    return f"""
+series AS (SELECT entity, date, close, total_turnover FROM ibars UNION ALL SELECT sector, date, close, total_turnover FROM sday),
+sret AS (SELECT *, close / {lag('close')} - 1 AS ret_1d FROM series),
+sfeat AS (SELECT entity, date, ret_1d, {', '.join(cells)} FROM sret)"""
+
+
+CONTEXT_COLUMNS = [f"{s}_{f}" for s in ("A", "N", "R", "S0", "S1", "S2", "S3", "S4") for f in _FEATURES] + ["bread_style"]
+
+
+def context_relations() -> list[str]:
+    picks = [f"max({f}) FILTER (sf.entity = '{s}') AS {s}_{f}"
+             for s in ("A", "N", "R", "S0", "S1", "S2", "S3", "S4") for f in _FEATURES]
+    return [SECTOR_DAY, _series_features(), """
+sbread AS (SELECT date, CAST(count(*) FILTER (ret_1d > 0) - count(*) FILTER (ret_1d < 0) AS DOUBLE) / 5 AS bread_style
+           FROM sret WHERE entity LIKE 'S%' GROUP BY date)""", """
+wd AS (SELECT w.date, (SELECT max(i.date) FROM ibars i WHERE i.date <= w.date) AS di,
+         (SELECT max(s.date) FROM sday s WHERE s.date <= w.date) AS ds FROM weeks w)""", f"""
+ctx AS (SELECT wd.date, {', '.join(picks)}, max(sb.bread_style) AS bread_style FROM wd
+        JOIN sfeat sf ON sf.date = CASE WHEN sf.entity LIKE 'S%' THEN wd.ds ELSE wd.di END
+        JOIN sbread sb ON sb.date = wd.ds GROUP BY wd.date)"""]
+
+
+WINDOWS = """
+fn AS (SELECT entity, date, mom20, ret_std20, price_pos_20, row_number() OVER (PARTITION BY entity ORDER BY date) AS n FROM fac),
+lastrow AS (SELECT k.date AS sample_date, f.entity, max(f.n) AS r FROM weeks k JOIN fn f ON f.date <= k.date GROUP BY 1, 2 HAVING max(f.n) >= 50),
+windows AS (SELECT l.sample_date, l.entity, CAST(f.n - (l.r - 49) AS INT) AS t_pos, mom20, ret_std20, price_pos_20
+            FROM lastrow l JOIN fn f ON f.entity = l.entity AND f.n BETWEEN l.r - 49 AND l.r)"""
+
+FLAGGED = """
+cand AS (SELECT DISTINCT w.date, b.entity FROM bars b JOIN weeks w ON date_trunc('week', w.date) = date_trunc('week', b.date)),
+mast AS (SELECT entity, min(date) AS ipo_date, CASE WHEN (SELECT max(date) FROM bars) - max(date) >= 60 THEN max(date) END AS delist_date
+         FROM bars GROUP BY 1),
+flagged AS (SELECT c.date, c.entity, FALSE AS fails_board, b.entity IS NULL AS fails_suspended,
+    CAST(split_part(c.entity, '#', 2) AS INT) % 9 = 0 AS fails_st, NOT coalesce(b.total_turnover >= 3000, FALSE) AS fails_turnover,
+    m.ipo_date IS NULL AS fails_missing_info, coalesce(c.date - m.ipo_date < 120, FALSE) AS fails_ipo,
+    coalesce(c.date >= m.delist_date, FALSE) AS fails_delisted,
+    coalesce((b.close / b.open - 1 >= 0.098 AND b.close >= b.high * 0.999) OR (abs(b.open - b.high) <= 0.001 * b.high AND abs(b.close - b.high) <= 0.001 * b.high)
+      OR (b.close / b.open - 1 <= -0.098 AND b.close <= b.low * 1.001) OR (abs(b.open - b.low) <= 0.001 * b.low AND abs(b.close - b.low) <= 0.001 * b.low), FALSE) AS fails_limit
+  FROM cand c LEFT JOIN bars b ON b.date = c.date AND b.entity = c.entity LEFT JOIN mast m ON m.entity = c.entity),
+caused AS (SELECT *, CASE WHEN fails_board THEN 'board' WHEN fails_suspended THEN 'suspended' WHEN fails_st THEN 'st'
+    WHEN fails_turnover THEN 'turnover' WHEN fails_missing_info THEN 'missing_info' WHEN fails_ipo THEN 'ipo'
+    WHEN fails_delisted THEN 'delisted' WHEN fails_limit THEN 'limit' END AS cause FROM flagged)"""
