@@ -1,9 +1,4 @@
-"""Outlier clipping and scaling.
-
-Exact quantiles of several columns go through one long table
-``(group, column name, value)``, so the number of jobs does not grow with the
-number of columns.
-"""
+"""Outlier clipping and scaling."""
 
 from __future__ import annotations
 
@@ -14,11 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.fixed_values import SCALE_EPS
 from tapeloom.functions.scalars import clip, finite
-from tapeloom.operators.crosssection import with_quantiles
-
-
-def _long(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    return df.select(*keys, *columns).unpivot(list(keys), list(columns), "_name", "_value")
+from tapeloom.operators.crosssection import medians, with_quantiles
 
 
 def mad_clip(
@@ -34,18 +25,15 @@ def mad_clip(
     """
     by = list(by)
     ready = df.withColumns({c: F.coalesce(finite(c), F.lit(0.0)) if zero_missing else finite(c) for c in columns})
-    long = _long(ready, by, columns)
-    middle = with_quantiles(long, [*by, "_name"], "_value", {"_mid": 0.5})
-    away = long.join(middle, [*by, "_name"]).withColumn("_away", F.abs(F.col("_value") - F.col("_mid")))
-    spread = with_quantiles(away, [*by, "_name"], "_away", {"_mad": 0.5})
-    bounds = middle.join(spread, [*by, "_name"])
-    reach = k * (F.col("_mad") + SCALE_EPS)
-    wide = bounds.groupBy(*by).pivot("_name", list(columns)).agg(
-        F.first(F.col("_mid") - reach).alias("lo"), F.first(F.col("_mid") + reach).alias("hi")
-    )
-    joined = ready.join(wide, by)
-    clipped = {c: clip(c, F.col(f"{c}_lo"), F.col(f"{c}_hi")) for c in columns}
-    return joined.withColumns(clipped).select(*df.columns)
+    middle = medians(ready, by, columns).withColumnsRenamed({c: f"{c}_mid" for c in columns})
+    centred = ready.select(*by, *columns).join(middle, by)
+    spread = medians(centred.withColumns({c: F.abs(F.col(c) - F.col(f"{c}_mid")) for c in columns}), by, columns)
+    bounds = middle.join(spread.withColumnsRenamed({c: f"{c}_mad" for c in columns}), by)
+    clipped = {}
+    for c in columns:
+        reach = k * (F.col(f"{c}_mad") + SCALE_EPS)
+        clipped[c] = clip(c, F.col(f"{c}_mid") - reach, F.col(f"{c}_mid") + reach)
+    return ready.join(bounds, by).withColumns(clipped).select(*df.columns)
 
 
 def winsorize(df: DataFrame, value: str, pct: float, by: Sequence[str], out: str | None = None) -> DataFrame:

@@ -1,10 +1,15 @@
 """Statistics across the entities of one group (usually one date).
 
-A group can hold any share of the rows, so nothing here gathers a group in one
-task. Means and counts are aggregates joined back. Ranks and exact quantiles
-go through counts of distinct values: each group's value range is cut at
-approximate quantiles (a mergeable sketch), positions are summed inside the
-pieces, and the pieces are chained by their totals.
+A group can hold any share of the rows. Means and counts are aggregates joined
+back. Ranks and exact quantiles treat two kinds of groups differently:
+
+* groups of up to ``GROUP_LIMIT`` rows are handled whole, one per task;
+* larger groups never meet in one task. Their value range is cut at
+  approximate quantiles (a mergeable sketch), positions are counted inside the
+  pieces, and the pieces are chained by their totals.
+
+Which groups are large is a count that combines map-side; at most
+``rows / GROUP_LIMIT`` of them can exist, so their keys are broadcast.
 """
 
 from __future__ import annotations
@@ -15,6 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECES = 32
+GROUP_LIMIT = 1_000_000
+
+
+def by_size(df: DataFrame, by: Sequence[str], limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups within the limit and rows of larger groups."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    large = F.broadcast(sizes.where(F.col("_size") > (GROUP_LIMIT if limit is None else limit)).select(*by))
+    return df.join(large, list(by), "left_anti"), df.join(large, list(by), "left_semi")
 
 
 def attach(df: DataFrame, by: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
@@ -59,48 +72,84 @@ def _wide_values(long: DataFrame, keys: Sequence[str], outs: Mapping[str, str])
     return long.groupBy(*keys).agg(*picks)
 
 
-def ranks(df: DataFrame, by: Sequence[str], key: str, outs: Mapping[str, str]) -> DataFrame:
+def ranks(df: DataFrame, by: Sequence[str], key: str, outs: Mapping[str, str], limit: int | None = None) -> DataFrame:
     """Ascending group ranks with averaged ties: one row per group and key, ``{column: rank name}``.
 
     All columns go through one long table, so they are ranked by the same jobs.
     """
-    long = _long_values(df, [*by, key], list(outs))
-    placed = value_counts_before(long, [*by, "_name"], "_value").select(
-        *by, "_name", "_value", (F.col("below") + (F.col("n") + 1) / 2).alias("_place")
+    group = [*by, "_name"]
+    small, large = by_size(_long_values(df, [*by, key], list(outs)), group, limit)
+    ties = Window.partitionBy(*group, "_value")
+    direct = small.withColumn(
+        "_place", F.rank().over(Window.partitionBy(*group).orderBy("_value")) + (F.count(F.lit(1)).over(ties) - 1) / 2
     )
-    return _wide_values(long.join(placed, [*by, "_name", "_value"]), [*by, key], outs)
-
+    counted = value_counts_before(large, group, "_value").select(
+        *group, "_value", (F.col("below") + (F.col("n") + 1) / 2).alias("_place")
+    )
+    split = large.join(counted, [*group, "_value"])
+    return _wide_values(direct.unionByName(split), [*by, key], outs)
 
-def positions_of(df: DataFrame, by: Sequence[str], key: str, outs: Mapping[str, str], pieces: int = PIECES) -> DataFrame:
-    """Group positions 1..n without shared places; ties are ordered by the hash of ``key``.
 
-    The value range is cut at approximate quantiles. A value that is itself a
-    cut may hold many rows, so its rows are cut again by their leading hash
-    digits; pieces stay in order, and each is numbered on its own.
-    """
+def positions_of(df: DataFrame, by: Sequence[str], key: str, outs: Mapping[str, str], limit: int | None = None) -> DataFrame:
+    """Group positions 1..n without shared places; ties are ordered by the hash of ``key``."""
     group = [*by, "_name"]
     long = _long_values(df, [*by, key], list(outs)).withColumn("_hash", F.md5(F.col(key).cast("string")))
+    small, large = by_size(long, group, limit)
+    order = Window.partitionBy(*group).orderBy("_value", "_hash", key)
+    direct = small.withColumn("_place", F.row_number().over(order).cast("double"))
+    split = _split_positions(large, group, key)
+    return _wide_values(direct.unionByName(split), [*by, key], outs)
+
+
+def _split_positions(long: DataFrame, group: Sequence[str], key: str, pieces: int = PIECES) -> DataFrame:
+    """Positions in large groups.
+
+    A value that is itself a cut may hold many rows, so its rows are cut again
+    by their leading hash digits; pieces stay in order and are numbered on
+    their own.
+    """
     shares = [i / pieces for i in range(1, pieces)]
     cuts = long.groupBy(*group).agg(F.percentile_approx("_value", shares, 1000).alias("_cuts"))
     heavy = F.array_contains("_cuts", F.col("_value"))
-    cut = long.join(cuts, group).withColumns(
+    cut = long.join(cuts, list(group)).withColumns(
         {
             "_piece": F.size(F.filter("_cuts", lambda c: c < F.col("_value"))),
             "_part": F.when(heavy, F.concat(F.lit("+"), F.substring("_hash", 1, 2))).otherwise(F.lit("")),
         }
-    ).drop("_cuts")
-    totals = cut.groupBy(*group, "_piece", "_part").agg(F.count(F.lit(1)).alias("_in"))
-    chain = Window.partitionBy(*group).orderBy("_piece", "_part")
-    starts = totals.select(*group, "_piece", "_part", (F.sum("_in").over(chain) - F.col("_in")).alias("_start"))
-    inside = Window.partitionBy(*group, "_piece", "_part").orderBy("_value", "_hash", key)
-    placed = cut.join(starts, [*group, "_piece", "_part"]).withColumn(
-        "_place", (F.col("_start") + F.row_number().over(inside)).cast("double")
     )
-    return _wide_values(placed, [*by, key], outs)
+    piece = [*group, "_piece", "_part"]
+    totals = cut.groupBy(*piece).agg(F.count(F.lit(1)).alias("_in"))
+    chain = Window.partitionBy(*group).orderBy("_piece", "_part")
+    starts = totals.select(*piece, (F.sum("_in").over(chain) - F.col("_in")).alias("_start"))
+    inside = Window.partitionBy(*piece).orderBy("_value", "_hash", key)
+    place = (F.col("_start") + F.row_number().over(inside)).cast("double")
+    return cut.join(starts, piece).withColumn("_place", place).select(*long.columns, "_place")
 
 
-def with_quantiles(df: DataFrame, by: Sequence[str], value: str, outs: Mapping[str, float]) -> DataFrame:
+def with_quantiles(df: DataFrame, by: Sequence[str], value: str, outs: Mapping[str, float], limit: int | None = None) -> DataFrame:
     """Exact group quantiles (linear interpolation), one row per group."""
+    present = df.select(*by, value).where(F.col(value).isNotNull())
+    small, large = by_size(present, by, limit)
+    found = small.groupBy(*by).agg(F.percentile(value, [float(p) for p in outs.values()]).alias("_q"))
+    direct = found.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(outs)])
+    return direct.unionByName(_split_quantiles(large, by, value, outs))
+
+
+def medians(df: DataFrame, by: Sequence[str], columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Exact group medians of several columns, one row per group.
+
+    Large groups go through one long table ``(group, column name, value)``, so
+    the number of jobs does not grow with the number of columns.
+    """
+    small, large = by_size(df.select(*by, *columns), by, limit)
+    direct = small.groupBy(*by).agg(*[F.percentile(c, 0.5).alias(c) for c in columns])
+    long = _long_values(large, by, columns)
+    found = _split_quantiles(long, [*by, "_name"], "_value", {"_q": 0.5})
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == c, F.col("_q"))).alias(c) for c in columns])
+    return direct.unionByName(wide)
+
+
+def _split_quantiles(df: DataFrame, by: Sequence[str], value: str, outs: Mapping[str, float]) -> DataFrame:
     picked = []
     for name, p in outs.items():
         h = (F.col("total") - 1) * F.lit(float(p))

@@ -38,6 +38,7 @@ def read_encoded(spark, root):
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/gbk_names"
     names = B.table(spark, root, "nation").select(
         F.concat("n_name", F.lit("行业")).alias("name"), F.col("n_nationkey").cast("string").alias("id"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     names.write.mode("overwrite").option("header", True).option("encoding", "gbk").csv(path)
     return RD.read_csv(spark, path, "name string, id string", "gbk")
 

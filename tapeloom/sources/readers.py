@@ -36,7 +36,10 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding
     """A delimited dataset with a header in one of the known encodings, or None if absent."""
     if encoding not in TEXT_ENCODINGS:
         raise ValueError(f"encoding must be one of {TEXT_ENCODINGS}")
-    reader = spark.read.option("header", True).option("encoding", encoding)
+    if encoding not in ("utf-8", "latin-1"):  # regional encodings are off by default in Spark 4
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    charset = "iso-8859-1" if encoding == "latin-1" else encoding
+    reader = spark.read.option("header", True).option("encoding", charset)
     if schema:
         reader = reader.schema(schema)
     try:
