@@ -64,8 +64,11 @@ def rolling_kurtosis(c, n: int, w=None) -> Column:
 
 
 def rolling_corr(a, b, n: int, w=None) -> Column:
-    """Correlation of the complete pairs in the window; NaN when a side is constant."""
-    return F.corr(col(a), col(b)).over(last_n(n, w))
+    """Correlation of the complete pairs in the window; NULL when a side is constant."""
+    frame = last_n(n, w)
+    dev_a = F.stddev_samp(F.when(col(b).isNotNull(), col(a))).over(frame)
+    dev_b = F.stddev_samp(F.when(col(a).isNotNull(), col(b))).over(frame)
+    return F.try_divide(F.covar_samp(col(a), col(b)).over(frame), dev_a * dev_b)
 
 
 def rolling_zscore(c, n: int, w=None) -> Column:

@@ -30,12 +30,20 @@ def zero_to_null(c: Column | str) -> Column:
 
 def over(a: Column | str, b: Column | str) -> Column:
     """Ratio with the standing guard in the denominator."""
-    return col(a) / (col(b) + F.lit(EPS))
+    return F.try_divide(col(a), col(b) + F.lit(EPS))
 
 
 def safe_div(a: Column | str, b: Column | str) -> Column:
     """Like :func:`over`, with a zero denominator giving NULL."""
-    return col(a) / (zero_to_null(b) + F.lit(EPS))
+    return F.try_divide(col(a), zero_to_null(b) + F.lit(EPS))
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Aggregate correlation of columns without NULLs; NULL when a side is constant.
+
+    Written out, because the built-in one divides by zero there.
+    """
+    return F.try_divide(F.covar_pop(col(a), col(b)), F.stddev_pop(col(a)) * F.stddev_pop(col(b)))
 
 
 def clip(c: Column | str, lo: Column | float, hi: Column | float) -> Column:

@@ -22,7 +22,7 @@ def sector_bars(bars: DataFrame, sectors: DataFrame, targets: Sequence[str]) ->
     rows = bars.select("entity", "date", *[finite(c).alias(c) for c in values]).where(
         "close IS NOT NULL AND total_turnover IS NOT NULL"
     ).join(members, "entity")
-    move = F.col("close") / F.col("open") - 1
+    move = F.try_divide(F.col("close"), F.col("open")) - 1
     turnover = F.sum("total_turnover")
     weighted = F.sum(F.col("close") * F.col("total_turnover")) / turnover
     direction = F.when(move > 0, 1).when(move < 0, -1).when(F.col("open").isNotNull(), 0)

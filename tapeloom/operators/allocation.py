@@ -62,7 +62,7 @@ def base_strength(bars: DataFrame, weeks: DataFrame, cfg: Allocation = Allocatio
     span = max(1.0, float(cfg.vol_high - cfg.vol_low))
     env = F.when(F.col("v") <= cfg.vol_low, 1.0).when(F.col("v") >= cfg.vol_high, 0.0).otherwise((cfg.vol_high - F.col("v")) / span)
     extra = F.when(F.col("b") == 5, cfg.wide_penalty).when(F.col("b") == 1, cfg.narrow_penalty)
-    return at.select("entity", "date", F.coalesce(F.least(F.lit(1.0), env + extra), env).alias("env_base"))
+    return at.select("entity", "date", F.when(extra.isNotNull(), F.least(F.lit(1.0), env + extra)).otherwise(env).alias("env_base"))
 
 
 def environment(bars: DataFrame, weeks: DataFrame, cfg: Allocation = Allocation(), look_ahead: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.scalars import finite
+from tapeloom.functions.scalars import correlation, finite
 from tapeloom.operators.calendar import align_series
 from tapeloom.operators.crosssection import attach, positions_of, ranks
 
@@ -40,7 +40,7 @@ def rank_ic(scores: DataFrame, returns: DataFrame, min_names: int = 5) -> DataFr
         ranked.groupBy("date")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.when((F.stddev_pop("_rs") > 0) & (F.stddev_pop("_rr") > 0), F.corr("_rs", "_rr")).alias("rank_ic"),
+            correlation("_rs", "_rr").alias("rank_ic"),
         )
         .where(F.col("n") >= min_names)
     )
@@ -51,13 +51,13 @@ def rank_ic_ordinal(df: DataFrame, pred: str = "score", target: str = "ret", by:
     ranked = positions_of(df, by, "entity", {pred: "_p", target: "_t"})
     return ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.when(F.count(F.lit(1)) >= 2, finite(F.corr("_p", "_t"))), F.lit(0.0)).alias("rank_ic"),
+        F.coalesce(correlation("_p", "_t"), F.lit(0.0)).alias("rank_ic"),
     )
 
 
 def pearson_ic(df: DataFrame, pred: str = "score", target: str = "ret", by: Sequence[str] = ("date",)) -> DataFrame:
     moves = (F.var_pop(pred) > 1e-12) & (F.var_pop(target) > 1e-12)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(moves, F.corr(pred, target)).alias("ic"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(moves, correlation(pred, target)).alias("ic"))
 
 
 def _stats(value: str, names: tuple[str, str, str, str]) -> list[Column]:
@@ -123,7 +123,7 @@ def read_returns(nav: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     clean = nav.withColumns({"ret_total": finite("ret_total"), "nav": finite("nav")})
     known = attach(clean, keys, {"_has": F.count("ret_total") > 0})
     w = _path(keys).rowsBetween(Window.unboundedPreceding, -1)
-    change = F.col("nav") / F.last("nav", ignorenulls=True).over(w) - 1
+    change = F.try_divide(F.col("nav"), F.last("nav", ignorenulls=True).over(w)) - 1
     ret = F.when(F.col("_has"), F.col("ret_total")).otherwise(F.when(F.col("nav").isNotNull(), change))
     return known.withColumn("ret", ret).select(*keys, "date", "ret").where("ret IS NOT NULL")
 
@@ -137,7 +137,7 @@ def standard_nav(returns: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
 def drawdown_path(nav: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     peak = F.max("nav").over(_so_far(keys))
     return nav.where(finite("nav").isNotNull()).withColumn("peak", peak).withColumn(
-        "drawdown", 1 - F.col("nav") / F.col("peak")
+        "drawdown", 1 - F.try_divide(F.col("nav"), F.col("peak"))
     )
 
 

@@ -42,9 +42,9 @@ def weekly_labels(bars: DataFrame, weeks: DataFrame, costs: Costs | None = None,
     closes = bars.select("entity", F.col("date").alias("end_day"), F.col("close").alias("_c"))
     joined = plan.join(opens, "start_day").join(closes, ["end_day", "entity"])
     if costs:
-        ret = F.col("_c") * (1.0 - sell) / (F.col("_o") * (1.0 + buy)) - 1
+        ret = F.try_divide(F.col("_c") * (1.0 - sell), F.col("_o") * (1.0 + buy)) - 1
     else:
-        ret = F.col("_c") / F.col("_o") - 1
+        ret = F.try_divide(F.col("_c"), F.col("_o")) - 1
     return joined.select("sample_date", "entity", finite(ret).alias("next_week_return")).where(
         "next_week_return IS NOT NULL"
     )
@@ -77,7 +77,7 @@ def asset_week_returns(bars: DataFrame, weeks: DataFrame, mode: str = "o2c") ->
     else:
         base = F.col("close_at")
     return joined.where(base > 0).select(
-        "entity", "sample_date", finite(F.col("end_close") / base - 1).alias("ret")
+        "entity", "sample_date", finite(F.try_divide(F.col("end_close"), base) - 1).alias("ret")
     ).where("ret IS NOT NULL")
 
 

@@ -45,9 +45,9 @@ def transitions(positions: DataFrame, bars: DataFrame) -> DataFrame:
 
 def stock_returns(moves: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """Each name's return and contribution per day."""
-    buy = F.col("close") / (F.col("open") * (1 + costs.buy)) - 1
-    hold = F.col("close") / F.col("prev_close") - 1
-    sell = F.col("open") * (1 - costs.sell) / F.col("prev_close") - 1
+    buy = F.try_divide(F.col("close"), F.col("open") * (1 + costs.buy)) - 1
+    hold = F.try_divide(F.col("close"), F.col("prev_close")) - 1
+    sell = F.try_divide(F.col("open") * (1 - costs.sell), F.col("prev_close")) - 1
     ret = F.when(F.col("path") == "add", buy).when(F.col("path") == "keep", hold).otherwise(sell)
     weight = F.when(F.col("path") == "reduce", F.col("prev_weight")).otherwise(F.col("weight"))
     return moves.select("date", "entity", "path", weight.alias("weight"), ret.alias("ret")).withColumn(

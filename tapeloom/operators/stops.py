@@ -60,6 +60,10 @@ def _known(*values: float) -> bool:
     return all(math.isfinite(v) for v in values)
 
 
+def _change(price: float, base: float) -> float:
+    return price / base - 1 if base else math.nan
+
+
 def fixed_rule(held: Holding, bar: Bar, stops: Stops):
     """Stop-loss is looked at before take-profit; a gap through the level fills at the open."""
     if not _known(bar.open):
@@ -151,12 +155,12 @@ def advance(held: Holding, bar: Bar, stops: Stops, costs: Costs) -> list[tuple]:
 
     if not stopped:
         if target and not before:
-            events.append(("RET", "add", target, bar.close / (bar.open * (1 + costs.buy)) - 1, None, None))
+            events.append(("RET", "add", target, _change(bar.close, bar.open * (1 + costs.buy)), None, None))
         elif target:
-            events.append(("RET", "keep", target, bar.close / bar.prev_close - 1, None, None))
+            events.append(("RET", "keep", target, _change(bar.close, bar.prev_close), None, None))
         elif before:
             price = bar.open * (1 - costs.sell)
-            events.append(("RET", "reduce", before, price / bar.prev_close - 1, None, None))
+            events.append(("RET", "reduce", before, _change(price, bar.prev_close), None, None))
             if not held.closed_by_stop:
                 events.append(("SELL", "reduce", None, None, held.entry, price))
                 held.entry, held.peak, held.armed = None, None, False
@@ -183,7 +187,7 @@ def walk(settings: Sequence[tuple[str, Stops]], costs: Costs) -> Callable[[pd.Da
                     part = None if ret is None else weight * ret
                     out.append((name, entity, date, kind, path, weight, ret, part, entry, price))
         names = [f.split()[0] for f in EVENTS.split(", ")]
-        return pd.DataFrame(out, columns=names)
+        return pd.DataFrame(out, columns=names).astype({n: "float64" for n in names[5:]})
 
     return run
 

@@ -84,7 +84,7 @@ def index_bars(spark: SparkSession, root: str) -> DataFrame:
         .groupBy(F.col("l_returnflag").alias("entity"), "date")
         .agg(
             F.min_by("price", "seq").alias("open"),
-            F.round(F.sum(F.col("price") * worth) / F.sum(worth), 6).alias("close"),
+            F.round(F.try_divide(F.sum(F.col("price") * worth), F.sum(worth)), 6).alias("close"),
             F.round(F.sum(worth), 5).alias("total_turnover"),
         )
     )

@@ -100,6 +100,7 @@ def live_stops(days: DataFrame, stops: Stops, costs: Costs = Costs(), name: str
                 part = None if ret is None else weight * ret
                 out.append((name, key[0], date, kind, path, weight, ret, part, entry, price))
         state.update((held.weight, held.last_ord, held.entry, held.peak, held.armed, held.closed_by_stop, held.stop_day, held.stop_signal))
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pd.DataFrame(out, columns=names).astype({n: "float64" for n in names[5:]})
 
     return days.groupBy("entity").applyInPandasWithState(step, EVENTS, HOLDING, "append", GroupStateTimeout.NoTimeout)
