@@ -17,6 +17,7 @@ from tapeloom.functions import rolling as R
 from tapeloom.functions.scalars import clip
 from tapeloom.operators.crosssection import with_quantiles
 from tapeloom.operators.labels import asset_week_returns, own_alignment
+from tapeloom.session import cut_lineage
 
 
 def quintiles(df: DataFrame, value: str, out: str, look_ahead: bool = True, key: str = "entity") -> DataFrame:
@@ -53,7 +54,8 @@ def environment_ranks(bars: DataFrame) -> DataFrame:
 
 def base_strength(bars: DataFrame, weeks: DataFrame, cfg: Allocation = Allocation(), look_ahead: bool = True) -> DataFrame:
     """Environment score per series and week end, before the direction adjustment."""
-    labelled = quintiles(environment_ranks(bars), "vol_rank", "vol_q", look_ahead)
+    ranks = cut_lineage(environment_ranks(bars))  # read several times below
+    labelled = quintiles(ranks, "vol_rank", "vol_q", look_ahead)
     labelled = quintiles(labelled, "breadth_rank", "breadth_q", look_ahead)
     aligned = own_alignment(bars, weeks).select("entity", F.col("date").alias("week"), F.col("day").alias("date"))
     at = aligned.join(labelled, ["entity", "date"]).select(
