@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +13,9 @@ from tapeloom.operators import allocation as O
 from tapeloom.operators import samples as I
 from tapeloom.operators import stops as X
 from tapeloom.operators import timing as T
-from tapeloom.operators.calendar import schedule
+from tapeloom.operators.aggregates import daily_features
+from tapeloom.operators.calendar import days, schedule
+from tapeloom.operators.labels import asset_week_returns
 from tapeloom.operators.pairwise import pairwise_loss
 from tapeloom.plans import fixtures as fx
 from tapeloom.plans import sqltext as S
@@ -59,8 +61,6 @@ def boosting(spark, root):
 
 
 def _labelled_days(spark, root):
-    from tapeloom.operators.aggregates import daily_features
-
     daily = daily_features(fx.nav(spark, root), fx.stock_returns(spark, root), fx.positions(spark, root), fx.trades(spark, root))
     return T.next_day_label(daily)
 
@@ -157,8 +157,6 @@ SELECT date, signal, signal_prev, ret_total, product(1 + ret_total) OVER (ORDER
     SELECT n.date, n.ret_total AS r, CASE WHEN c.ord % 7 IN (2, 3) THEN 0 ELSE 1 END AS signal FROM navs n JOIN cal c ON c.date = n.date)))""",
     "date, signal, signal_prev", "ret_total nav", 7), *S.BOOK))
 def timing_overlay(spark, root):
-    from tapeloom.operators.calendar import days
-
     signals = days(fx.calendar(spark, root)).select("date", F.when((F.col("ord") % 7).isin(2, 3), 0).otherwise(1).alias("signal"))
     out = T.overlay(fx.nav(spark, root), signals)
     return report(out.select("date", "signal", "signal_prev", "ret_total", "nav"), 7)
@@ -240,8 +238,6 @@ SELECT date, ret_combo, product(1 + ret_combo) OVER (ORDER BY date) AS nav_combo
     SELECT p.date, p.w_g, a.r AS ret_s, b.r AS ret_g FROM path p LEFT JOIN wr a ON a.entity = 'A' AND a.f0 = p.date LEFT JOIN wr b ON b.entity = 'N' AND b.f0 = p.date
     WHERE p.entity = 'A'))""", "date", "ret_combo nav_combo", 7), ENV, PATH, recursive=True))
 def combined(spark, root):
-    from tapeloom.operators.labels import asset_week_returns
-
     weekly = asset_week_returns(fx.indices(spark, root), fx.weeks(spark, root), "c2c")
     leg = lambda e, n: weekly.where(F.col("entity") == e).select(F.col("sample_date").alias("date"), F.col("ret").alias(n))
     path = O.weight_path(environment_frame(spark, root)).where("entity = 'A'").select("date", "w_g")
@@ -259,10 +255,7 @@ def proxy(spark, root):
 
 def _scratch(spark, name):
     """A new folder under the shared one for a stream's files."""
-    base = shared_dir(spark)
-    if base.startswith("/"):
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-    return f"{base}/{spark.sparkContext.applicationId}-{name}-{spark.sparkContext.startTime}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("s1_streamed_upsert", S.with_base(final(
@@ -301,8 +294,8 @@ def event_bars_streamed(spark, root):
 @query("s3_live_stops")
 def live_stops(spark, root):
     home = _scratch(spark, "s3")
-    days = X.stop_days(fx.positions(spark, root), fx.bars(spark, root))
-    for part in (days.where("date < DATE '2000-01-01'"), days.where("date >= DATE '2000-01-01'")):
+    rows = X.stop_days(fx.positions(spark, root), fx.bars(spark, root))
+    for part in (rows.where("date < DATE '2000-01-01'"), rows.where("date >= DATE '2000-01-01'")):
         part.coalesce(1).write.mode("append").parquet(f"{home}/in")
         events = live.live_stops(live.stream_table(spark, f"{home}/in"), Stops(take_profit=0.1, stop_loss=0.05))
         live.append_to(events, f"{home}/events", f"{home}/log").awaitTermination()

@@ -32,14 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     together with its executor.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if context.master.startswith("local"):
-        made = tempfile.mkdtemp(prefix="tapeloom-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        return made
-    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tapeloom-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
