@@ -64,7 +64,7 @@ def context_features(index_bars: DataFrame, sector_series: DataFrame, weeks: Dat
     def at_week_ends(series: DataFrame, members: Sequence[str]) -> DataFrame:
         days = align_dates(weeks, series, "day")
         features = series_features(series).withColumnRenamed("date", "day")
-        wide = days.join(features, "day").groupBy("date").pivot("entity", list(members)).agg(
+        wide = features.join(F.broadcast(days), "day").groupBy("date").pivot("entity", list(members)).agg(
             *[F.first(n).alias(n) for n in names]
         )
         return wide

@@ -34,13 +34,14 @@ def weekly_labels(bars: DataFrame, weeks: DataFrame, costs: Costs | None = None,
     """Open-to-close return of the week after each sample date, net of ``costs`` if given.
 
     Market days are those on which any entity trades. The two price lookups
-    are equality joins, so only the needed days of the panel survive the scan.
+    are equality joins and the plan (a row per week) is broadcast, so only the
+    needed days of the panel are shuffled.
     """
     plan = label_weeks(bars.select("date") if market_days is None else market_days, weeks)
     buy, sell = (costs.buy, costs.sell) if costs else (0.0, 0.0)
     opens = bars.select("entity", F.col("date").alias("start_day"), F.col("open").alias("_o"))
     closes = bars.select("entity", F.col("date").alias("end_day"), F.col("close").alias("_c"))
-    joined = plan.join(opens, "start_day").join(closes, ["end_day", "entity"])
+    joined = opens.join(F.broadcast(plan), "start_day").join(closes, ["end_day", "entity"])
     if costs:
         ret = F.try_divide(F.col("_c") * (1.0 - sell), F.col("_o") * (1.0 + buy)) - 1
     else:
@@ -70,7 +71,7 @@ def asset_week_returns(bars: DataFrame, weeks: DataFrame, mode: str = "o2c") ->
     per = own_alignment(own, weeks)
     begin = per.toDF("entity", "sample_date", "close_day", "close_at", "start_day", "open_at")
     finish = per.select("entity", F.col("date").alias("next_week_end"), F.col("day").alias("end_day"), F.col("close").alias("end_close"))
-    joined = begin.join(pairs, "sample_date").join(finish, ["entity", "next_week_end"])
+    joined = begin.join(F.broadcast(pairs), "sample_date").join(finish, ["entity", "next_week_end"])
     if mode == "o2c":
         joined = joined.where("start_day <= end_day")
         base = F.col("open_at")
@@ -98,8 +99,8 @@ def own_alignment(own: DataFrame, weeks: DataFrame) -> DataFrame:
     from_week = next_week_ord(all_days, ordinal)
     last = weeks.agg(F.max("week_ord").alias("_last"))
     spans = (
-        rows.join(from_week.toDF("date", "_from"), "date")
-        .join(from_week.toDF("next_day", "_until"), "next_day", "left")
+        rows.join(F.broadcast(from_week.toDF("date", "_from")), "date")
+        .join(F.broadcast(from_week.toDF("next_day", "_until")), "next_day", "left")
         .join(F.broadcast(last), F.lit(True))
         .withColumn("_to", F.coalesce(F.col("_until") - 1, F.col("_last")))
         .where("_from <= _to")
@@ -107,7 +108,7 @@ def own_alignment(own: DataFrame, weeks: DataFrame) -> DataFrame:
     expanded = spans.select(
         "entity", "day", "close", "next_day", "next_open", F.explode(F.sequence("_from", "_to")).alias("week_ord")
     )
-    return expanded.join(ordinal, "week_ord").select("entity", "date", "day", "close", "next_day", "next_open")
+    return expanded.join(F.broadcast(ordinal), "week_ord").select("entity", "date", "day", "close", "next_day", "next_open")
 
 
 def next_week_ord(dates: DataFrame, weeks: DataFrame) -> DataFrame:

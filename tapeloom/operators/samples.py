@@ -63,6 +63,7 @@ def training_rows(features: DataFrame, labels: DataFrame, universe: DataFrame |
     """Features with labels, optionally restricted to a universe, with industry id and context.
 
     An unknown industry gets the next free id; a date without context gets 0.
+    Context holds one row per week and is broadcast.
     """
     keys = ["sample_date", "entity"]
     df = features.join(labels, keys)
@@ -72,7 +73,7 @@ def training_rows(features: DataFrame, labels: DataFrame, universe: DataFrame |
         df = with_dimension(df, industry)
     if context is not None:
         ctx = context.withColumnRenamed("date", "sample_date")
-        df = df.join(ctx, "sample_date", "left").fillna(0.0, [c for c in ctx.columns if c != "sample_date"])
+        df = df.join(F.broadcast(ctx), "sample_date", "left").fillna(0.0, [c for c in ctx.columns if c != "sample_date"])
     return df
 
 

@@ -73,7 +73,7 @@ def scores(spark: SparkSession, root: str) -> DataFrame:
         "entity", "date", finite(F.col("close") / R.shifted("close", 20) - 1).alias("score")
     )
     ends = weeks(spark, root).select("date")
-    return momentum.where("score IS NOT NULL").join(ends, "date", "left_semi").select("date", "entity", "score")
+    return momentum.where("score IS NOT NULL").join(F.broadcast(ends), "date", "left_semi").select("date", "entity", "score")
 
 
 @stored("labels")
@@ -182,7 +182,7 @@ def candidates(spark: SparkSession, root: str) -> DataFrame:
     week = F.date_trunc("week", "date").cast("date")
     ends = weeks(spark, root).select(week.alias("week"), F.col("date").alias("end"))
     traded = bars(spark, root).select("entity", week.alias("week")).distinct()
-    return traded.join(ends, "week").select(F.col("end").alias("date"), "entity")
+    return traded.join(F.broadcast(ends), "week").select(F.col("end").alias("date"), "entity")
 
 
 def suspended_flags(spark: SparkSession, root: str) -> DataFrame:
