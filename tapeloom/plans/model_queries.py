@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tapeloom.config import Allocation, Selection, Stops, WalkForward
+from tapeloom.config import Allocation, Stops, WalkForward
 from tapeloom.fixed_values import MARKET_PROXY_PATTERNS
 from tapeloom.models import walkforward as J
 from tapeloom.operators import allocation as O
