@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import near_dups
+from tapeloom.llm import langid, near_dups, secrets
 from tapeloom.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -47,3 +47,15 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM sized UNION SELECT reach.x, links
 named AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN named USING (doc_id)
 """
+
+
+@register
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: fixed formats and what the Markov models add."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
