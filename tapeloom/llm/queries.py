@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import langid, near_dups, secrets
+from tapeloom.llm import langid, mixing, near_dups, secrets
 from tapeloom.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -59,3 +60,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@register
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    rows = plan.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
