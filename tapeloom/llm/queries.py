@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import langid, mixing, near_dups, secrets
+from tapeloom.llm import langid, mixing, near_dups, pieces, secrets
 from tapeloom.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -68,3 +68,9 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     rows = plan.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@register
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document under merge-dropout, and the round trip back to its text."""
+    return pieces.summary(table(spark, sf_dir, "documents"))
