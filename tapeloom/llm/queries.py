@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import langid, mixing, near_dups, pieces, secrets
+from tapeloom.llm import langid, mixing, near_dups, pieces, secrets, sharding
 from tapeloom.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -74,3 +74,9 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document under merge-dropout, and the round trip back to its text."""
     return pieces.summary(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of near equal bytes."""
+    return sharding.text_shards(table(spark, sf_dir, "documents"))
