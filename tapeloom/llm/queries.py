@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import langid, mixing, near_dups, pieces, secrets, sharding
+from tapeloom.llm import exact_search, langid, mixing, near_dups, pieces, secrets, sharding
 from tapeloom.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -80,3 +80,23 @@ def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of near equal bytes."""
     return sharding.text_shards(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector, components in steps of 1/256."""
+    steps = F.transform("v", lambda x: F.floor(x * 256).cast("double"))
+    found = exact_search.exact_top_k(table(spark, sf_dir, "embeddings"), 50, 5, prepare=steps)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+SQL["op3_exact_top_k"] = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
