@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import exact_search, langid, mixing, near_dups, pieces, secrets, sharding
+from tapeloom.llm import ann, exact_search, langid, mixing, near_dups, pieces, secrets, sharding
 from tapeloom.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -100,3 +100,9 @@ scored AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5
 """
+
+
+@register
+def op9_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the twenty largest inner products of every twentieth vector."""
+    return ann.approximate_top_k(table(spark, sf_dir, "embeddings"), 20, 20)
