@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import ann, exact_search, langid, mixing, near_dups, pieces, secrets, sharding
+from tapeloom.llm import ann, chats, exact_search, langid, mixing, near_dups, pieces, secrets, sharding
 from tapeloom.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -106,3 +106,13 @@ FROM scored QUALIFY rank <= 5
 def op9_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About the twenty largest inner products of every twentieth vector."""
     return ann.approximate_top_k(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+@register
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the windows of each conversation hold, read back from them; with a conversation made of control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = rows.sparkSession.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chats.read_back(chats.windows(rows.unionByName(hard))).withColumnRenamed("conv", "conv_id")
