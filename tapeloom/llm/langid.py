@@ -194,15 +194,18 @@ def train(docs: DataFrame, text: str, label: str, order: Column, per_language: i
     return model
 
 
-def predict(docs: DataFrame, model: Model | None, keys: list[str], text: str) -> DataFrame:
-    """``keys`` with ``lang_pred`` and ``score``; ``und`` and 0 for a text that is null or has no letter."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["lang_pred string", "score double"])
+def predict(docs: DataFrame, model: Model | None, text: str, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score (columns of those names are replaced).
+
+    ``und`` and 0 for a text that is null or has no letter.
+    """
+    kept = [c for c in docs.columns if c not in out]
+    schema = docs.drop(*out).withColumn(out[0], F.lit(None).cast("string")).withColumn(out[1], F.lit(None).cast("double")).schema
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = [], []
-            for value in batch.column(len(keys)):
+            for value in batch.column(len(kept)):
                 t = value.as_py()
                 if model is None or not has_letters(t):
                     names.append(UNDETERMINED)
@@ -213,10 +216,9 @@ def predict(docs: DataFrame, model: Model | None, keys: list[str], text: str) ->
                 names.append(model.classes[best])
                 scores.append(float(p[best]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keys)], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*keys, "lang_pred", "score"])
+                [*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, *out])
 
-    return docs.select(*keys, F.col(text).cast("string").alias("_text")).mapInArrow(classify, schema)
+    return docs.select(*kept, F.col(text).cast("string").alias("_text_")).mapInArrow(classify, schema)
 
 
 def held_out(key: str) -> Column:
@@ -224,16 +226,18 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang",
-             per_language: int = PER_LANGUAGE, keep: list[str] | None = None) -> DataFrame:
-    """``key, held_out, lang_pred, score`` for every row (``keep``: these columns in place of the key).
+def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
+    """The model learned from text and label of the rows of ``docs`` that are not held out and have an id and a label."""
+    rows = docs.where(~held_out(key) & F.col(key).isNotNull() & F.col(label).isNotNull())
+    return train(rows, text, label, F.xxhash64(F.col(key)), per_language)
+
+
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+    """``key, held_out, lang_pred, score`` for every row.
 
-    Learns from text and label of rows that are not held out and have an id and a label; labels are ignored otherwise.
-    Ties go to the class that sorts first. Repeated rows are scored alike; an empty table gives an empty result; a
-    table without labels gives ``und`` throughout.
+    Labels only serve learning (see :func:`learned`). Ties go to the class that sorts first. Repeated rows are scored
+    alike; an empty table gives an empty result; a table without labels gives ``und`` throughout.
     """
-    learn = docs.where(~held_out(key) & F.col(key).isNotNull() & F.col(label).isNotNull())
-    model = train(learn, text, label, F.xxhash64(F.col(key)), per_language)
-    keys = list(dict.fromkeys([key, *(keep or [])]))
-    out = predict(docs, model, keys, text)
-    return out.withColumn("held_out", held_out(key)).select(*keys, "held_out", "lang_pred", "score")
+    model = learned(docs, key, text, label, per_language)
+    out = predict(docs.select(F.col(key), F.col(text).alias("_whole")), model, "_whole")
+    return out.select(key, held_out(key).alias("held_out"), "lang_pred", "score")

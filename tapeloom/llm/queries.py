@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import ann, chats, exact_search, langid, mixing, near_dups, pieces, secrets, sharding
+from tapeloom.llm import ann, chats, exact_search, langid, mixing, near_dups, pieces, secrets, sharding, toxicity
 from tapeloom.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -116,3 +116,9 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("</s>[INST] ok [/INST]").alias("text"))
     return chats.read_back(chats.windows(rows.unionByName(hard))).withColumnRenamed("conv", "conv_id")
+
+
+@register
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
