@@ -99,8 +99,8 @@ def fit_label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> L
     return model
 
 
-def fit_linear(found: list[np.ndarray], width: int, target: np.ndarray, epochs: int = 8, alpha: float = 0.5, beta: float = 1.0,
-               l1: float = 1.5, l2: float = 0.05) -> tuple[np.ndarray, float]:
+def fit_linear(found: list[np.ndarray], width: int, target: np.ndarray, epochs: int = 15, alpha: float = 1.0, beta: float = 1.0,
+               l1: float = 0.5, l2: float = 0.005) -> tuple[np.ndarray, float]:
     """Sparse logistic regression on soft labels over 0/1 features, by FTRL steps with an elastic net.
 
     The L1 part keeps a feature out until its gradients add up to more than ``l1``, so the many features that a long
@@ -121,6 +121,17 @@ def fit_linear(found: list[np.ndarray], width: int, target: np.ndarray, epochs:
     return w[:-1], float(w[-1])
 
 
+def best_cut(z: np.ndarray, toxic: np.ndarray) -> float:
+    """The margin that divides labelled documents with the best F1, in the middle of the gap that it lies in."""
+    order = np.argsort(-z, kind="stable")
+    z, toxic = z[order], toxic[order]
+    true = np.cumsum(toxic)
+    f1 = 2 * true / (np.arange(1, len(z) + 1) + toxic.sum())
+    ends = np.append(z[1:] < z[:-1], True)
+    at = int(np.argmax(np.where(ends, f1, -1)))
+    return float((z[at] + z[at + 1]) / 2) if at + 1 < len(z) else float(z[at] - 1)
+
+
 def held_out(key: str) -> Column:
     """Rows whose labels are never learned from: crc32 of the id's decimal text leaves 1 when divided by 3 (null id: false)."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -134,10 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -
     """Weights per slot and bias of the classifier; None unless both classes are labelled.
 
     Documents for fitting are a hash sample of the labelled rows that are not held out, and of further rows without
-    using labels. Terms are features whose smoothed log odds between the labelled classes are high (bounded below by
-    two deviations); they are dealt into ``LEXICONS`` lexicon voters, next to voters on how many terms occur and on
-    patterns. The label model weighs the voters; the classifier learns its posteriors from the ``FEATURES`` features
-    whose odds are surest.
+    using labels. Features count whose log-likelihood ratio between the labelled classes is more than chance gives the
+    best of all frequent ones. Those with high smoothed log odds are terms; they are dealt into ``LEXICONS`` lexicon
+    voters, next to voters on how many terms occur and on patterns. The label model weighs the voters; the classifier
+    learns its posteriors from the up to ``FEATURES`` surest features.
     """
     told = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("id")).agg(
         F.max(F.col(label).cast("int")).alias("toxic"))
@@ -166,12 +177,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -
     counts = sample.where("toxic >= 0").select("toxic", F.explode("found").alias("slot")).groupBy("slot").agg(
         F.sum(F.col("toxic")).alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (yes + 1.0)) - F.log((F.col("b") + 0.5) / (no + 1.0))
-    deviation = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    sure = counts.where("a + b >= 3").select("slot", odds.alias("odds"), (odds / deviation).alias("z"), (
-        F.log((F.col("a") + 0.5) / (yes + 1.0)) - F.log((F.col("b") + 0.5) / (no + 1.0)) - F.sqrt(1 / (F.col("a") + 0.5))).alias("low"))
-    terms = sure.orderBy(F.desc(F.abs("z")), "slot").limit(FEATURES).toPandas()
+    both, share = F.col("a") + F.col("b"), yes / (yes + no)
+
+    def gain(part: Column, expected: Column) -> Column:
+        return F.when(part > 0, part * F.log(part / expected)).otherwise(0.0)
+
+    frequent = stored(counts.where("a + b >= 3").select(
+        "slot", odds.alias("odds"), (2 * (gain(F.col("a"), both * share) + gain(F.col("b"), both * (1 - share)))).alias("g")), "toxicity-terms")
+    least = 2 * np.log(max(frequent.count(), 1)) + 2
+    terms = frequent.where(F.col("g") >= float(least)).orderBy(F.desc("g"), "slot").limit(FEATURES).toPandas()
     place = {s: i for i, s in enumerate(terms["slot"])}
-    toxic_terms = set(terms["slot"][(terms["low"] > LEAST_ODDS) & (terms["z"] > 2)])
+    toxic_terms = set(terms["slot"][terms["odds"] > LEAST_ODDS])
     shared = docs.sparkSession.sparkContext.broadcast(set(place))
 
     def narrowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -
     votes = np.column_stack([lexicon, several, none, np.array(data["votes"].tolist())])
     model = fit_label_model(votes, given)
     post = model.posterior(votes, given)
-    w, b = fit_linear([np.array([place[s] for s in f], np.int64) for f in data["found"]], len(place), post)
+    own = [np.array([place[s] for s in f], np.int64) for f in data["found"]]
+    w, b = fit_linear(own, len(place), post)
+    b += np.log(CUT / (1 - CUT)) - best_cut(np.array([w[f].sum() + b for f in own])[given >= 0], given[given >= 0] == 1)
     out = np.zeros(SLOTS)
     out[terms["slot"].to_numpy(np.int64)] = w
     return out.astype(np.float32), b
