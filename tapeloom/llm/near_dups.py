@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import stored
@@ -71,6 +71,46 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * shared >= percent * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair ``a < b`` of ``nodes`` (``node, root, n``) with different roots that may be linked, without all pairs.
+
+    Two sets of sizes ``x`` and ``y`` are linked only if they share ``s >= percent * (x + y) / (100 + percent)``
+    elements; then, with elements in one order, they share one among their first ``x - s + 1`` and ``y - s + 1``. The
+    rarest elements come first, so texts that resemble each other without being linked differ in those. Sizes are put in
+    classes 5 % wide and each set is listed under its leading elements once per class that a partner can be in;
+    elements that a single set holds and lists within one component are dropped. Of what meets in a list, the places of
+    the element in both sets rule out most: from their first common element on both must hold enough.
+    """
+    step = 1.05
+    whole = sets.select(F.col("id").alias("node"), "hashes").join(nodes, "node").select("node", "root", F.explode("hashes").alias("g"))
+    often = whole.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    order = whole.join(often, "g").groupBy("node", "root").agg(
+        F.array_sort(F.collect_list(F.struct("often", "g"))).alias("order")).withColumn("n", F.size("order"))
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(step, n.cast("double"))).cast("int")
+
+    low, high = F.ceil(F.col("n") * percent / 100.0), F.floor(F.col("n") * 100.0 / percent)
+    ways = order.withColumn("own", size_class(F.col("n"))).withColumn(
+        "other", F.explode(F.sequence(size_class(low) - 1, size_class(high) + 1)))
+    least = F.greatest(F.floor(F.pow(F.lit(step), F.col("other"))) - 1, low)
+    need = F.ceil((F.col("n") + least) * percent / (100.0 + percent) - 1e-9)
+    lead = F.slice("order", F.lit(1), F.greatest(F.col("n") - need + 1, F.lit(0)).cast("int"))
+    listed = ways.select("node", "root", "n", "own", "other", F.posexplode(lead).alias("at", "e")).where("e.often > 1").select(
+        "node", "root", "n", "own", "at", F.struct("e.g", F.least("own", "other").alias("c0"), F.greatest("own", "other").alias("c1")).alias("list"))
+    listed = stored(listed, "listed")
+    split = listed.groupBy("list").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("list")
+    kept = listed.join(split.hint("shuffle_hash"), "list", "left_semi")
+    left = kept.select("list", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("own").alias("ca"), F.col("at").alias("ia"))
+    right = kept.select("list", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("own").alias("cb"), F.col("at").alias("ib"))
+    near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (
+        F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (
+        F.col("ca") + F.col("cb") == left["list.c0"] + left["list.c1"]) & (
+        # What both have from their first common element on must be enough.
+        F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    return left.join(right, (left["list"] == right["list"]) & near).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``key, n_shingles, component_id, kept`` for every row of ``docs``.
@@ -78,10 +118,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Two documents are linked when their shingle sets share at least ``percent`` % of their union; a component is what
     links connect, named by its least id. Documents with equal sets form a class first, so exact copies cost one row
     each, however many there are. Each class enters ``bands`` buckets. In a bucket the least member is the hub and the
-    only candidate pairs are hub and member (a star); candidates are confirmed on whole sets. Members that the links
-    found so far leave outside the hub's component get further stars among what remains of their bucket, four times as
-    many each round, until every bucket lies within one component or has no untried pair. So no pair of a bucket that
-    could still join two components goes untested, and a bucket of similar texts never costs more than one star.
+    only candidate pairs are hub and member (a star); candidates are confirmed on whole sets. Stars alone could miss a
+    link between two members, so the members of buckets that confirmed links leave in several components go through an
+    exact join on their rarest shingles (:func:`prefix_pairs`). A bucket of linked texts never costs more than a star.
 
     Null or word-less texts have an empty set and are linked with nothing. Rows repeating an id are one node: it is
     linked with whatever any of them is linked with. Rows with a null id and no identified copy get a null
@@ -103,26 +142,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         "a", "na", F.col("node").alias("b"), F.col("n").alias("nb"))
     links = stored(confirmed(tries.where(like).select("a", "b").distinct(), sets, percent), "links")
     roots = stored(components(links), "roots")
-    left, stars = members.where("node <> low").select("bucket", "node", "n"), 4
-    while True:
-        labelled = left.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        torn = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-        left = stored(labelled.join(torn.select("bucket").hint("shuffle_hash"), "bucket", "left_semi"), "left")
-        if left.isEmpty():
-            break
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node", "n"))
-        centres = left.withColumn("turn", rank).where(F.col("turn") <= stars).select(
-            "bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        tries = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")).join(
-            centres, "bucket").where((F.col("ra") != F.col("rb")) & like)
-        pairs = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stored(confirmed(pairs, sets, percent), "links")
+    labelled = members.select("bucket", "node", "n").join(roots, "node", "left").select(
+        "bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    torn = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    rest = stored(labelled.join(torn.select("bucket").hint("shuffle_hash"), "bucket", "left_semi").groupBy("node", "root").agg(
+        F.min("n").alias("n")), "rest")
+    if not rest.isEmpty():
+        found = stored(confirmed(prefix_pairs(rest, sets, percent), sets, percent), "links")
         if not found.isEmpty():
-            links = links.union(found)
-            roots = stored(components(links), "roots")
-        done = centres.select("bucket", F.col("a").alias("node"))
-        left = left.join(done, ["bucket", "node"], "left_anti").select("bucket", "node", "n")
-        stars *= 4
+            roots = stored(components(links.union(found)), "roots")
 
     named = classes.join(roots, "node", "left").select("f1", "f2", F.col("n_shingles").alias("n"), F.coalesce("root", "node").alias("component"))
     placed = signed.join(named, (signed.f1 == named.f1) & (signed.f2 == named.f2) & (signed.n_shingles == named.n), "left")
@@ -130,3 +158,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return placed.select(
         F.col("id").alias(key), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings: int) -> DataFrame:
+    """``docs`` without near duplicates: of each component the document with the least id, once; own columns only.
+
+    Of rows that repeat an id one stays. Rows with a null id all stay.
+    """
+    kept = near_duplicates(docs, key, text, **settings).where(F.col("kept") & F.col(key).isNotNull()).select(key).distinct()
+    named = docs.join(kept.hint("shuffle_hash"), key, "left_semi").dropDuplicates([key])
+    return named.select(*docs.columns).union(docs.where(F.col(key).isNull()))
