@@ -26,6 +26,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 # Sampled documents (expected number) that give ordinary identifiers, and base hits that give random strings.
 SAMPLE_DOCS, SAMPLE_HITS = 500, 2000
+# The share of ordinary identifiers that must score below the threshold.
+ORDINARY = 0.999
 BLOCK = 256
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -104,7 +106,7 @@ def learn(found: DataFrame, key: str) -> tuple[str, float]:
     Random strings are the values of a sample of base hits, and strings of digests of ids in base 64, which stand in
     where a corpus has no hits. Ordinary identifiers are words of sampled documents outside base spans, alone and
     joined with the word before by ``_`` or nothing. Half of either fits the models (add-half smoothing); the
-    threshold is the highest score of the other ordinary half, 0 at least, so none of those is reported.
+    threshold is the ``ORDINARY`` quantile of the scores of the other ordinary half, 0 at least.
     """
     n = found.count()
     text = F.col("text")
@@ -132,7 +134,8 @@ def learn(found: DataFrame, key: str) -> tuple[str, float]:
             ratios.append(math.log(rand / plain))
     coded = json.dumps([round(x, 5) for x in ratios])
     other = tokens.where(~F.col("fit") & F.col("ordinary"))
-    top = other.select(F.max(_score(F.col("token"), F.from_json(F.lit(coded), "array<double>"))).alias("top")).first()["top"]
+    score = _score(F.col("token"), F.from_json(F.lit(coded), "array<double>"))
+    top = other.select(F.percentile(score, F.lit(ORDINARY)).alias("top")).first()["top"]
     return coded, max(0.0, top or 0.0)
 
 

@@ -104,7 +104,7 @@ def test_secret_scan_equals_brute_force(spark, rows):
     hexes = hashlib.sha256(b"x").hexdigest()[:40]
     odd = "q7Zt+9Lw/Kd2Xv8RbN4mYc1HsJ6gPf3Te5Ua0Wo"
     more = [f'é {key} token = "{hexes}" end', f"password=abc secret=token: abcdefgh {hexes}", f"API_KEY:'{hexes}'" * 300, odd + " plain text",
-            "Secret=" + "x" * 6, "passwd : y", "the_long_identifier_of_something plain", "tokenſecret=abcdefg", "api-key=abcdefgh", "apikey=abcdef"]
+            "Secret=" + "x" * 6, "passwd : y", "_".join(rows[0][1].split()[:6]) + " plain", "tokenſecret=abcdefg", "api-key=abcdefgh", "apikey=abcdef"]
     docs = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string")
     got = secrets.scan(docs).collect()
     texts = {**{r[0]: r[1] for r in rows}, **{1000 + i: t for i, t in enumerate(more)}}
