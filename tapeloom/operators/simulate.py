@@ -55,12 +55,17 @@ def stock_returns(moves: DataFrame, costs: Costs = Costs()) -> DataFrame:
     )
 
 
-def daily_nav(returns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Daily portfolio return, number held and compounded NAV per series."""
+def daily_nav(returns: DataFrame, keys: tuple[str, ...] = (), every: DataFrame | None = None) -> DataFrame:
+    """Daily portfolio return, number held and compounded NAV per series.
+
+    ``every`` lists the keys and dates that get a row, with return 0 where nothing is held.
+    """
     held = F.count_if(F.col("path").isin("add", "keep"))
     daily = returns.groupBy(*keys, "date").agg(
         F.coalesce(F.sum("contribution"), F.lit(0.0)).alias("ret_long"), held.alias("n_long")
     )
+    if every is not None:
+        daily = every.join(daily, [*keys, "date"], "left").fillna({"ret_long": 0.0, "n_long": 0})
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return daily.select(
         *keys,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.config import Costs, Stops
 from tapeloom.operators.evaluation import performance
-from tapeloom.operators.simulate import daily_nav, transitions
+from tapeloom.operators.simulate import daily_nav, market_days, transitions
 
 EVENTS = (
     "param_id string, entity string, date date, kind string, path string, weight double, ret double, "
@@ -216,8 +216,10 @@ def trades_of(events: DataFrame) -> DataFrame:
     return events.where("kind <> 'RET'").select("param_id", "date", "entity", F.col("kind").alias("action"), "entry_price", "exec_price")
 
 
-def stopped_nav(events: DataFrame) -> DataFrame:
-    return daily_nav(returns_of(events), ("param_id",))
+def stopped_nav(events: DataFrame, positions: DataFrame, bars: DataFrame, names: Iterable[str]) -> DataFrame:
+    """NAV of every named setting, with a row for each market day, held or not."""
+    every = market_days(positions, bars).select("date", F.explode(F.array(*map(F.lit, names))).alias("param_id"))
+    return daily_nav(returns_of(events), ("param_id",), every)
 
 
 def grid(take_profits: Iterable[float], stop_losses: Iterable[float], cooldowns: Iterable[float]) -> list[tuple[str, Stops]]:
@@ -230,7 +232,7 @@ def grid(take_profits: Iterable[float], stop_losses: Iterable[float], cooldowns:
 
 def sweep(positions: DataFrame, bars: DataFrame, settings: Sequence[tuple[str, Stops]], costs: Costs = Costs(), freq: int = 252) -> DataFrame:
     """Sharpe ratio of every setting, from one pass over the data."""
-    nav = stopped_nav(simulate(positions, bars, settings, costs))
+    nav = stopped_nav(simulate(positions, bars, settings, costs), positions, bars, [name for name, _ in settings])
     stats = performance(nav.select("param_id", "date", F.col("ret_total").alias("ret")), ("param_id",), freq)
     parts = F.split("param_id", r"\|")
     value = lambda i: F.substring_index(parts[i], "=", -1).cast("double")

@@ -66,14 +66,12 @@ def write_partitioned(spark, root):
 
 @query("a5_upsert_bars", S.with_base(final("""
 SELECT entity, date, CASE WHEN date >= DATE '2000-01-01' THEN close * 2 ELSE close END AS close,
-  CASE WHEN date < DATE '2001-01-01' THEN volume END AS volume FROM bars""", "entity, date", "close volume")))
+  CASE WHEN date < DATE '2000-01-01' THEN volume END AS volume FROM bars""", "entity, date", "close volume")))
 def upsert_bars(spark, root):
     bars = fx.bars(spark, root)
     old = bars.where("date < DATE '2001-01-01'").select("entity", "date", "close", "volume")
     revised = bars.where("date >= DATE '2000-01-01'").select("entity", "date", (F.col("close") * 2).alias("close"))
-    kept = old.select("entity", "date", "volume")
-    merged = U.upsert(old, revised).select("entity", "date", "close")
-    return report(merged.join(kept, ["entity", "date"], "left"))
+    return report(U.upsert(old, revised).select("entity", "date", "close", "volume"))
 
 
 @query("a6_upsert_flags", S.with_base("""

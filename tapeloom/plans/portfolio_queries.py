@@ -14,6 +14,7 @@ from tapeloom.operators import stops as X
 from tapeloom.plans import fixtures as fx
 from tapeloom.plans import sqltext as S
 from tapeloom.plans.registry import final, query, report
+from tapeloom.plans.stopsql import stop_relations
 
 COSTS = Costs()
 
@@ -52,14 +53,13 @@ JOIN own b ON b.entity = w.entity AND b.date = w.d0
 LEFT JOIN own n ON n.entity = w.entity AND n.date = b.nxt
 JOIN own e ON e.entity = w.entity AND e.date = w.d1
 WHERE {start} AND {base} > 0""", "entity, sample_date", "ret"),
-        f"own AS (SELECT *, lead(date) OVER ({S.O}) AS nxt FROM bars WHERE entity IN ('Brand#1', 'Brand#2', 'Brand#3'))")
+        f"own AS (SELECT *, lead(date) OVER ({S.O}) AS nxt FROM bars)")
 
 
 def asset_query(name, mode):
     @query(name, _asset_sql(mode))
     def run(spark, root):
-        few = fx.bars(spark, root).where(F.col("entity").isin("Brand#1", "Brand#2", "Brand#3"))
-        return report(G.asset_week_returns(few, fx.weeks(spark, root), mode))
+        return report(G.asset_week_returns(fx.bars(spark, root), fx.weeks(spark, root), mode))
 
 
 asset_query("g4_asset_week_open_to_close", "o2c")
@@ -179,11 +179,23 @@ def trade_log(spark, root):
     return report(M.trade_log(fx.moves(spark, root), COSTS), 7)
 
 
+STOP_SQL = {
+    "nav": ("st_nav", "param_id, date, n_long", "ret_long ret_short ret_total nav"),
+    "trades": ("st_trades", "param_id, date, entity, action", "entry_price exec_price"),
+    "returns": ("st_rets", "param_id, date, entity, path", "weight ret contribution"),
+}
+
+
 def stop_query(name, events, stops):
-    @query(name)
+    relation, keys, doubles = STOP_SQL[events]
+
+    @query(name, S.with_base(final(relation, keys, doubles, 7), *S.BOOK, stop_relations([("base", stops)], COSTS), recursive=True))
     def run(spark, root):
-        out = X.simulate(fx.positions(spark, root), fx.bars(spark, root), [("base", stops)], COSTS)
-        return report({"nav": X.stopped_nav, "trades": X.trades_of, "returns": X.returns_of}[events](out))
+        book = fx.positions(spark, root), fx.bars(spark, root)
+        out = X.simulate(*book, [("base", stops)], COSTS)
+        if events == "nav":
+            return report(X.stopped_nav(out, *book, ["base"]), 7)
+        return report({"trades": X.trades_of, "returns": X.returns_of}[events](out), 7)
 
 
 stop_query("m6_fixed_stops_nav", "nav", Stops(take_profit=0.15, stop_loss=0.05))
@@ -196,8 +208,9 @@ stop_query("m10_blocked_reentry_nav", "nav", Stops(take_profit=0.1, stop_loss=0.
 @query("m11_stops_off_equal_plain_nav", S.with_base(final("navs", "date, n_long", "ret_total nav", 7), *S.BOOK))
 def stops_off(spark, root):
     off = Stops(take_profit=99.0, stop_loss=99.0)
-    events = X.simulate(fx.positions(spark, root), fx.bars(spark, root), [("off", off)], COSTS)
-    return report(X.stopped_nav(events).select("date", "n_long", "ret_total", "nav"), 7)
+    book = fx.positions(spark, root), fx.bars(spark, root)
+    events = X.simulate(*book, [("off", off)], COSTS)
+    return report(X.stopped_nav(events, *book, ["off"]).select("date", "n_long", "ret_total", "nav"), 7)
 
 
 @query("m11b_stops_off_trades", S.with_base(final(
@@ -365,16 +378,28 @@ def performance_report(spark, root):
 # ---------------------------------------------------------------- sweep
 
 
+SWEEP = X.grid(TAKE_PROFIT_GRID, STOP_LOSS_GRID, COOLDOWN_GRID)
+SWEEP_SQL = """
+SELECT tp AS take_profit, sl AS stop_loss, cd AS cooldown_days, CASE WHEN sd > 0 THEN m / sd * sqrt(CAST(252 AS DOUBLE)) END AS sharpe
+FROM st_set JOIN (SELECT param_id, avg(ret_total) AS m, stddev_samp(ret_total) AS sd FROM st_daily GROUP BY param_id) USING (param_id)"""
+
+
+def sweep_sql(body):
+    return S.with_base(body, *S.BOOK, stop_relations(SWEEP, COSTS), recursive=True)
+
+
 def sweep_results(spark, root):
-    settings = X.grid(TAKE_PROFIT_GRID, STOP_LOSS_GRID, COOLDOWN_GRID)
-    return X.sweep(fx.positions(spark, root), fx.bars(spark, root), settings, COSTS)
+    return X.sweep(fx.positions(spark, root), fx.bars(spark, root), SWEEP, COSTS)
 
 
-@query("q1_stop_sweep")
+@query("q1_stop_sweep", sweep_sql(final(SWEEP_SQL, "", "take_profit stop_loss cooldown_days sharpe", 7)))
 def stop_sweep(spark, root):
-    return report(sweep_results(spark, root))
+    return report(sweep_results(spark, root), 7)
 
 
-@query("q2_sweep_table")
+@query("q2_sweep_table", sweep_sql(final(
+    "SELECT take_profit, stop_loss, " + ", ".join(f"max(CASE WHEN cooldown_days = {c!r} THEN sharpe END) AS cd_{c:g}" for c in COOLDOWN_GRID)
+    + f" FROM ({SWEEP_SQL}) GROUP BY take_profit, stop_loss",
+    "", ["take_profit", "stop_loss", *(f"cd_{c:g}" for c in COOLDOWN_GRID)], 7)))
 def sweep_table(spark, root):
-    return report(X.sweep_table(sweep_results(spark, root), COOLDOWN_GRID))
+    return report(X.sweep_table(sweep_results(spark, root), COOLDOWN_GRID), 7)

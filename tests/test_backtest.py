@@ -107,11 +107,20 @@ def book(spark):
 def test_rules_off_equal_the_plain_simulation(book):
     positions, bars, _ = book
     plain = M.daily_nav(M.stock_returns(M.transitions(positions, bars))).toPandas().sort_values("date")
-    walked = X.stopped_nav(X.simulate(positions, bars, [("off", Stops(rules=()))])).toPandas().sort_values("date")
+    walked = X.stopped_nav(X.simulate(positions, bars, [("off", Stops(rules=()))]), positions, bars, ["off"]).toPandas().sort_values("date")
     for c in ("ret_total", "nav", "n_long"):
         assert plain[c].tolist() == pytest.approx(walked[c].tolist())
 
 
+def test_idle_days_have_nav_rows(book):
+    positions, bars, _ = book
+    stops = [("tight", Stops(stop_loss=0.01, take_profit=0.01, cooldown_days=30))]
+    got = X.stopped_nav(X.simulate(positions, bars, stops), positions, bars, ["tight"]).toPandas().sort_values("date")
+    assert len(got) == 6
+    idle = got[got["n_long"] == 0]
+    assert len(idle) and (idle["ret_total"].iloc[-1] == 0)
+
+
 def test_plain_simulation_by_hand(book):
     positions, bars, _ = book
     got = M.daily_nav(M.stock_returns(M.transitions(positions, bars), FREE)).toPandas().sort_values("date")["ret_total"].tolist()
