@@ -71,17 +71,17 @@ def _stats(value: str, names: tuple[str, str, str, str]) -> list[Column]:
     ]
 
 
-def ic_summary(ic: DataFrame, value: str = "rank_ic") -> DataFrame:
-    """Mean, deviation, information ratio and t value of an IC series."""
+def ic_summary(ic: DataFrame, value: str = "rank_ic", keys: Sequence[str] = ()) -> DataFrame:
+    """Mean, deviation, information ratio and t value of an IC series, or of each series that ``keys`` tell apart."""
     dev = F.stddev_samp(value)
     t = F.when(dev > 0, F.avg(value) / (dev / F.sqrt(F.count(value).cast("double"))))
-    return ic.agg(*_stats(value, ("n_weeks", "ic_mean", "ic_std", "icir")), t.alias("t_stat"))
+    return ic.groupBy(*keys).agg(*_stats(value, ("n_weeks", "ic_mean", "ic_std", "icir")), t.alias("t_stat"))
 
 
-def yearly_stats(df: DataFrame, value: str) -> DataFrame:
-    """Count, mean, deviation and ratio per year, with the overall row (``year`` NULL) in the same pass."""
-    keyed = df.withColumn("year", F.year("date"))
-    return keyed.rollup("year").agg(*_stats(value, ("n", "mean", "std", "ir")))
+def yearly_stats(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Count, mean, deviation and ratio per series and year, with the overall row (``year`` NULL) in the same pass."""
+    keyed = df.withColumn("year", F.explode(F.array(F.year("date"), F.lit(None).cast("int"))))
+    return keyed.groupBy(*keys, "year").agg(*_stats(value, ("n", "mean", "std", "ir")))
 
 
 def normalised_weights(positions: DataFrame) -> DataFrame:
@@ -92,29 +92,29 @@ def normalised_weights(positions: DataFrame) -> DataFrame:
     return both.select("date", "entity", scaled.alias("weight"))
 
 
-def turnover(weights: DataFrame) -> DataFrame:
-    """Half the absolute weight change from one position date to the next, clipped to [0, 1].
+def turnover(weights: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Half the absolute weight change from one position date to the next, clipped to [0, 1], per series.
 
     Each weight is counted once at its own date and once, negated, at the next
     one; the first date has no predecessor and is left out.
     """
-    w = Window.orderBy("date")
-    stamps = weights.select("date").distinct().select(
-        "date", F.lead("date").over(w).alias("next_date"), F.lag("date").over(w).alias("prev_date")
+    w = Window.partitionBy(*keys).orderBy("date")
+    stamps = weights.select(*keys, "date").distinct().select(
+        *keys, "date", F.lead("date").over(w).alias("next_date"), F.lag("date").over(w).alias("prev_date")
     )
-    moves = weights.join(stamps, "date").select(
-        "entity",
+    moves = weights.join(stamps, [*keys, "date"]).select(
+        *keys, "entity",
         F.explode(
             F.array(
                 F.struct(F.col("date").alias("at"), F.col("weight").alias("dw"), F.col("prev_date").isNull().alias("first")),
                 F.struct(F.col("next_date").alias("at"), (-F.col("weight")).alias("dw"), F.lit(False).alias("first")),
             )
         ).alias("m"),
-    ).select("entity", "m.at", "m.dw", "m.first").where("at IS NOT NULL")
-    change = moves.groupBy("at", "entity").agg(F.sum("dw").alias("dw"), F.max("first").alias("first"))
-    daily = change.groupBy("at").agg(F.sum(F.abs("dw")).alias("moved"), F.max("first").alias("first"))
+    ).select(*keys, "entity", "m.at", "m.dw", "m.first").where("at IS NOT NULL")
+    change = moves.groupBy(*keys, "at", "entity").agg(F.sum("dw").alias("dw"), F.max("first").alias("first"))
+    daily = change.groupBy(*keys, "at").agg(F.sum(F.abs("dw")).alias("moved"), F.max("first").alias("first"))
     return daily.where(~F.col("first")).select(
-        F.col("at").alias("date"), F.least(F.greatest(0.5 * F.col("moved"), F.lit(0.0)), F.lit(1.0)).alias("turnover")
+        *keys, F.col("at").alias("date"), F.least(F.greatest(0.5 * F.col("moved"), F.lit(0.0)), F.lit(1.0)).alias("turnover")
     )
 
 

@@ -28,8 +28,11 @@ def limit_like(rules: UniverseRules = UniverseRules()) -> Column:
 
 
 def _with_flag(df: DataFrame, flags: DataFrame, name: str, strict: bool) -> DataFrame:
-    """Attach a flag by exact code, else by its shortened spelling; unknown is clear unless strict."""
-    known = flags.select("date", "entity", F.col("flag").alias(f"_{name}"))
+    """Attach a flag by exact code, else by its shortened spelling; unknown is clear unless strict.
+
+    A code that is listed more than once a day has its greatest flag.
+    """
+    known = flags.groupBy("date", "entity").agg(F.max("flag").alias(f"_{name}"))
     short = known.withColumnsRenamed({"entity": "_short", f"_{name}": f"_{name}2"})
     out = (
         df.withColumn("_short", short_code("entity"))

@@ -16,12 +16,12 @@ from tapeloom.operators import universe as H
 from tapeloom.plans import fixtures as fx
 from tapeloom.plans import sqltext as S
 from tapeloom.plans.registry import final, query, report
-from tapeloom.session import shared_dir
 from tapeloom.sources import bars as B
 from tapeloom.sources import readers as RD
 from tapeloom.sources import upsert as U
 
 VALUES = "open high low close volume total_turnover num_trades"
+PANEL_VALUES = RD.PANEL_VALUES
 
 # ---------------------------------------------------------------- sources and ingest
 
@@ -35,7 +35,7 @@ def read_parquet(spark, root):
 
 @query("a2_read_encoded_csv", "SELECT n_name || '行业' AS name, CAST(n_nationkey AS VARCHAR) AS id FROM nation")
 def read_encoded(spark, root):
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/gbk_names"
+    path = fx.scratch(spark, root, "gbk_names")
     names = B.table(spark, root, "nation").select(
         F.concat("n_name", F.lit("行业")).alias("name"), F.col("n_nationkey").cast("string").alias("id"))
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -57,11 +57,11 @@ def parse_dates(spark, root):
     return orders.select("o_orderkey", parse_date_flexible(spelled).alias("parsed"))
 
 
-@query("a4_write_partitioned", S.with_base(final("SELECT entity, date, close FROM bars", "entity, date", "close")))
+@query("a4_write_partitioned", S.with_base(final("bars", "entity, date", PANEL_VALUES)))
 def write_partitioned(spark, root):
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/by_year"
-    RD.write(fx.bars(spark, root).select("entity", "date", "close", F.year("date").alias("year")), path, by=["year"])
-    return report(RD.read_parquet(spark, path).select("entity", "date", "close"))
+    path = fx.scratch(spark, root, "by_year")
+    RD.write(fx.bars(spark, root).select("entity", "date", *PANEL_VALUES, F.year("date").alias("year")), path, by=["year"])
+    return report(RD.read_parquet(spark, path).select("entity", "date", *PANEL_VALUES))
 
 
 @query("a5_upsert_bars", S.with_base(final("""

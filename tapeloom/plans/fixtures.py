@@ -32,6 +32,11 @@ from tapeloom.sources.upsert import dimension_ids
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
+def scratch(spark: SparkSession, root: str, name: str) -> str:
+    """A place under the shared folder for one session, input folder and name."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{hashlib.md5(root.encode()).hexdigest()[:12]}/{name}"
+
+
 def stored(name: str) -> Callable:
     """Write the decorated table once per session and input folder, then read it back."""
 
@@ -39,8 +44,7 @@ def stored(name: str) -> Callable:
         def load(spark: SparkSession, root: str) -> DataFrame:
             key = (spark.sparkContext.applicationId, root, name)
             if key not in _WRITTEN:
-                place = hashlib.md5(root.encode()).hexdigest()[:12]
-                path = f"{shared_dir(spark)}/{key[0]}/{place}/{name}"
+                path = scratch(spark, root, name)
                 build(spark, root).write.mode("overwrite").parquet(path)
                 _WRITTEN[key] = path
             return spark.read.parquet(_WRITTEN[key])

@@ -33,11 +33,14 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "utf-8") -> DataFrame | None:
-    """A delimited dataset with a header in one of the known encodings, or None if absent."""
+    """A delimited dataset with a header in one of the known encodings, or None if absent.
+
+    Regional encodings need ``spark.sql.legacy.javaCharsets`` to be set in the session.
+    """
     if encoding not in TEXT_ENCODINGS:
         raise ValueError(f"encoding must be one of {TEXT_ENCODINGS}")
-    if encoding not in ("utf-8", "latin-1"):  # regional encodings are off by default in Spark 4
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    if encoding not in ("utf-8", "latin-1") and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+        raise ValueError(f"set spark.sql.legacy.javaCharsets to read {encoding}")
     charset = "iso-8859-1" if encoding == "latin-1" else encoding
     reader = spark.read.option("header", True).option("encoding", charset)
     if schema:

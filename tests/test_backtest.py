@@ -167,3 +167,18 @@ def test_constant_scores_have_no_correlation(spark):
     ret = df.select(F.col("date").alias("sample_date"), "entity", F.col("ret").alias("next_week_return"))
     assert E.rank_ic(df, ret).first().rank_ic is None
     assert E.pearson_ic(df).first().ic is None
+
+
+def test_series_keys_keep_series_apart(spark):
+    from tapeloom.operators import evaluation as E
+
+    days = [dt.date(2020, 12, 30) + dt.timedelta(days=i) for i in range(4)]
+    rows = [(s, d, f"e{(i + k) % 2}", 1.0) for k, s in enumerate("ab") for i, d in enumerate(days)]
+    weights = spark.createDataFrame(rows, "series_id string, date date, entity string, weight double")
+    both = E.turnover(weights, ("series_id",)).toPandas()
+    one = E.turnover(weights.where("series_id = 'a'").drop("series_id")).toPandas()
+    assert both.groupby("series_id").size().to_dict() == {"a": 3, "b": 3} and set(both["turnover"]) == set(one["turnover"]) == {1.0}
+    ic = spark.createDataFrame([(s, d, float(i + k)) for k, s in enumerate("ab") for i, d in enumerate(days)], "series_id string, date date, rank_ic double")
+    assert {r["series_id"]: r["ic_mean"] for r in E.ic_summary(ic, keys=("series_id",)).collect()} == {"a": 1.5, "b": 2.5}
+    yearly = {(r["series_id"], r["year"]): r["n"] for r in E.yearly_stats(ic, "rank_ic", ("series_id",)).collect()}
+    assert yearly == {("a", 2020): 2, ("a", 2021): 2, ("a", None): 4, ("b", 2020): 2, ("b", 2021): 2, ("b", None): 4}
