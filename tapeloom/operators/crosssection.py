@@ -1,7 +1,8 @@
 """Statistics across the entities of one group (usually one date).
 
 A group can hold any share of the rows. Means and counts are aggregates joined
-back. Ranks and exact quantiles treat two kinds of groups differently:
+back; exact quantiles are bracketed by sketches and counted inside the bracket.
+Ranks treat two kinds of groups differently:
 
 * groups of up to ``GROUP_LIMIT`` rows are handled whole, one per task;
 * larger groups never meet in one task. Their value range is cut at
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 PIECES = 32
 GROUP_LIMIT = 1_000_000
+# Rank accuracy of the sketches behind exact quantiles, and how far from the wanted share their brackets reach.
+ACCURACY, BRACKET = 2000, 0.002
 
 
 def by_size(df: DataFrame, by: Sequence[str], limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -126,42 +129,50 @@ def _split_positions(long: DataFrame, group: Sequence[str], key: str, pieces: in
     return cut.join(starts, piece).withColumn("_place", place).select(*long.columns, "_place")
 
 
-def with_quantiles(df: DataFrame, by: Sequence[str], value: str, outs: Mapping[str, float], limit: int | None = None) -> DataFrame:
-    """Exact group quantiles (linear interpolation), one row per group."""
-    present = df.select(*by, value).where(F.col(value).isNotNull())
-    small, large = by_size(present, by, limit)
-    found = small.groupBy(*by).agg(F.percentile(value, [float(p) for p in outs.values()]).alias("_q"))
-    direct = found.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(outs)])
-    return direct.unionByName(_split_quantiles(large, by, value, outs))
-
+def with_quantiles(df: DataFrame, by: Sequence[str], value: str, outs: Mapping[str, float]) -> DataFrame:
+    """Exact group quantiles (linear interpolation), one row per group with a value.
 
-def medians(df: DataFrame, by: Sequence[str], columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    Approximate quantiles a little below and above bracket each wanted place. One aggregation then counts the rows below
+    the bracket and the distinct values inside it, and the exact value is read off their running counts. All steps
+    combine map-side; what is left of a group to be ordered is the bracket, whatever the group's size.
+    """
+    by = list(by)
+    present = df.select(*by, value).where(F.col(value).isNotNull())
+    shares = [s for p in outs.values() for s in (max(0.0, p - BRACKET), min(1.0, p + BRACKET))]
+    sketch = present.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"),
+                                      F.percentile_approx(value, shares, ACCURACY).alias("_near"))
+    few = F.col("_n") <= ACCURACY
+    brackets = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(few, F.col("_min")).otherwise(F.col("_near")[2 * i]).alias("low"),
+                 F.when(few, F.col("_max")).otherwise(F.col("_near")[2 * i + 1]).alias("high")) for i in range(len(outs))])
+    bracketed = present.join(sketch.select(*by, "_n", brackets.alias("_b")), by)
+    hit = F.explode(F.filter("_b", lambda b: F.col(value) <= b["high"])).alias("_h")
+    counts = bracketed.select(*by, "_n", value, hit).select(
+        *by, "_n", F.col("_h.i").alias("_i"), F.when(F.col(value) >= F.col("_h.low"), F.col(value)).alias("_v")).groupBy(
+        *by, "_n", "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    so_far = Window.partitionBy(*by, "_n", "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in outs.values()]), F.col("_i") + 1)
+    run = counts.withColumn("_run", F.sum("_c").over(so_far)).withColumn("_h", place)
+    picks = []
+    for i, name in enumerate(outs):
+        mine = F.col("_i") == i
+        picks += [F.min(F.when(mine & (F.col("_run") > F.floor("_h")), F.col("_v"))).alias(f"_lo_{name}"),
+                  F.min(F.when(mine & (F.col("_run") > F.ceil("_h")), F.col("_v"))).alias(f"_hi_{name}"),
+                  F.max(F.when(mine, F.col("_h") - F.floor("_h"))).alias(f"_at_{name}")]
+    found = run.groupBy(*by).agg(*picks)
+    return found.select(*by, *[
+        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_at_{n}")).alias(n) for n in outs])
+
+
+def medians(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Exact group medians of several columns, one row per group.
 
-    Large groups go through one long table ``(group, column name, value)``, so
-    the number of jobs does not grow with the number of columns.
+    All columns go through one long table ``(group, column name, value)``, so the number of jobs does not grow with the
+    number of columns.
     """
-    small, large = by_size(df.select(*by, *columns), by, limit)
-    direct = small.groupBy(*by).agg(*[F.percentile(c, 0.5).alias(c) for c in columns])
-    long = _long_values(large, by, columns)
-    found = _split_quantiles(long, [*by, "_name"], "_value", {"_q": 0.5})
+    found = with_quantiles(_long_values(df, by, columns), [*by, "_name"], "_value", {"_q": 0.5})
     wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == c, F.col("_q"))).alias(c) for c in columns])
-    return direct.unionByName(wide)
-
-
-def _split_quantiles(df: DataFrame, by: Sequence[str], value: str, outs: Mapping[str, float]) -> DataFrame:
-    picked = []
-    for name, p in outs.items():
-        h = (F.col("total") - 1) * F.lit(float(p))
-        for side, position in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            picked.append(F.max(F.when(F.col("below") <= position, F.col(value))).alias(f"_{side}_{name}"))
-    found = value_counts_before(df, by, value).groupBy(*by).agg(F.max("total").alias("_total"), *picked)
-    out = []
-    for name, p in outs.items():
-        h = (F.col("_total") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
-    return found.select(*by, *out)
+    return df.select(*by).distinct().join(wide, list(by), "left")
 
 
 def text_positions(df: DataFrame, name: str, out: str) -> DataFrame:

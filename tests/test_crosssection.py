@@ -41,13 +41,15 @@ def test_positions_split_equals_whole(spark, skewed, limit):
     assert sorted(split[split["date"] == "hot"]["p"]) == list(range(1, 501))
 
 
-@pytest.mark.parametrize("limit", [None, 150, 1])
-def test_quantiles_and_medians(spark, skewed, limit):
+@pytest.mark.parametrize("accuracy, bracket", [(2000, 0.002), (40, 0.06)])
+def test_quantiles_and_medians(spark, skewed, monkeypatch, accuracy, bracket):
+    monkeypatch.setattr(X, "ACCURACY", accuracy)
+    monkeypatch.setattr(X, "BRACKET", bracket)
     df = spark.createDataFrame(skewed)
-    got = X.with_quantiles(df, ["date"], "v", {"a": 0.1, "b": 0.5, "c": 0.93}, limit).toPandas().set_index("date")
+    got = X.with_quantiles(df, ["date"], "v", {"a": 0.1, "b": 0.5, "c": 0.93}).toPandas().set_index("date")
     want = skewed.groupby("date")["v"].quantile([0.1, 0.5, 0.93]).unstack()
     np.testing.assert_allclose(got.loc[want.index, ["a", "b", "c"]], want)
-    med = X.medians(df, ["date"], ["v", "u"], limit).toPandas().set_index("date")
+    med = X.medians(df, ["date"], ["v", "u"]).toPandas().set_index("date")
     np.testing.assert_allclose(med.loc[want.index], skewed.groupby("date")[["v", "u"]].median())
 
 
