@@ -15,6 +15,8 @@ from tapeloom.llm.shingles import Signer, fingerprint, shingle_sets
 
 # At a resemblance of 0.85 a pair shares none of 40 bands of 8 rows once in 300,000 times.
 BANDS, ROWS = 40, 8
+# At a resemblance of 0.80 a pair shares none of 80 bands of 8 rows four times in 10 million.
+PERCENT_80 = {"percent": 80, "bands": 80, "rows": 8}
 # Members of a hub that one task confirms.
 PER_HUB = 256
 
