@@ -18,12 +18,10 @@ SPACE = 0x2581
 # Stands for a U+2581 that the text itself holds; it goes to bytes, so that decoding tells it from a space.
 LITERAL = 0x110000
 DROPOUT, SEED = 0.1, 7
-# Ways in which one unit of text is segmented; which one an occurrence takes is a keyed hash of document and place.
-WAYS = 16
 # Code points encoded together, and the longest unit that the joint merging takes.
 CHUNK, LONGEST = 1 << 20, 48
 NONE = np.int32(2**31 - 1)
-_CODE = odd_numbers(3, 41)
+_CODE = odd_numbers(2, 41)
 
 
 class Merger:
@@ -102,23 +100,22 @@ class Merger:
         made = self.merged(left, right)
         return np.where(made == NONE, NONE, self.rank[np.where(made == NONE, 0, made)])
 
-    def skipped(self, key: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Whether a merge candidate (pieces from a to b and b to c of the unit ``key``) is dropped."""
-        spot = (a.astype(np.uint64) * _CODE[0]) ^ (b.astype(np.uint64) * _CODE[1]) ^ (c.astype(np.uint64) * _CODE[2])
-        return mix(mix(key ^ self.seed) ^ mix(spot)) < self.dropout
+    def skipped(self, key: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Whether the merge candidate that the occurrence ``key`` comes to as its ``step``-th is dropped."""
+        return mix(mix(key ^ self.seed) ^ mix(step.astype(np.uint64) * _CODE[0] + _CODE[1])) < self.dropout
 
-    def segment(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def segment(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of units given as padded rows of symbols; returns padded pieces and their numbers.
 
         Each unit is its own agenda: of all candidate merges the best ranked, leftmost one is taken; it is either
-        dropped for good by its keyed hash or done, which brings up to two new candidates.
+        dropped for good by its keyed hash or done, which brings up to two new candidates. Without keys none is dropped.
         """
         n, width = symbols.shape
         out, counts = symbols.copy(), sizes.astype(np.int64).copy()
         if width < 2:
             return out, counts
-        rows, s, key, size = np.arange(n), symbols.astype(np.int32), keys, counts.copy()
-        start = np.minimum(np.arange(width + 1, dtype=np.int16), sizes[:, None].astype(np.int16))
+        key = np.zeros(n, np.uint64) if keys is None else keys
+        rows, s, size, step = np.arange(n), symbols.astype(np.int32), counts.copy(), 0
         rank = self.ranked(s[:, :-1], s[:, 1:])
         cols = np.arange(width + 1, dtype=np.int16)
         while len(rows):
@@ -127,12 +124,14 @@ class Merger:
             if not alive.all():
                 gone = ~alive
                 out[rows[gone]], counts[rows[gone]] = s[gone], size[gone]
-                rows, s, key, start, rank, size, best = (x[alive] for x in (rows, s, key, start, rank, size, best))
+                rows, s, key, rank, size, best = (x[alive] for x in (rows, s, key, rank, size, best))
                 line = np.arange(len(rows))
             drop = np.zeros(len(rows), bool)
-            if self.dropout:
-                drop = self.skipped(key, start[line, best], start[line, best + 1], start[line, best + 2])
+            if keys is not None:
+                # All rows still here have come to equally many candidates.
+                drop = self.skipped(key, np.full(len(rows), step))
                 rank[line[drop], best[drop]] = NONE
+            step += 1
             left = s[line, best]
             s[line, best] = np.where(drop, left, self.merged(left, s[line, best + 1]))
             # Close the gap after a merge; a dropped candidate moves nothing.
@@ -140,7 +139,6 @@ class Merger:
             gap = ~drop
             s[:, :-1] = np.where(cols[: width - 1] <= last, s[:, :-1], s[:, 1:])
             s[gap, -1] = -1
-            start[:, :-1] = np.where(cols[:width] <= last, start[:, :-1], start[:, 1:])
             rank[:, :-1] = np.where(cols[: width - 2] <= last, rank[:, :-1], rank[:, 1:])
             rank[gap, -1] = NONE
             size -= gap
@@ -150,13 +148,14 @@ class Merger:
                 rank[go, at[go]] = self.ranked(s[go, at[go]], s[go, at[go] + 1])
         return out, counts
 
-    def agenda(self, symbols: list[int], key: int) -> list[int]:
+    def agenda(self, symbols: list[int], key: int | None) -> list[int]:
         """The same for one unit of any length, with a heap."""
         n = len(symbols)
-        piece, start, nxt, prev = list(symbols), list(range(n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+        piece, nxt, prev = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         end = list(range(1, n + 1))
         heap: list[tuple[int, int, int, int, int]] = []
-        one = np.array([key], np.uint64)
+        # No more candidates than pairs at first and two for each merge.
+        drops = iter(() if key is None else self.skipped(np.full(3 * n, key, np.uint64), np.arange(3 * n)).tolist())
 
         def offer(lefts: list[int]) -> None:
             lefts = [i for i in lefts if i >= 0 and nxt[i] < n]
@@ -172,7 +171,7 @@ class Merger:
             j = nxt[i]
             if piece[i] < 0 or end[i] != mid or j >= n or end[j] != stop:
                 continue
-            if self.dropout and self.skipped(one, np.array([start[i]]), np.array([mid]), np.array([stop]))[0]:
+            if next(drops, False):
                 continue
             piece[i], end[i], piece[j], nxt[i] = made, stop, -1, nxt[j]
             if nxt[i] < n:
@@ -202,12 +201,37 @@ class Merger:
         total = np.zeros(len(text) + 1, np.uint64)
         np.cumsum(mix(text.astype(np.uint64) + _CODE[0]) * up[: len(text)], out=total[1:])
         content = mix((total[unit + length] - total[unit]) * down[unit] + length.astype(np.uint64))
-        place = mix(places[owner] ^ mix((unit - first[owner]).astype(np.uint64) + self.seed))
-        way = place & np.uint64(WAYS - 1) if self.dropout else np.zeros(len(unit), np.uint64)
-        keys, sample, back = np.unique(content ^ mix(way + _CODE[1]), return_index=True, return_inverse=True)
-        counts, pool = np.zeros(len(keys), np.int64), []
-        order = []
-        size = length[sample]
+        short = length <= LONGEST
+        _, sample, back = np.unique(content, return_index=True, return_inverse=True)
+        if self.dropout:
+            # Long units hardly ever pass without a drop.
+            sample = np.where(short[sample], sample, -1)
+        begins, each = np.zeros((2, len(sample)), np.int64)
+        some = np.flatnonzero(sample >= 0)
+        flat, begins[some], each[some] = self._segmented(text, unit[sample[some]], length[sample[some]], None)
+        begins, each = begins[back], each[back]
+        if self.dropout:
+            place = mix(places[owner] ^ mix((unit - first[owner]).astype(np.uint64) + self.seed))
+            # Without a drop a unit takes one candidate per merge; an occurrence that drops none of them is done.
+            merges = np.where(short, np.maximum(length - each, 0), 0)
+            varied = ~short
+            for at in range(0, len(unit), 1 << 14):
+                part = merges[at: at + (1 << 14)]
+                which = at + np.repeat(np.arange(len(part)), part)
+                step = np.arange(len(which)) - np.repeat(np.cumsum(part) - part, part)
+                varied[which[self.skipped(place[which], step)]] = True
+            some = np.flatnonzero(varied)
+            more, at, each[some] = self._segmented(text, unit[some], length[some], place[some])
+            begins[some] = len(flat) + at
+            flat = np.concatenate([flat, more])
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(begins - (ends - each), each) + np.arange(ends[-1])]
+        return ids, np.bincount(owner, weights=each, minlength=len(texts)).astype(np.int64)
+
+    def _segmented(self, text: np.ndarray, unit: np.ndarray, size: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece ids of the units of ``text`` from ``unit`` on, and where each unit's begin and how many they are."""
+        counts, begins = np.zeros((2, len(unit)), np.int64)
+        pool, order = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         edges = [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, LONGEST]
         for low, width in zip([0] + edges, edges):
             some = np.flatnonzero((size > low) & (size <= width))
@@ -215,7 +239,7 @@ class Merger:
                 continue
             cols = np.arange(width)
             inside = cols < size[some][:, None]
-            at = np.minimum(unit[sample[some]][:, None] + cols, len(text) - 1)
+            at = np.minimum(unit[some][:, None] + cols, len(text) - 1)
             symbols = np.where(inside, self.char[text[at]], -1).astype(np.int32)
             if width == 1:
                 single = text[at[:, 0]]
@@ -224,23 +248,17 @@ class Merger:
                 counts[some] = [len(b) for b in bytes_]
                 pool.append(np.array([x for b in bytes_ for x in b], np.int32))
             else:
-                found, counts[some] = self.segment(symbols, size[some], keys[some])
+                found, counts[some] = self.segment(symbols, size[some], None if keys is None else keys[some])
                 pool.append(found[cols < counts[some][:, None]])
             order.append(some)
         for i in np.flatnonzero(size > LONGEST):
-            at = unit[sample[i]]
-            ids = self.agenda(self.char[text[at: at + size[i]]].tolist(), int(keys[i]))
+            ids = self.agenda(self.char[text[unit[i]: unit[i] + size[i]]].tolist(), None if keys is None else int(keys[i]))
             counts[i] = len(ids)
             pool.append(np.array(ids, np.int32))
             order.append(np.array([i]))
-        flat = np.concatenate(pool)
         where = np.concatenate(order)
-        begins = np.zeros(len(keys), np.int64)
         begins[where] = np.cumsum(counts[where]) - counts[where]
-        each = counts[back]
-        ends = np.cumsum(each)
-        ids = flat[np.repeat(begins[back] - (ends - each), each) + np.arange(ends[-1])]
-        return ids, np.bincount(owner, weights=each, minlength=len(texts)).astype(np.int64)
+        return np.concatenate(pool), begins, counts
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of one document's ids."""
@@ -269,9 +287,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: byte
            dropout: float = DROPOUT, seed: int = SEED, out: str = "piece_ids") -> DataFrame:
     """``docs`` with ``out``, the piece ids of the text, varied by merge-dropout.
 
-    Each candidate merge is skipped with probability ``dropout``, decided by a hash of the seed, the unit of text, its
-    way (``WAYS`` ways per unit, chosen by document and place) and the span of the candidate, so reruns and other
-    partitionings give the same ids. ``dropout=0`` is the model's own segmentation. A null text has null ids, an empty
+    Each candidate merge of each occurrence of a unit is skipped with probability ``dropout``, decided by a hash of the
+    seed, the document, the place in it and the candidate's number, so reruns and other partitionings give the same ids.
+    Only occurrences that skip nothing share the segmentation of their unit. ``dropout=0`` is the model's own segmentation. A null text has null ids, an empty
     one none; a null key counts as 0; equal rows get equal ids; a column called ``out`` is replaced.
     """
     blob = docs.sparkSession.sparkContext.broadcast(model if model is not None else model_bytes())

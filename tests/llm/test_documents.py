@@ -194,6 +194,38 @@ def test_pieces_round_trip_and_equal_the_library(spark, docs):
     assert {r["doc_id"]: r["piece_ids"] for r in varied} == {r["doc_id"]: r["piece_ids"] for r in again}
 
 
+def test_every_occurrence_drops_at_the_rate(spark):
+    """One merge of a frequent word is skipped at the rate of dropout, and occurrences do not share their ways."""
+    merger = pieces.Merger(pieces.model_bytes(), 0.1, 7)
+    for unit in "a", "i":
+        docs = spark.createDataFrame([(k, " ".join([unit] * 2000)) for k in range(20)], "doc_id long, text string")
+        rows = [r["piece_ids"] for r in pieces.encode(docs, dropout=0.1).collect()]
+        assert abs(sum(len(r) - 2000 for r in rows) / 40000 - 0.1) < 0.008
+    word, long = " international", "https://" + "ab" * 60
+    texts = [word[1:] + (word * 499) for _ in range(20)] + [long] * 40
+    ids, counts = merger.encode(texts, np.arange(60, dtype=np.uint64))
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert len({tuple(p) for p in parts[20:]}) == 40
+    cut = [merger.text[i] for p in parts[:20] for i in p.tolist()]
+    ways, own = set(), ()
+    for piece in cut:
+        own += (piece,)
+        if b"".join(own) == word.encode():
+            ways.add(own)
+            own = ()
+    assert not own and len(ways) > 40
+
+
+def test_joint_and_single_agendas_agree():
+    merger = pieces.Merger(pieces.model_bytes(), 0.3, 7)
+    unit = [pieces.SPACE, *map(ord, "unbelievablyinternational")]
+    symbols = merger.char[unit]
+    keys = pieces.mix(np.arange(300, dtype=np.uint64))
+    out, counts = merger.segment(np.tile(symbols, (300, 1)), np.full(300, len(unit)), keys)
+    assert all(merger.agenda(symbols.tolist(), int(k)) == o[:n].tolist() for k, o, n in zip(keys, out, counts))
+    assert len({tuple(o[:n]) for o, n in zip(out, counts)}) > 100
+
+
 def test_languages_are_told_apart(docs):
     got = {r["doc_id"]: r for r in langid.identify(docs.withColumnRenamed("source", "score")).collect()}
     labels = {r["doc_id"]: r["lang"] for r in docs.collect()}
