@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,8 +125,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     link between two members, so the members of buckets that confirmed links leave in several components go through an
     exact join on their rarest shingles (:func:`prefix_pairs`). A bucket of linked texts never costs more than a star.
 
-    Null or word-less texts have an empty set and are linked with nothing. Rows repeating an id are one node: it is
-    linked with whatever any of them is linked with. Rows with a null id and no identified copy get a null
+    Null or word-less texts have an empty set and are linked with nothing. Rows repeating an id should repeat the text:
+    each gets the component of its own text (:func:`one_of_each` tells different texts under one id apart). Rows with a null id and no identified copy get a null
     ``component_id`` and are kept. Other columns are not read; an empty table gives an empty result.
     """
     signed = stored(signatures(docs, key, text, width, bands, rows), "signatures")
@@ -165,8 +166,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings: int) -> DataFrame:
     """``docs`` without near duplicates: of each component the document with the least id, once; own columns only.
 
-    Of rows that repeat an id one stays. Rows with a null id all stay.
+    Different texts under one id are different documents, judged one by one: a document is an id with the fingerprint
+    of its text. Of a component's documents with the least id the one with the least fingerprint stays, and of its rows
+    the least one in the order of all columns. Rows with a null id all stay.
     """
-    kept = near_duplicates(docs, key, text, **settings).where(F.col("kept") & F.col(key).isNotNull()).select(key).distinct()
-    named = docs.join(kept.hint("shuffle_hash"), key, "left_semi").dropDuplicates([key])
-    return named.select(*docs.columns).union(docs.where(F.col(key).isNull()))
+    named = docs.where(F.col(key).isNotNull()).withColumn("_row", F.xxhash64(F.col(key), F.col(text).cast("string")))
+    groups = near_duplicates(named, "_row", text, **settings).select("_row", "component_id").distinct()
+    rows = named.select(key, "_row").join(groups.hint("shuffle_hash"), "_row")
+    least = rows.groupBy("component_id").agg(F.min(F.struct(key, "_row")).alias("least")).select("least.*")
+    left = named.join(least.hint("shuffle_hash"), [key, "_row"], "left_semi")
+    # Maps and variants have no order of their own.
+    order = [F.to_json(F.struct(f.name)) if re.search("map<|variant", f.dataType.simpleString()) else F.col(f.name)
+             for f in docs.schema if f.name not in (key, text)]
+    one = left.groupBy(key, "_row").agg(F.min_by(F.struct(*docs.columns), F.struct(F.lit(0), *order)).alias("one")).select("one.*")
+    return one.union(docs.where(F.col(key).isNull()))

@@ -81,6 +81,17 @@ def test_near_duplicates_equal_brute_force(docs, rows):
     assert sorted(near_dups.one_of_each(docs).columns) == sorted(docs.columns)
 
 
+def test_texts_under_one_id_are_judged_one_by_one(spark):
+    """Of id 5 one text copies id 1 and goes; the other two are nowhere else and stay, however rows are dealt."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(1, text["a"], 1), (5, text["a"], 1), (5, text["b"], 3), (5, text["b"], 2), (5, text["c"], 1), (6, text["c"], 1),
+            (7, None, 1), (7, text["d"], 1), (None, text["d"], 1), (None, text["d"], 1)]
+    want = [(None, text["d"], 1)] * 2 + [(1, text["a"], 1), (5, text["b"], 2), (5, text["c"], 1), (7, None, 1), (7, text["d"], 1)]
+    for order in rows, rows[::-1]:
+        got = near_dups.one_of_each(spark.createDataFrame(order, "doc_id long, text string, n int").repartition(3)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_rest_join_finds_links_between_members(spark):
     """Three texts in a chain: the ends differ too much, every link counts."""
     base = [f"w{i}" for i in range(200)]
