@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import stored
 from tapeloom.llm.vectors import is_query, matrix, top_rows
 
-# Vectors per tree, vectors per leaf, and what the covering radius shrinks by from level to level.
-SHARD, LEAF, SHRINK = 4096, 64, 1.3
+# Vectors per tree, vectors per leaf, what the covering radius shrinks by from level to level, and the points that a
+# centre must cover on average for a level to be worth opening.
+SHARD, LEAF, SHRINK, GATHER = 4096, 64, 1.3, 8
 # Cells that vectors are dealt to by their nearest pivot, at most; anchors that meet a tree, and trees that are bounded, at once.
 PIVOTS, ANCHORS, METAS = 4096, 1024, 512
 HITS = "anchor long, positive long, positive_score double, id long, score double"
@@ -47,7 +48,8 @@ class CoverTree:
 
         A node's own centre is the first centre of its children (nesting); every point joins the first centre within the
         radius (covering); later centres lie outside all earlier ones (separation). Levels that leave a node whole are
-        passed over. Runs of sibling nodes lie together, and what a node covers is one run of points.
+        passed over; a node whose points lie so evenly apart that a centre would cover fewer than ``GATHER`` of them is a
+        leaf. Runs of sibling nodes lie together, and what a node covers is one run of points.
         """
         lifted = np.hstack([points, np.sqrt(np.maximum(norm2 - np.einsum("ij,ij->i", points, points), 0.0))[:, None]])
         nodes, order, slot = [], np.arange(len(ids)), 0
@@ -60,9 +62,10 @@ class CoverTree:
             reach, first_child = float(apart.max()), len(todo)
             if len(rows) > leaf and reach > 0:
                 group = _covered(lifted[rows], apart, reach / SHRINK)
-                order[begin:end] = rows[np.argsort(group, kind="stable")]
-                ends = begin + np.cumsum(np.bincount(group))
-                todo += zip([begin, *ends[:-1].tolist()], ends.tolist())
+                if (group.max() + 1) * GATHER <= len(rows):
+                    order[begin:end] = rows[np.argsort(group, kind="stable")]
+                    ends = begin + np.cumsum(np.bincount(group))
+                    todo += zip([begin, *ends[:-1].tolist()], ends.tolist())
             nodes.append((rows[0], reach, first_child, len(todo), begin, end))
         centre, reach, first, last, begin, end = (np.array(x) for x in zip(*nodes))
         held = marks[order]
