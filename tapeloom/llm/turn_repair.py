@@ -222,7 +222,8 @@ def audits(ordered: DataFrame) -> DataFrame:
     firsts = codes.where(F.col("kind") != BLANK).groupBy("conv", "digest").agg(F.min("ord").alias("ord")).select("ord", F.lit(True).alias("first"))
     kind = F.when((F.col("kind") != BLANK) & F.col("first").isNull(), DUPLICATE).otherwise(F.col("kind"))
     known = codes.drop("digest").join(firsts, "ord", "left").select("part", "conv", "ord", kind.alias("kind"), "initial")
-    ways = stored(known.repartition("part").sortWithinPartitions("part", "ord").mapInPandas(_searched, WAYS), "ways")
+    parts = (ordered.agg(F.max("part")).first()[0] or 0) + 1
+    ways = stored(known.repartition(parts, "part").sortWithinPartitions("part", "ord").mapInPandas(_searched, WAYS), "ways")
     single = F.size("costs") == 1
     whole = ways.where(single).select("conv", *COUNTS, F.col("costs")[0].alias("cost"), F.col("audits")[0].alias("audit"))
     return stored(whole.union(ways.where(~single).groupBy("conv").applyInPandas(_chained, FOUND)), "audits")
