@@ -277,3 +277,23 @@ def test_toxicity_learns_from_allowed_labels_only(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[2000]["score"] == got[2001]["score"] < 0.5
     none = toxicity.score(docs, told.limit(0)).collect()
     assert all(r["score"] == 0 and r["predicted"] == 0 for r in none)
+
+
+def test_texts_with_very_many_secrets(spark):
+    """Twenty thousand hits in one text: places, counts and redaction, in near linear time."""
+    rng = random.Random(8)
+    parts, at, spans = [], 0, []
+    for i in range(20_000):
+        gap = rng.choice([" ", "\n", "é ", " word ", ", "])
+        hit = hashlib.md5(str(i).encode()).hexdigest()
+        spans.append((at + len(gap), at + len(gap) + 32))
+        parts += [gap, hit]
+        at += len(gap) + 32
+    text = "".join(parts)
+    rows = spark.createDataFrame([(1, text, "x"), (2, "nothing here", "y"), (3, None, "z")], "doc_id long, text string, _base string")
+    got = {r["doc_id"]: r for r in secrets.scan(rows).collect()}
+    listed = ",".join(f"hex:{a}:{b}" for a, b in spans)
+    assert got[1]["n_hex"] == 20_000 and got[1]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and got[3]["n_hex"] == 0
+    clean = {r["doc_id"]: r for r in secrets.redact(rows).collect()}
+    assert clean[1]["text"] == "".join(parts[i] if i % 2 == 0 else secrets.MARK for i in range(len(parts)))
+    assert clean[2]["text"] == "nothing here" and clean[3]["text"] is None and clean[1]["_base"] == "x"
