@@ -10,13 +10,15 @@ from dataclasses import dataclass
 
 import pandas as pd
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.llm.common import stored
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the vocabulary.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Tokens of fresh turns in a window, tokens of repeated history before them, and turns whose sums are formed together.
+# Tokens of a window, those of them for repeated history, and turns whose sums are formed together.
 BUDGET, HISTORY, BLOCK = 1024, 256, 1024
 
 
@@ -100,18 +102,22 @@ def windows(rows: DataFrame, template: Template = Template(), budget: int = BUDG
             ranks: bytes | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``conv, window, n_turns, n_repeated, n_tokens, formatted, loss``: training windows of each conversation.
 
-    Turns go by ``turn``, then role and text (null turns first; repeated rows are turns of their own). With prefix sums
-    of turn tokens, turn ``i`` is fresh in window ``floor(tokens before it / budget)``: windows are runs of whole turns
-    that begin within one budget of each other, and empty windows are left out. A window repeats before its fresh turns
-    the leading system turn and as many of the turns just before as ``history`` tokens hold. ``loss`` lists the code
-    point spans of fresh assistant texts in ``formatted``; repeated turns are masked, so each assistant text is a target
-    once. Prefix sums are formed per block of turn numbers and over block totals, so a very long conversation is not
-    sorted in one task. Other columns are not read; an empty table gives an empty result.
+    Turns go by ``turn``, then role and text (null turns first; repeated rows are turns of their own). Prefix sums of
+    turn tokens are cut into spans of what ``budget`` leaves after the leading system turn and ``history``: turns that
+    lie inside one span share a window, and a turn that straddles a border has a window of its own, so windows are runs
+    of whole turns. A window repeats before its fresh turns the leading system turn and as many of the turns just before
+    as ``history`` tokens, and what is left of the budget, hold. No window exceeds ``budget`` tokens, but for one whose
+    only fresh turn is larger than what the system turn leaves: that turn is kept whole, with the system turn and without
+    history. ``loss`` lists the code point spans of fresh assistant texts in ``formatted``; repeated turns are masked, so
+    each assistant text is a target once. Turns are formatted and counted once and stored. Prefix sums are formed per
+    block of turn numbers and over block totals, so a very long conversation is not sorted in one task. Other columns are
+    not read; an empty table gives an empty result.
     """
     if ranks is None:
         with open(RANKS, "rb") as file:
             ranks = file.read()
-    made = formatted_turns(rows, template, ranks, conv, turn, role, text).withColumn("block", F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / BLOCK))
+    made = stored(formatted_turns(rows, template, ranks, conv, turn, role, text), "formatted-turns").withColumn(
+        "block", F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / BLOCK))
     per_block = made.groupBy("conv", "block").agg(F.sum("tokens").alias("sum"), F.count(F.lit(1)).alias("turns"), F.min(F.struct("turn", "role", "text", "tokens")).alias("head"))
     earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -125,16 +131,25 @@ def windows(rows: DataFrame, template: Template = Template(), budget: int = BUDG
     placed = made.withColumn("_before", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).withColumn(
         "_ord", F.count(F.lit(1)).over(inside)).join(shifts, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
     runs = placed.select(
-        "conv", "role", "text", "formatted", "begin", "stop", "tokens", "system_text", "system_tokens",
-        (F.col("_before") + F.col("_sum")).alias("before"), (F.col("_ord") + F.col("_turns")).alias("ord")).withColumn(
-        "window", F.floor(F.col("before") / budget))
+        "conv", "role", "formatted", "begin", "stop", "tokens", "system_text", "system_tokens",
+        (F.col("_before") + F.col("_sum")).alias("before"), (F.col("_ord") + F.col("_turns")).alias("ord"))
+    system = F.coalesce("system_tokens", F.lit(0))
+    span = F.greatest(F.lit(budget - history) - system, F.lit(1))
+
+    def cell(tokens: Column) -> Column:
+        return F.floor(tokens / span)
+
+    # Spans have even numbers; a turn that straddles the end of one has the odd number after it.
+    end = F.greatest(F.col("before") + F.col("tokens") - 1, F.col("before"))
+    runs = runs.withColumn("window", 2 * cell(F.col("before")) + F.when(cell(F.col("before")) < cell(end), 1).otherwise(0))
     # Only a turn of at most ``history`` tokens can be repeated, and only in a window that begins within them.
-    last = F.when(F.col("tokens") <= history, F.floor((F.col("before") + history) / budget)).otherwise(F.col("window"))
+    last = F.when(F.col("tokens") <= history, 2 * cell(F.col("before") + history) + 1).otherwise(F.col("window"))
     copies = runs.withColumn("at", F.explode(F.sequence("window", last)))
-    starts = runs.groupBy("conv", "window").agg(F.min("before").alias("from"), F.min("ord").alias("from_ord")).select(
-        F.col("conv").alias("_c"), F.col("window").alias("_w"), "from", "from_ord")
+    starts = runs.groupBy("conv", "window").agg(F.min("before").alias("from"), F.min("ord").alias("from_ord"), F.sum("tokens").alias("_fresh")).select(
+        F.col("conv").alias("_c"), F.col("window").alias("_w"), "from", "from_ord", "_fresh")
+    left = F.least(F.lit(history), F.lit(budget) - system - F.col("_fresh"))
     held = copies.join(starts, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("at") == F.col("_w"))).where(
-        (F.col("window") == F.col("at")) | ((F.col("ord") > 0) | F.col("system_text").isNull()) & (F.col("from") - F.col("before") <= history))
+        (F.col("window") == F.col("at")) | ((F.col("ord") > 0) | F.col("system_text").isNull()) & (F.col("from") - F.col("before") <= left))
     fresh = F.col("window") == F.col("at")
     turns = held.groupBy("conv", "at").agg(
         F.sort_array(F.collect_list(F.struct("ord", "role", "formatted", "begin", "stop", "tokens", fresh.alias("fresh")))).alias("turns"),

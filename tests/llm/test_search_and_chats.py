@@ -93,6 +93,10 @@ def test_windows_read_back(spark, talks):
         assert r["loss_chars"] == len(target) and r["loss_sha256"] == hashlib.sha256(target.encode()).hexdigest()
     windows = made.collect()
     template = chats.Template()
+    for w in windows:
+        system = w["n_repeated"] > 0 and w["formatted"].startswith("<|turn|>system")
+        assert w["n_tokens"] <= 200 or w["n_turns"] - w["n_repeated"] == 1 and w["n_repeated"] <= system
+    assert any(w["n_tokens"] > 200 for w in windows) and any(w["n_turns"] - w["n_repeated"] > 2 for w in windows)
     first = {}
     for w in sorted(windows, key=lambda w: (w["conv"], w["window"])):
         turns = template.turns(w["formatted"])
