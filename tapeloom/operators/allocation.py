@@ -5,11 +5,9 @@ Inputs are series keyed by ``entity`` with one row per day or week.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.config import Allocation
@@ -86,68 +84,62 @@ def environment(bars: DataFrame, weeks: DataFrame, cfg: Allocation = Allocation(
     return base.join(moved, ["entity", "date"], "left").select("entity", "date", "env_base", clip(adjusted, 0.0, 1.0).alias("env_strength"))
 
 
-def _targets(cfg: Allocation) -> Callable[[np.ndarray], np.ndarray]:
-    """Target weight of the second asset for each environment value, in order."""
-
-    def linear(env: np.ndarray) -> np.ndarray:
-        return cfg.w_min + (cfg.w_max - cfg.w_min) * env
-
-    def states(env: np.ndarray) -> np.ndarray:
-        state, streak, out = "neutral", 0, []
-        for e in env:
-            calm, tense = e <= cfg.state_low, e >= cfg.state_high
-            if state == "neutral":
-                span = cfg.state_high - cfg.state_low
-                share = 0.5 if span == 0 else min(max((e - cfg.state_low) / span, 0.0), 1.0)
-                out.append(cfg.w_neutral[0] + (cfg.w_neutral[1] - cfg.w_neutral[0]) * share)
-                wanted = "attack" if calm else "defense" if tense else None
-            else:
-                out.append(cfg.w_attack if state == "attack" else cfg.w_defense)
-                opposite = tense if state == "attack" else calm
-                wanted = ("defense" if state == "attack" else "attack") if opposite else None
-                if not calm and not tense:
-                    state, streak = "neutral", 0
-                    continue
-            if wanted is None:
-                streak = 0 if state == "neutral" else streak
-                continue
-            streak += 1
-            if streak >= cfg.hysteresis_weeks:
-                state, streak = wanted, 0
-        return np.array(out)
-
-    return linear if cfg.mode == "linear" else states
+NEUTRAL, ATTACK, DEFENSE = 0, 1, 2
+
+
+def _target(cfg: Allocation, e: Column, state: Column) -> Column:
+    """Target weight of the second asset."""
+    if cfg.mode == "linear":
+        return F.lit(cfg.w_min) + F.lit(cfg.w_max - cfg.w_min) * e
+    span = cfg.state_high - cfg.state_low
+    share = F.lit(0.5) if span == 0 else clip((e - cfg.state_low) / span, 0.0, 1.0)
+    low, high = cfg.w_neutral
+    return F.when(state == NEUTRAL, low + (high - low) * share).when(state == ATTACK, F.lit(cfg.w_attack)).otherwise(F.lit(cfg.w_defense))
+
+
+def _next_state(cfg: Allocation, e: Column, state: Column, streak: Column) -> tuple[Column, Column]:
+    """State and streak after a week: a state is left for the middle at once, and entered after enough weeks that ask for it."""
+    calm, tense = e <= cfg.state_low, e >= cfg.state_high
+    asked = F.when(calm & (state != ATTACK), ATTACK).when(tense & (state != DEFENSE), DEFENSE)
+    middle = ~calm & ~tense
+    entered = asked.isNotNull() & (streak + 1 >= cfg.hysteresis_weeks)
+    after = F.when(middle, NEUTRAL).when(entered, asked).otherwise(state)
+    count = F.when(middle | entered, 0).when(asked.isNotNull(), streak + 1).otherwise(streak)
+    return after, count
 
 
 def weight_path(env: DataFrame, cfg: Allocation = Allocation()) -> DataFrame:
     """Weekly weights: target, smoothing towards it, and a cap on the weekly change.
 
-    Each week depends on the one before, so a series (a few thousand weeks at
-    most) is walked in one group; many series run in parallel. A missing
-    environment keeps the previous one, 0.5 at the start.
+    Each week depends on the one before, so a series (a few thousand weeks at most) is folded in order inside its row;
+    many series run in parallel. A missing environment keeps the previous one, 0.5 at the start.
     """
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        strength = group["env_strength"].ffill().fillna(0.5).to_numpy(float)
-        weight, out = cfg.w_min, []
-        for target in _targets(cfg)(strength):
-            smooth = (1 - cfg.smooth) * target + cfg.smooth * weight
-            weight = min(max(min(max(smooth, weight - cfg.weekly_cap), weight + cfg.weekly_cap), 0.0), 1.0)
-            out.append(weight)
-        return pd.DataFrame({"entity": group["entity"], "date": group["date"], "w_g": out})
-
-    return env.select("entity", "date", "env_strength").groupBy("entity").applyInPandas(walk, "entity string, date date, w_g double")
-
-
-def combined(df: DataFrame, cfg: Allocation = Allocation()) -> DataFrame:
-    """Combined return of ``date, ret_s, ret_g, w_g`` with weights set one period earlier."""
-    w = Window.orderBy("date")
+    so_far = Window.partitionBy("entity").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = env.select("entity", "date", F.coalesce(F.last("env_strength", ignorenulls=True).over(so_far), F.lit(0.5)).cast("double").alias("e"))
+    weeks = filled.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("date", "e"))).alias("weeks"))
+
+    def step(acc: Column, week: Column) -> Column:
+        e, weight = week["e"], acc["w"]
+        smooth = (1 - cfg.smooth) * _target(cfg, e, acc["state"]) + cfg.smooth * weight
+        new = clip(F.least(F.greatest(smooth, weight - cfg.weekly_cap), weight + cfg.weekly_cap), 0.0, 1.0)
+        state, streak = _next_state(cfg, e, acc["state"], acc["streak"])
+        return F.struct(new.alias("w"), state.cast("int").alias("state"), streak.cast("int").alias("streak"), F.concat(acc["path"], F.array(new)).alias("path"))
+
+    start = F.struct(F.lit(cfg.w_min).cast("double").alias("w"), F.lit(NEUTRAL).alias("state"), F.lit(0).alias("streak"), F.array().cast("array<double>").alias("path"))
+    walked = weeks.select("entity", "weeks", F.aggregate("weeks", start, step, lambda acc: acc["path"]).alias("path"))
+    return walked.select("entity", F.explode(F.arrays_zip(F.col("weeks.date").alias("date"), F.col("path").alias("w_g"))).alias("x")).select(
+        "entity", "x.date", "x.w_g")
+
+
+def combined(df: DataFrame, cfg: Allocation = Allocation(), keys: Sequence[str] = ()) -> DataFrame:
+    """Combined return of ``date, ret_s, ret_g, w_g`` with weights set one period earlier; each series (``keys``) on its own."""
+    w = Window.partitionBy(*keys).orderBy("date")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     main = F.coalesce("ret_s", F.lit(0.0))
     raw = F.lag(1 - F.col("w_g")).over(w) * main + F.lag("w_g").over(w) * F.col("ret_g") * (1 - cfg.costs.buy)
     out = df.withColumns({"ret_combo": F.coalesce(raw, F.lit(0.0)), "ret_s": main})
     return out.select(
-        "date", "ret_s", "ret_g", "ret_combo", (1 - F.col("w_g")).alias("w_s"), "w_g",
+        *keys, "date", "ret_s", "ret_g", "ret_combo", (1 - F.col("w_g")).alias("w_s"), "w_g",
         F.product(1 + F.col("ret_s")).over(so_far).alias("nav_s"),
         F.product(1 + F.coalesce("ret_g", F.lit(0.0))).over(so_far).alias("nav_g"),
         F.product(1 + F.col("ret_combo")).over(so_far).alias("nav_combo"),

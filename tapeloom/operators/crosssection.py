@@ -2,15 +2,11 @@
 
 A group can hold any share of the rows. Means and counts are aggregates joined
 back; exact quantiles are bracketed by sketches and counted inside the bracket.
-Ranks treat two kinds of groups differently:
-
-* groups of up to ``GROUP_LIMIT`` rows are handled whole, one per task;
-* larger groups never meet in one task. Their value range is cut at
-  approximate quantiles (a mergeable sketch), positions are counted inside the
-  pieces, and the pieces are chained by their totals.
-
-Which groups are large is a count that combines map-side; at most
-``rows / GROUP_LIMIT`` of them can exist, so their keys are broadcast.
+Ranks, positions, dense ids and neighbours come from one mechanism: rows are
+cut into ranges of their order, as many as their number asks for, so a large
+group spreads over many ranges and a range holds many small groups. Ranges are
+numbered on their own and chained by their counts; results are the same for any
+number of ranges.
 """
 
 from __future__ import annotations
@@ -20,17 +16,48 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECES = 32
-GROUP_LIMIT = 1_000_000
+from tapeloom.session import cut_lineage
+
+# Rows of a range.
+PIECE = 500_000
 # Rank accuracy of the sketches behind exact quantiles, and how far from the wanted share their brackets reach.
 ACCURACY, BRACKET = 2000, 0.002
 
 
-def by_size(df: DataFrame, by: Sequence[str], limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups within the limit and rows of larger groups."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    large = F.broadcast(sizes.where(F.col("_size") > (GROUP_LIMIT if limit is None else limit)).select(*by))
-    return df.join(large, list(by), "left_anti"), df.join(large, list(by), "left_semi")
+def in_pieces(df: DataFrame, by: Sequence[str], order: Sequence[str], piece: int | None = None) -> DataFrame:
+    """``df`` with ``_piece``: consecutive ranges of the order ``by, order``, stored.
+
+    ``order`` should tell rows of a group apart; rows equal in all of it share a range.
+    """
+    ranges = max(1, -(-df.count() // (piece or PIECE)))
+    return cut_lineage(df.repartitionByRange(ranges, *by, *order).withColumn("_piece", F.spark_partition_id()))
+
+
+def chained(pieces: DataFrame, by: Sequence[str], order: Sequence[str], weight: Column | None = None) -> DataFrame:
+    """Rows of :func:`in_pieces` with ``_before``: the weights of the rows before them in their group (without, their number)."""
+    by = list(by)
+    weight = F.lit(1) if weight is None else weight
+    totals = pieces.groupBy(*by, "_piece").agg(F.sum(weight).alias("_in"))
+    earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*by, "_piece", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = pieces.withColumn("_own", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return counted.join(starts, [*by, "_piece"]).withColumn("_before", F.col("_start") + F.col("_own")).drop("_start", "_own", "_piece")
+
+
+def with_next(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str], piece: int | None = None) -> DataFrame:
+    """``df`` with ``<value>_2``: the values of the next row of the group, null for the last.
+
+    Inside a range by a window; the last row of a range takes the first row of the group's next range.
+    """
+    by = list(by)
+    cut = in_pieces(df, by, order, piece)
+    inside = Window.partitionBy(*by, "_piece").orderBy(*order)
+    firsts = cut.groupBy(*by, "_piece").agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_first"))
+    following = firsts.select(*by, "_piece", F.lead("_first").over(Window.partitionBy(*by).orderBy("_piece")).alias("_after"))
+    own = cut.withColumn("_next", F.lead(F.struct(*values)).over(inside)).join(following, [*by, "_piece"])
+    following_row = F.coalesce("_next", "_after")
+    return own.withColumns({f"{v}_2": following_row[v] for v in values}).drop("_next", "_after", "_piece")
 
 
 def attach(df: DataFrame, by: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
@@ -43,27 +70,13 @@ def mean_within(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataF
     return attach(df, by, {out: F.avg(value)})
 
 
-def value_counts_before(df: DataFrame, by: Sequence[str], value: str, pieces: int = PIECES) -> DataFrame:
+def value_counts_before(df: DataFrame, by: Sequence[str], value: str, piece: int | None = None) -> DataFrame:
     """Per distinct value of a group: rows with it (``n``), rows below it (``below``), group ``total``."""
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    shares = [i / pieces for i in range(1, pieces)]
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))
-    cut = counts.join(cuts, by).withColumn(
-        "_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
-    totals = cut.groupBy(*by, "_piece").agg(F.sum("n").alias("_in_piece"))
-    chain = Window.partitionBy(*by).orderBy("_piece")
-    starts = totals.select(
-        *by,
-        "_piece",
-        (F.sum("_in_piece").over(chain) - F.col("_in_piece")).alias("_start"),
-        F.sum("_in_piece").over(Window.partitionBy(*by)).alias("total"),
-    )
-    inside = Window.partitionBy(*by, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cut.join(starts, by + ["_piece"]).select(
-        *by, value, "n", (F.col("_start") + F.sum("n").over(inside) - F.col("n")).alias("below"), "total"
-    )
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    placed = chained(in_pieces(counts, by, [value], piece), by, [value], F.col("n"))
+    return placed.join(totals, by).select(*by, value, "n", F.col("_before").alias("below"), "total")
 
 
 def _long_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -75,58 +88,23 @@ def _wide_values(long: DataFrame, keys: Sequence[str], outs: Mapping[str, str])
     return long.groupBy(*keys).agg(*picks)
 
 
-def ranks(df: DataFrame, by: Sequence[str], key: str, outs: Mapping[str, str], limit: int | None = None) -> DataFrame:
+def ranks(df: DataFrame, by: Sequence[str], key: str, outs: Mapping[str, str], piece: int | None = None) -> DataFrame:
     """Ascending group ranks with averaged ties: one row per group and key, ``{column: rank name}``.
 
-    All columns go through one long table, so they are ranked by the same jobs.
+    All columns go through one long table, so they are ranked by the same jobs. Only distinct values are put in order.
     """
     group = [*by, "_name"]
-    small, large = by_size(_long_values(df, [*by, key], list(outs)), group, limit)
-    ties = Window.partitionBy(*group, "_value")
-    direct = small.withColumn(
-        "_place", F.rank().over(Window.partitionBy(*group).orderBy("_value")) + (F.count(F.lit(1)).over(ties) - 1) / 2
-    )
-    counted = value_counts_before(large, group, "_value").select(
-        *group, "_value", (F.col("below") + (F.col("n") + 1) / 2).alias("_place")
-    )
-    split = large.join(counted, [*group, "_value"])
-    return _wide_values(direct.unionByName(split), [*by, key], outs)
-
-
-def positions_of(df: DataFrame, by: Sequence[str], key: str, outs: Mapping[str, str], limit: int | None = None) -> DataFrame:
-    """Group positions 1..n without shared places; ties are ordered by the hash of ``key``."""
-    group = [*by, "_name"]
-    long = _long_values(df, [*by, key], list(outs)).withColumn("_hash", F.md5(F.col(key).cast("string")))
-    small, large = by_size(long, group, limit)
-    order = Window.partitionBy(*group).orderBy("_value", "_hash", key)
-    direct = small.withColumn("_place", F.row_number().over(order).cast("double"))
-    split = _split_positions(large, group, key)
-    return _wide_values(direct.unionByName(split), [*by, key], outs)
-
+    long = _long_values(df, [*by, key], list(outs))
+    counted = value_counts_before(long, group, "_value", piece).select(*group, "_value", (F.col("below") + (F.col("n") + 1) / 2).alias("_place"))
+    return _wide_values(long.join(counted, [*group, "_value"]), [*by, key], outs)
 
-def _split_positions(long: DataFrame, group: Sequence[str], key: str, pieces: int = PIECES) -> DataFrame:
-    """Positions in large groups.
 
-    A value that is itself a cut may hold many rows, so its rows are cut again
-    by their leading hash digits; pieces stay in order and are numbered on
-    their own.
-    """
-    shares = [i / pieces for i in range(1, pieces)]
-    cuts = long.groupBy(*group).agg(F.percentile_approx("_value", shares, 1000).alias("_cuts"))
-    heavy = F.array_contains("_cuts", F.col("_value"))
-    cut = long.join(cuts, list(group)).withColumns(
-        {
-            "_piece": F.size(F.filter("_cuts", lambda c: c < F.col("_value"))),
-            "_part": F.when(heavy, F.concat(F.lit("+"), F.substring("_hash", 1, 2))).otherwise(F.lit("")),
-        }
-    )
-    piece = [*group, "_piece", "_part"]
-    totals = cut.groupBy(*piece).agg(F.count(F.lit(1)).alias("_in"))
-    chain = Window.partitionBy(*group).orderBy("_piece", "_part")
-    starts = totals.select(*piece, (F.sum("_in").over(chain) - F.col("_in")).alias("_start"))
-    inside = Window.partitionBy(*piece).orderBy("_value", "_hash", key)
-    place = (F.col("_start") + F.row_number().over(inside)).cast("double")
-    return cut.join(starts, piece).withColumn("_place", place).select(*long.columns, "_place")
+def positions_of(df: DataFrame, by: Sequence[str], key: str, outs: Mapping[str, str], piece: int | None = None) -> DataFrame:
+    """Group positions 1..n without shared places; ties are ordered by the hash of ``key``."""
+    group, order = [*by, "_name"], ["_value", "_hash", key]
+    long = _long_values(df, [*by, key], list(outs)).withColumn("_hash", F.md5(F.col(key).cast("string")))
+    placed = chained(in_pieces(long, group, order, piece), group, order)
+    return _wide_values(placed.withColumn("_place", (F.col("_before") + 1).cast("double")), [*by, key], outs)
 
 
 def with_quantiles(df: DataFrame, by: Sequence[str], value: str, outs: Mapping[str, float]) -> DataFrame:
@@ -175,20 +153,10 @@ def medians(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFra
     return df.select(*by).distinct().join(wide, list(by), "left")
 
 
-def text_positions(df: DataFrame, name: str, out: str) -> DataFrame:
-    """Zero-based position of each distinct text in sorted order.
-
-    Texts are cut by their first two characters, which keeps the order; the
-    cuts are chained by their counts.
-    """
-    cut = df.withColumn("_piece", F.substring(name, 1, 2))
-    totals = cut.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
-    chain = Window.orderBy("_piece")
-    starts = totals.select("_piece", (F.sum("_n").over(chain) - F.col("_n")).alias("_start"))
-    inside = Window.partitionBy("_piece").orderBy(name)
-    return cut.join(starts, "_piece").select(
-        name, (F.col("_start") + F.row_number().over(inside) - 1).cast("long").alias(out)
-    )
+def text_positions(df: DataFrame, name: str, out: str, piece: int | None = None) -> DataFrame:
+    """Zero-based position of each distinct text in sorted order."""
+    whole = df.select(name, F.lit(0).alias("_all"))
+    return chained(in_pieces(whole, ["_all"], [name], piece), ["_all"], [name]).select(name, F.col("_before").cast("long").alias(out))
 
 
 def best_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, out: str = "rn") -> DataFrame:

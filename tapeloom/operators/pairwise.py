@@ -4,31 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.crosssection import GROUP_LIMIT, attach
+from tapeloom.operators.crosssection import with_next
 
 
 def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
-def sampled_pairs(df: DataFrame, by: Sequence[str], key: str, values: Sequence[str], rounds: int = 4) -> DataFrame:
+def sampled_pairs(df: DataFrame, by: Sequence[str], key: str, values: Sequence[str], rounds: int = 4, piece: int | None = None) -> DataFrame:
     """Random pairs of rows of the same group: each round pairs every row with its hash neighbour.
 
-    A round yields one pair per row, so the number of pairs grows with the
-    group and not with its square. Large groups are dealt into parts by the
-    hash first, so no part outgrows a task.
+    A round yields one pair per row, so the number of pairs grows with the group and not with its square. Rows are cut
+    into ranges of the hash order, so no group outgrows a task and pairs are the same for any number of ranges.
     """
-    sized = attach(df.select(*by, key, *values), by, {"_n": F.count(F.lit(1))})
-    dealt = sized.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn(
+    dealt = df.select(*by, key, *values).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn(
         "_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("_round").cast("string")))
     )
-    parts = F.ceil(F.col("_n") / GROUP_LIMIT)
-    dealt = dealt.withColumn("_part", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % parts)
-    w = Window.partitionBy(*by, "_round", "_part").orderBy("_h", key)
-    return dealt.select(*by, *values, *[F.lead(v).over(w).alias(f"{v}_2") for v in values])
+    paired = with_next(dealt, [*by, "_round"], ["_h", key], values, piece)
+    return paired.select(*by, *values, *[f"{v}_2" for v in values])
 
 
 def pairwise_loss(

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def catalogue(store: DataFrame, keys: Sequence[str] = ("sample_date", "entity", "t_pos")) -> DataFrame:
+def catalogue(store: DataFrame, keys: Sequence[str] = ("sample_date", "entity")) -> DataFrame:
     """Stored sample dates with their number of entities and the width of the store."""
     width = len([c for c in store.columns if c not in keys])
     return store.groupBy("sample_date").agg(
@@ -16,34 +18,26 @@ def catalogue(store: DataFrame, keys: Sequence[str] = ("sample_date", "entity",
     )
 
 
-def store_audit(store: DataFrame, length: int) -> DataFrame:
-    """Per sample date: samples, samples with a wrong length and duplicated positions."""
-    per = store.groupBy("sample_date", "entity").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("t_pos").alias("positions")
-    )
+def store_audit(store: DataFrame, columns: Sequence[str], length: int) -> DataFrame:
+    """Per sample date: samples, samples with a window of another length and rows that repeat a sample."""
+    wrong = reduce(or_, [F.size(c) != length for c in columns])
+    per = store.groupBy("sample_date", "entity").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(wrong).alias("wrong"))
     return per.groupBy("sample_date").agg(
         F.count(F.lit(1)).alias("n_samples"),
-        F.count_if(F.col("positions") != length).alias("n_wrong_length"),
-        F.sum(F.col("rows") - F.col("positions")).alias("n_duplicates"),
+        F.count_if("wrong").alias("n_wrong_length"),
+        F.sum(F.col("rows") - 1).alias("n_duplicates"),
     )
 
 
-def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """NULL, NaN and infinite values per column, all in one pass."""
-    counts = []
-    for c in columns:
-        v = F.col(c)
-        counts += [
-            F.count_if(v.isNull()).alias(f"{c}__null"),
-            F.count_if(F.isnan(v)).alias(f"{c}__nan"),
-            F.count_if(F.abs(v) == float("inf")).alias(f"{c}__inf"),
-        ]
-    one = df.agg(F.count(F.lit(1)).alias("_n"), *counts)
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col("_n").alias("n_rows"), *[F.col(f"{c}__{k}").alias(f"n_{k}") for k in ("null", "nan", "inf")])
-        for c in columns
-    ])
-    return one.select(F.explode(cells).alias("s")).select("s.*")
+def missing_counts(packed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Cells, and NULL, NaN and infinite ones, per array column, all in one pass."""
+    def cells(c: str, bad) -> Column:
+        return F.coalesce(F.sum(F.size(F.filter(c, bad))), F.lit(0)).cast("long")
+
+    stats = F.array(*[F.struct(
+        F.lit(c).alias("name"), F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long").alias("n_rows"), cells(c, lambda x: x.isNull()).alias("n_null"),
+        cells(c, F.isnan).alias("n_nan"), cells(c, lambda x: F.abs(x) == float("inf")).alias("n_inf")) for c in columns])
+    return packed.agg(stats.alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
 def date_sets(features: DataFrame, labels: DataFrame, context: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sample assembly: trailing windows per week end, training rows, window summaries."""
+"""Sample assembly: trailing windows per week end as rows, training rows, named scores."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.scalars import clean_and_clip
+from tapeloom.functions.scalars import finite
 from tapeloom.operators.labels import next_week_ord
 from tapeloom.sources.upsert import with_dimension
 
@@ -49,15 +49,6 @@ def tail_windows(panel: DataFrame, weeks: DataFrame, columns: Sequence[str], len
     return placed.select("sample_date", "entity", (length - 1 - F.col("_since")).alias("t_pos"), *columns)
 
 
-def usable_windows(windows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Drop samples without a single value."""
-    some = F.lit(False)
-    for c in columns:
-        some = some | F.col(c).isNotNull()
-    alive = windows.groupBy("sample_date", "entity").agg(F.bool_or(some).alias("_some")).where("_some")
-    return windows.join(alive.drop("_some"), ["sample_date", "entity"])
-
-
 def training_rows(features: DataFrame, labels: DataFrame, universe: DataFrame | None = None,
                   industry: DataFrame | None = None, context: DataFrame | None = None) -> DataFrame:
     """Features with labels, optionally restricted to a universe, with industry id and context.
@@ -77,26 +68,24 @@ def training_rows(features: DataFrame, labels: DataFrame, universe: DataFrame |
     return df
 
 
-def window_summary(windows: DataFrame, columns: Sequence[str], length: int = WINDOW) -> DataFrame:
-    """Nine numbers per column and sample: last, mean, deviation, three changes, three recent means."""
-    last = length - 1
-    parts = []
-    for c in columns:
-        v = clean_and_clip(c)
-
-        def at(k, v=v):
-            return F.max(F.when(F.col("t_pos") == last - k, v))
+def model_rows(features: DataFrame, labels: DataFrame, universe: DataFrame | None = None, context: DataFrame | None = None) -> DataFrame:
+    """``sample_date, entity, features`` with the label, for training and scoring.
 
-        parts += [at(0).alias(f"{c}_last"), F.avg(v).alias(f"{c}_mean"), F.stddev_pop(v).alias(f"{c}_std")]
-        parts += [(at(0) - at(k)).alias(f"{c}_d{k}") for k in (1, 5, 10)]
-        parts += [F.avg(F.when(F.col("t_pos") > last - k, v)).alias(f"{c}_m{k}") for k in (5, 10, 20)]
-    return windows.groupBy("sample_date", "entity").agg(*parts)
-
-
-def truncate_windows(windows: DataFrame, length: int, stored: int = WINDOW) -> DataFrame:
-    """Keep the newest ``length`` positions and renumber them from 0."""
-    start = max(stored - length, 0)
-    return windows.where(F.col("t_pos") >= start).withColumn("t_pos", F.col("t_pos") - start)
+    Samples outside the universe go, those without a label stay with a null. The context of the date (one row per week)
+    is appended to the features; missing values and dates count as 0.
+    """
+    keys = ["sample_date", "entity"]
+    df = features.join(labels.select(*keys, "next_week_return"), keys, "left")
+    if universe is not None:
+        df = df.join(universe.select(F.col("date").alias("sample_date"), "entity"), keys, "left_semi")
+    if context is not None:
+        names = [c for c in context.columns if c != "date"]
+        row = F.array(*[F.coalesce(finite(c), F.lit(0.0)) for c in names])
+        weekly = context.select(F.col("date").alias("sample_date"), row.alias("_context"))
+        none = F.array_repeat(F.lit(0.0), len(names))
+        df = df.join(F.broadcast(weekly), "sample_date", "left").withColumn(
+            "features", F.concat("features", F.coalesce("_context", none))).drop("_context")
+    return df
 
 
 def scored_with_names(scores: DataFrame, master: DataFrame, day) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tapeloom.session import cut_lineage
 
 
 def next_day_label(features: DataFrame, threshold: float = -0.03, keys: Sequence[str] = ()) -> DataFrame:
@@ -49,54 +54,74 @@ def scale_by_fold(folds: DataFrame, columns: Sequence[str], keys: Sequence[str]
     return joined.withColumns(z).select(*folds.columns)
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Newton steps for the L2-penalised log loss with a free intercept."""
-    x = np.column_stack([np.ones(len(x)), x])
-    ridge = np.eye(x.shape[1]) * penalty
+def _newton_step(batches: Iterator[pd.DataFrame], width: int, penalty: float) -> Iterator[pd.DataFrame]:
+    """Adds the Newton step of every fold to its weights; a fold is one row of sums."""
+    ridge = np.eye(width) * penalty
     ridge[0, 0] = 0.0
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.lstsq(
-            (x.T * (p * (1 - p))) @ x + ridge, x.T @ (y - p) - ridge @ w, rcond=None
-        )[0]
-        w = w + step
-        if np.abs(step).max() < 1e-10:
+    for batch in batches:
+        weights, steps = [], []
+        for sums, w in zip(batch["sums"], batch["w"]):
+            gram, slope = sums[: width * width].reshape(width, width), sums[width * width:]
+            step = np.linalg.lstsq(gram + ridge, slope - ridge @ w, rcond=None)[0]
+            weights.append(w + step)
+            steps.append(float(np.abs(step).max()))
+        yield batch.drop(columns=["sums", "w", "step"]).assign(w=weights, step=steps)
+
+
+def fit_logistic(rows: DataFrame, by: Sequence[str], width: int, penalty: float = 1.0, rounds: int = 50, tolerance: float = 1e-10) -> DataFrame:
+    """``by, w``: weights of an L2-penalised logistic model per group of rows (``x`` with a leading 1, ``y``).
+
+    Iteratively reweighted least squares: one aggregation per round adds up the weighted products and the slope of every
+    group, map-side first, so a group's rows need not meet. All groups advance in the same jobs until no weight moves by
+    ``tolerance``. The intercept is not penalised. Groups with one class are left out.
+    """
+    by = list(by)
+    both = rows.groupBy(*by).agg(F.min("y").alias("_lo"), F.max("y").alias("_hi")).where("_lo < _hi")
+    weights = cut_lineage(both.select(*by, F.array_repeat(F.lit(0.0), width).alias("w"), F.lit(1.0).alias("step")))
+    kind = StructType([*weights.schema.fields])
+    for _ in range(rounds):
+        z = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+        p = 1.0 / (1.0 + F.exp(-F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0))))
+        judged = rows.join(weights.select(*by, "w"), by).withColumn("p", p).withColumn("v", F.col("p") * (1 - F.col("p")))
+        products = F.flatten(F.transform("x", lambda a: F.transform(F.col("x"), lambda b: a * b * F.col("v"))))
+        cells = F.concat(products, F.transform("x", lambda a: a * (F.col("y") - F.col("p"))))
+        sums = judged.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector(cells))).alias("sums"))
+        moved = sums.join(weights, by).select(*by, "w", "step", "sums").mapInPandas(lambda it: _newton_step(it, width, penalty), kind)
+        weights = cut_lineage(moved)
+        if (weights.agg(F.max("step")).first()[0] or 0.0) < tolerance:
             break
-    return w
+    return weights.select(*by, "w")
 
 
-def rolling_signals(labelled: DataFrame, columns: Sequence[str], train: int = 252, step: int = 21) -> DataFrame:
-    """Daily in/out signal from a logistic model refitted every ``step`` days.
+def rolling_signals(labelled: DataFrame, columns: Sequence[str], train: int = 252, step: int = 21, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, fold, date, p, signal``: daily in/out signal of each series from a logistic model refitted every ``step`` days.
 
-    All folds are one job: rows are spread to their folds, scaled with window
-    aggregates, and each fold (at most ``train + step`` rows) is fitted in its
-    own group. A training window with one class predicts that class.
+    Rows are spread to their folds, scaled with window aggregates, and all folds of all series are fitted by the same
+    jobs. A training window with one class predicts that class.
     """
-    folds = scale_by_fold(rolling_folds(labelled.select("date", "y", *columns), train, step), columns)
-    names = list(columns)
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        past, ahead = group[group["role"] == "train"], group[group["role"] == "predict"]
-        if past["y"].nunique() < 2:
-            p = np.full(len(ahead), float(past["y"].iloc[0]))
-        else:
-            w = _fit_logistic(past[names].to_numpy(float), past["y"].to_numpy(float))
-            p = 1.0 / (1.0 + np.exp(-(w[0] + ahead[names].to_numpy(float) @ w[1:])))
-        return pd.DataFrame({"fold": ahead["fold"], "date": ahead["date"], "p": p, "signal": (p > 0.5).astype("int32")})
-
-    return folds.groupBy("fold").applyInPandas(fit, "fold long, date date, p double, signal int")
-
-
-def overlay(nav: DataFrame, signals: DataFrame, buy: float = 0.001, sell: float = 0.001) -> DataFrame:
-    """Hold the strategy only when yesterday's signal says so, paying to switch.
+    by = [*keys, "fold"]
+    placed = rolling_folds(labelled.select(*keys, "date", "y", *columns), train, step, keys)
+    folds = scale_by_fold(placed, columns, keys)
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in columns])
+    rows = cut_lineage(folds.select(*by, "date", "role", F.col("y").cast("double").alias("y"), x.alias("x")))
+    past, ahead = rows.where("role = 'train'"), rows.where("role = 'predict'")
+    weights = fit_logistic(past, by, len(columns) + 1)
+    only = past.groupBy(*by).agg(F.min("y").alias("_y"))
+    z = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    p = F.when(F.col("w").isNull(), F.col("_y")).otherwise(1.0 / (1.0 + F.exp(-z)))
+    judged = ahead.join(only, by).join(weights, by, "left").withColumn("p", p)
+    return judged.select(*by, "date", "p", (F.col("p") > 0.5).cast("int").alias("signal"))
+
+
+def overlay(nav: DataFrame, signals: DataFrame, buy: float = 0.001, sell: float = 0.001, keys: Sequence[str] = ()) -> DataFrame:
+    """Hold the strategy only when yesterday's signal says so, paying to switch; each series (``keys``) on its own.
 
     A day without a signal counts as in. Leaving is charged on the day of the
     decision, entering on the day after it.
     """
-    w = Window.orderBy("date")
-    df = nav.select("date", F.col("ret_total").alias("ret_total_prev"), F.col("nav").alias("nav_prev"))
-    df = df.join(signals.select("date", "signal"), "date", "left").withColumn("signal", F.coalesce("signal", F.lit(1)))
+    w = Window.partitionBy(*keys).orderBy("date")
+    df = nav.select(*keys, "date", F.col("ret_total").alias("ret_total_prev"), F.col("nav").alias("nav_prev"))
+    df = df.join(signals.select(*keys, "date", "signal"), [*keys, "date"], "left").withColumn("signal", F.coalesce("signal", F.lit(1)))
     df = df.withColumns({"_s1": F.lag("signal", 1).over(w), "_s2": F.lag("signal", 2).over(w)})
     df = df.withColumn("signal_prev", F.coalesce("_s1", "signal"))
     leave = F.when((F.col("_s1") == 1) & (F.col("signal") == 0), F.lit(-sell)).otherwise(0.0)
@@ -104,4 +129,4 @@ def overlay(nav: DataFrame, signals: DataFrame, buy: float = 0.001, sell: float
     held = F.when(F.col("signal_prev") == 1, F.col("ret_total_prev")).otherwise(0.0)
     df = df.withColumn("ret_total", held + leave + enter)
     grown = F.product(1 + F.col("ret_total")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn("nav", grown).select("date", "ret_total_prev", "nav_prev", "signal", "signal_prev", "ret_total", "nav")
+    return df.withColumn("nav", grown).select(*keys, "date", "ret_total_prev", "nav_prev", "signal", "signal_prev", "ret_total", "nav")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.config import UniverseRules, WalkForward
+from tapeloom.fixed_values import FACTOR_COLUMNS
 from tapeloom.functions import rolling as R
 from tapeloom.functions.scalars import board, clean_and_clip, parse_date_flexible
 from tapeloom.operators import aggregates as A
@@ -12,6 +13,7 @@ from tapeloom.operators import calendar as C
 from tapeloom.operators import cleaning as N
 from tapeloom.operators import quality as P
 from tapeloom.operators import samples as I
+from tapeloom.operators import store as ST
 from tapeloom.operators import universe as H
 from tapeloom.plans import fixtures as fx
 from tapeloom.plans import sqltext as S
@@ -155,10 +157,10 @@ def index_nav(spark, root):
     return report(moves.select("entity", "date", "ret_total", R.running_product(1 + F.col("ret_total")).alias("nav")), 6)
 
 
-@query("a16_store_catalogue", S.with_base("""
-SELECT sample_date, count(*) AS n_entities, CAST(3 AS BIGINT) AS n_factors FROM lastrow GROUP BY 1""", *S.FACTORS, S.WINDOWS))
+@query("a16_store_catalogue", S.windows_sql(
+    f"SELECT sample_date, count(*) AS n_entities, CAST({len(FACTOR_COLUMNS)} AS BIGINT) AS n_factors FROM lastrow GROUP BY 1"))
 def store_catalogue(spark, root):
-    return P.catalogue(fx.factor_windows(spark, root))
+    return P.catalogue(fx.feature_store(spark, root))
 
 
 @query("a17_read_calendar", S.with_base("SELECT date FROM cal"))
@@ -178,32 +180,17 @@ def read_positions(spark, root):
 
 # ---------------------------------------------------------------- cleaning
 
-W3 = fx.WINDOW_FACTORS
+DIGEST = "total weighted low high"
 
 
-@query("d18_tail_windows", S.with_base(final("windows", "sample_date, entity, t_pos", W3, 7), *S.FACTORS, S.WINDOWS))
+@query("d18_tail_windows", S.windows_sql(final(S.digest("windows"), "sample_date, factor, n_cells, n_values", DIGEST, 8)))
 def tail_windows(spark, root):
-    return report(fx.factor_windows(spark, root), 7)
+    return report(ST.store_digest(fx.factor_windows(spark, root), FACTOR_COLUMNS), 8)
 
 
-def _windows_sql(body: str, *more: str) -> str:
-    return S.with_base(body, *S.FACTORS, S.WINDOWS, *more)
-
-
-_Z = ", ".join(f"coalesce({c}, 0) AS {c}" for c in W3)
-_MED = ", ".join(f"quantile_cont({c}, 0.5) AS {c}_m" for c in W3)
-_MAD = ", ".join(f"quantile_cont(abs({c} - {c}_m), 0.5) + 1e-6 AS {c}_d" for c in W3)
-_CLIP = ", ".join(f"least(greatest({c}, {c}_m - 3 * {c}_d), {c}_m + 3 * {c}_d) AS {c}" for c in W3)
-CLIPPED = f"""
-wz AS (SELECT sample_date, entity, t_pos, {_Z} FROM windows),
-wm AS (SELECT sample_date, t_pos, {_MED} FROM wz GROUP BY 1, 2),
-wd2 AS (SELECT sample_date, t_pos, {_MAD} FROM wz JOIN wm USING (sample_date, t_pos) GROUP BY 1, 2),
-clipped AS (SELECT sample_date, entity, t_pos, {_CLIP} FROM wz JOIN wm USING (sample_date, t_pos) JOIN wd2 USING (sample_date, t_pos))"""
-
-
-@query("c1_mad_clip", _windows_sql(final("clipped", "sample_date, entity, t_pos", W3, 7), CLIPPED))
+@query("c1_mad_clip", S.windows_sql(final(S.digest("clipped"), "sample_date, factor, n_cells, n_values", DIGEST, 8), S.CLIPPED))
 def mad_clip(spark, root):
-    return report(N.mad_clip(fx.factor_windows(spark, root), W3), 7)
+    return report(ST.store_digest(ST.clip_packed(fx.factor_windows(spark, root), FACTOR_COLUMNS), FACTOR_COLUMNS), 8)
 
 
 @query("c2_winsorize", S.with_base(final("""
@@ -257,10 +244,10 @@ def apply_per_window(spark, root):
     return report(N.apply_scaler(target, scaler, ["score"], ["window_id"]), 7)
 
 
-@query("c7_sequence_scaler", _windows_sql(final("SELECT " + ", ".join(
-    f"avg({c}) AS {c}_mean, stddev_pop({c}) + 1e-6 AS {c}_std" for c in W3) + " FROM windows", "", [f"{c}_{k}" for c in W3 for k in ("mean", "std")])))
+@query("c7_sequence_scaler", S.windows_sql(final(
+    f"SELECT factor, avg(v) AS mean, stddev_pop(v) + 1e-6 AS std FROM {S.cells('clipped')} GROUP BY 1", "factor", "mean std", 6), S.CLIPPED))
 def sequence_scaler(spark, root):
-    return report(N.fit_scaler(fx.factor_windows(spark, root), W3, zero_missing=False))
+    return report(ST.packed_scaler(fx.feature_store(spark, root), FACTOR_COLUMNS), 6)
 
 
 @query("c8_scale_without_centring", S.with_base(final("""
@@ -441,28 +428,31 @@ def training_rows(spark, root):
 
 
 def _summary_sql():
-    cells = []
-    for c in W3:
-        v = f"least(greatest(coalesce({c}, 0), -1e6), 1e6)"
-        at = lambda k: f"max({v}) FILTER (t_pos = {49 - k})"
-        cells += [f"{at(0)} AS {c}_last", f"avg({v}) AS {c}_mean", f"stddev_pop({v}) AS {c}_std"]
-        cells += [f"{at(0)} - {at(k)} AS {c}_d{k}" for k in (1, 5, 10)]
-        cells += [f"avg({v}) FILTER (t_pos > {49 - k}) AS {c}_m{k}" for k in (5, 10, 20)]
-    return f"SELECT sample_date, entity, {', '.join(cells)} FROM windows GROUP BY 1, 2"
-
-
-SUMMARY = [f"{c}_{k}" for c in W3 for k in ("last", "mean", "std", "d1", "d5", "d10", "m5", "m10", "m20")]
+    v = "least(greatest(v, -1e6), 1e6)"
+    at = lambda k: f"max({v}) FILTER (t_pos = {49 - k})"
+    one = [f"{at(0)} AS x_last", f"avg({v}) AS x_mean", f"stddev_pop({v}) AS x_std", *(f"{at(0)} - {at(k)} AS x_d{k}" for k in (1, 5, 10)),
+           *(f"avg({v}) FILTER (t_pos > {49 - k}) AS x_m{k}" for k in (5, 10, 20))]
+    means = ", ".join(f"avg(x_{k}) AS x_{k}" for k in ST.STATISTICS)
+    return (f"SELECT sample_date, factor, count(*) AS n_samples, {means} FROM "
+            f"(SELECT sample_date, entity, factor, {', '.join(one)} FROM {S.cells('clipped')} GROUP BY 1, 2, 3) GROUP BY 1, 2")
 
 
-@query("i2_window_summary", _windows_sql(final(_summary_sql(), "sample_date, entity", SUMMARY, 7)))
+@query("i2_window_summary", S.windows_sql(
+    final(_summary_sql(), "sample_date, factor, n_samples", [f"x_{k}" for k in ST.STATISTICS], 8), S.CLIPPED))
 def window_summary(spark, root):
-    return report(I.window_summary(fx.factor_windows(spark, root), W3), 7)
+    """The nine numbers of every factor, averaged over the samples of a date."""
+    own = ST.summarised(fx.feature_store(spark, root), FACTOR_COLUMNS)
+    width = len(ST.STATISTICS)
+    each = F.array(*[F.struct(F.lit(c).alias("factor"), F.slice("features", i * width + 1, width).alias("x")) for i, c in enumerate(FACTOR_COLUMNS)])
+    rows = own.select("sample_date", F.explode(each).alias("e")).select("sample_date", "e.*")
+    return report(rows.groupBy("sample_date", "factor").agg(
+        F.count(F.lit(1)).alias("n_samples"), *[F.avg(F.col("x")[i]).alias(f"x_{k}") for i, k in enumerate(ST.STATISTICS)]), 8)
 
 
-@query("i3_truncated_windows", _windows_sql(final(
-    "SELECT sample_date, entity, t_pos - 40 AS t_pos, mom20 FROM windows WHERE t_pos >= 40", "sample_date, entity, t_pos", "mom20", 7)))
+@query("i3_truncated_windows", S.windows_sql(
+    final(S.digest("clipped", "t_pos >= 40", 40), "sample_date, factor, n_cells, n_values", DIGEST, 8), S.CLIPPED))
 def truncated(spark, root):
-    return report(I.truncate_windows(fx.factor_windows(spark, root).select("sample_date", "entity", "t_pos", "mom20"), 10), 7)
+    return report(ST.store_digest(ST.truncate_packed(fx.feature_store(spark, root), FACTOR_COLUMNS, 10), FACTOR_COLUMNS), 8)
 
 
 @query("i4_scores_with_names", S.with_base(final("""
@@ -476,21 +466,21 @@ def scored_names(spark, root):
 # ---------------------------------------------------------------- quality
 
 
-@query("p1_store_audit", _windows_sql("""
+@query("p1_store_audit", S.windows_sql("""
 SELECT sample_date, count(*) AS n_samples, count(*) FILTER (p <> 50) AS n_wrong_length, CAST(sum(r - p) AS BIGINT) AS n_duplicates FROM (
   SELECT sample_date, entity, count(*) AS r, count(DISTINCT t_pos) AS p FROM windows GROUP BY 1, 2) GROUP BY 1"""))
 def store_audit(spark, root):
-    return P.store_audit(fx.factor_windows(spark, root), 50)
+    return P.store_audit(fx.feature_store(spark, root), FACTOR_COLUMNS, 50)
 
 
-@query("p2_missing_counts", _windows_sql(" UNION ALL ".join(
-    f"SELECT '{c}' AS name, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null, count(*) FILTER (isnan({c})) AS n_nan, count(*) FILTER (isinf({c})) AS n_inf FROM windows"
-    for c in W3)))
+@query("p2_missing_counts", S.windows_sql(
+    "SELECT factor AS name, count(*) AS n_rows, count(*) FILTER (v IS NULL) AS n_null, count(*) FILTER (isnan(v)) AS n_nan, "
+    f"count(*) FILTER (isinf(v)) AS n_inf FROM {S.cells('windows')} GROUP BY 1"))
 def missing_counts(spark, root):
-    return P.missing_counts(fx.factor_windows(spark, root), W3)
+    return P.missing_counts(fx.factor_windows(spark, root), FACTOR_COLUMNS)
 
 
-@query("p3_date_sets", _windows_sql("""
+@query("p3_date_sets", S.windows_sql("""
 SELECT date, bool_or(s = 1) AS in_features, bool_or(s = 2) AS in_labels, bool_or(s = 3) AS in_context,
   CASE WHEN bool_or(s = 1) AND bool_or(s = 2) AND bool_or(s = 3) THEN 'all' WHEN bool_or(s = 1) AND NOT bool_or(s = 2) AND NOT bool_or(s = 3) THEN 'features_only'
     WHEN bool_or(s = 1) AND NOT bool_or(s = 2) THEN 'no_label' WHEN bool_or(s = 1) AND NOT bool_or(s = 3) THEN 'no_context' ELSE 'no_features' END AS "set"
@@ -498,14 +488,14 @@ FROM (SELECT sample_date AS date, 1 AS s FROM lastrow UNION ALL SELECT sample_da
 def date_sets(spark, root):
     rename = F.col("sample_date").alias("date")
     partial = fx.context(spark, root).join(fx.weeks(spark, root).where("week_ord % 4 <> 1"), "date", "left_semi")
-    return P.date_sets(fx.factor_windows(spark, root).select(rename), fx.labels(spark, root).select(rename), partial)
+    return P.date_sets(fx.feature_store(spark, root).select(rename), fx.labels(spark, root).select(rename), partial)
 
 
-@query("p4_effective_samples", _windows_sql("""
+@query("p4_effective_samples", S.windows_sql("""
 SELECT w.date AS sample_date, count(l.entity) AS n_effective FROM weeks w LEFT JOIN (SELECT a.sample_date, a.entity FROM lastrow a
   JOIN labels_ b ON b.sample_date = a.sample_date AND b.entity = a.entity) l ON l.sample_date = w.date GROUP BY 1""", S.LABELS))
 def effective_samples(spark, root):
-    return P.effective_samples(fx.factor_windows(spark, root), fx.labels(spark, root), fx.weeks(spark, root))
+    return P.effective_samples(fx.feature_store(spark, root), fx.labels(spark, root), fx.weeks(spark, root))
 
 
 @query("p5_map_coverage", S.with_base(final("""

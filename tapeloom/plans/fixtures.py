@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.config import Costs, Selection, UniverseRules
+from tapeloom.fixed_values import FACTOR_COLUMNS
 from tapeloom.functions import rolling as R
 from tapeloom.functions.scalars import finite
 from tapeloom.operators import simulate as M
+from tapeloom.operators import store
 from tapeloom.operators.aggregates import context_features, sector_bars
 from tapeloom.operators.calendar import week_ends
 from tapeloom.operators.factors import technical_factors
 from tapeloom.operators.labels import weekly_labels
-from tapeloom.operators.samples import tail_windows
 from tapeloom.operators.selection import daily_positions, rebalance_plan, select_names
 from tapeloom.operators.universe import rule_columns
 from tapeloom.session import shared_dir
@@ -146,14 +147,20 @@ def market_caps(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-WINDOW_FACTORS = ["mom20", "ret_std20", "price_pos_20"]
-
-
 @stored("factor_windows")
 def factor_windows(spark: SparkSession, root: str) -> DataFrame:
-    """Fifty-row windows of three factors at every week end."""
-    panel = technical_factors(bars(spark, root)).select("entity", "date", *WINDOW_FACTORS)
-    return tail_windows(panel, weeks(spark, root), WINDOW_FACTORS)
+    """Fifty-row windows of all factors at every week end, one array per factor, as computed."""
+    return store.packed_windows(technical_factors(bars(spark, root)), weeks(spark, root), FACTOR_COLUMNS)
+
+
+def feature_store(spark: SparkSession, root: str) -> DataFrame:
+    """The windows zero-filled and clipped, stored by sample date."""
+    key = (spark.sparkContext.applicationId, root, "feature_store")
+    path = scratch(spark, root, "feature_store")
+    if key not in _WRITTEN:
+        store.write_store(store.clip_packed(factor_windows(spark, root), FACTOR_COLUMNS), path)
+        _WRITTEN[key] = path
+    return store.read_store(spark, path, FACTOR_COLUMNS)
 
 
 def sector_map(spark: SparkSession, root: str) -> DataFrame:

@@ -7,56 +7,79 @@ import uuid
 from pyspark.sql import functions as F
 
 from tapeloom.config import Allocation, Stops, WalkForward
-from tapeloom.fixed_values import MARKET_PROXY_PATTERNS
+from tapeloom.fixed_values import FACTOR_COLUMNS, MARKET_PROXY_PATTERNS
+from tapeloom.models import boosting as MB
+from tapeloom.models import moments as MM
 from tapeloom.models import walkforward as J
 from tapeloom.operators import allocation as O
 from tapeloom.operators import samples as I
 from tapeloom.operators import stops as X
+from tapeloom.operators import store as ST
 from tapeloom.operators import timing as T
-from tapeloom.operators.aggregates import daily_features
+from tapeloom.operators.aggregates import context_features, daily_features
 from tapeloom.operators.calendar import days, schedule
 from tapeloom.operators.labels import asset_week_returns
 from tapeloom.operators.pairwise import pairwise_loss
+from tapeloom.operators.universe import tradable
 from tapeloom.plans import fixtures as fx
 from tapeloom.plans import sqltext as S
-from tapeloom.plans.data_queries import SUMMARY, W3
 from tapeloom.plans.portfolio_queries import RANKED
 from tapeloom.plans.registry import final, query, report
 from tapeloom.session import shared_dir
-from tapeloom.sources.bars import table
+from tapeloom.sources.bars import master, table
 from tapeloom.sources.readers import market_proxy
 from tapeloom.streaming import live
 
 # ---------------------------------------------------------------- models
 
-BASELINE = WalkForward(train_weeks=208, val_weeks=0, step_weeks=52)
-VALIDATED = WalkForward(train_weeks=208, val_weeks=26, step_weeks=52)
+SCHEDULE = WalkForward(train_weeks=260, val_weeks=52, step_weeks=52)
+ALPHAS = (0.1, 1.0, 10.0, 100.0)
 
 
-def _samples(spark, root):
-    features = I.window_summary(fx.factor_windows(spark, root), W3)
-    return features.join(fx.labels(spark, root), ["sample_date", "entity"], "left")
+@fx.stored("model_rows")
+def model_rows(spark, root):
+    """Nine numbers of every factor and the market context, for the tradable samples."""
+    features = ST.summarised(fx.feature_store(spark, root), FACTOR_COLUMNS)
+    return I.model_rows(features, fx.labels(spark, root), tradable(fx.flagged(spark, root)), fx.context(spark, root))
 
 
-def _plan(spark, root, wf):
-    return schedule(fx.weeks(spark, root), wf)
+def _plan(spark, root):
+    return schedule(fx.weeks(spark, root), SCHEDULE)
+
+
+@fx.stored("ridges")
+def ridges(spark, root):
+    return MM.fit_ridges(model_rows(spark, root), _plan(spark, root), ALPHAS)
 
 
 @fx.stored("ridge_scores")
 def ridge_scores(spark, root):
-    return J.walk_forward(_samples(spark, root), _plan(spark, root, VALIDATED), SUMMARY, J.fit_ridge, ("val", "predict"))
+    rows, plan = model_rows(spark, root), _plan(spark, root)
+    return MM.score(rows, plan, ridges(spark, root), ("val", "predict"), [J.LABEL])
 
 
 @query("j1_walk_forward_ridge")
 def ridge(spark, root):
-    scored = J.walk_forward(_samples(spark, root), _plan(spark, root, BASELINE), SUMMARY, J.fit_ridge)
+    rows, plan = model_rows(spark, root), _plan(spark, root)
+    scored = MM.score(rows, plan, MM.fit_ridges(rows, plan), ("predict",))
     return report(scored.select("window_id", "date", "entity", "score"), 6)
 
 
+_BOOSTED = {}
+
+
+def boosted(spark, root):
+    """The trees of all windows, the held-out losses and the bins, grown once per session."""
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _BOOSTED:
+        _BOOSTED[key] = MB.fit_boosting(model_rows(spark, root), _plan(spark, root))
+    return _BOOSTED[key]
+
+
 @query("j2_walk_forward_boosting")
 def boosting(spark, root):
-    wf = WalkForward(train_weeks=300, val_weeks=0, step_weeks=52)
-    scored = J.walk_forward(_samples(spark, root), _plan(spark, root, wf), SUMMARY, J.fit_boosting)
+    model, _, cuts = boosted(spark, root)
+    scored = MB.score_boosting(model_rows(spark, root), _plan(spark, root), model, cuts, ("predict",))
     return report(scored.select("window_id", "date", "entity", "score"), 6)
 
 
@@ -65,27 +88,34 @@ def _labelled_days(spark, root):
     return T.next_day_label(daily)
 
 
-TIMING = ["cs_mean_ret", "cs_std_ret", "cs_ratio_up", "pos_mean_score", "trd_net_dir_norm"]
-
-
 @query("j3_rolling_timing_signals")
 def timing_signals(spark, root):
-    return report(T.rolling_signals(_labelled_days(spark, root), TIMING), 6)
+    """From all daily features of the book."""
+    labelled = _labelled_days(spark, root)
+    columns = [c for c in labelled.columns if c not in ("date", "ret_total", "ret_next", "y")]
+    return report(T.rolling_signals(labelled, columns), 6)
 
 
 @query("j4_scores_in_range")
 def scores_in_range(spark, root):
-    scored = ridge_scores(spark, root).where("role = 'predict'")
+    scored = ridge_scores(spark, root).where("role = 'predict' AND alpha = 1.0")
     return report(J.clip_scores(scored, "1999-06-01", "2001-06-30").select("window_id", "date", "entity", "score"), 6)
 
 
 @query("j5_score_as_of_day")
 def score_as_of(spark, root):
-    samples = _samples(spark, root).fillna(0.0, SUMMARY)
-    train = samples.where(f"sample_date < DATE '2000-06-01' AND {J.LABEL} IS NOT NULL")
-    panel = samples.withColumnRenamed("sample_date", "date")
-    out = J.score_as_of(J.fit_ridge(train, SUMMARY), panel, SUMMARY, "2000-06-14", fx.PICK)
-    return report(out, 6)
+    """The model stored last before the day, on the windows of that day's tradable names."""
+    day, home = "2000-06-14", fx.scratch(spark, root, "models")
+    J.save_models(ridges(spark, root), _plan(spark, root), home)
+    bars = fx.bars(spark, root)
+    number = F.split("entity", "#")[1].cast("int")
+    names = bars.where(F.col("date") <= day).agg(F.max("date").alias("date")).join(bars.select("date", "entity"), "date")
+    st = names.select("date", "entity", F.when(number % 9 == 0, 1).otherwise(0).alias("flag"))
+    end = names.select("date", F.lit(0).cast("long").alias("week_ord")).distinct()
+    context = context_features(fx.indices(spark, root), fx.sector_series(spark, root), end, fx.INDICES, fx.SECTORS)
+    rows = J.rows_as_of(bars, day, FACTOR_COLUMNS, master(bars), None, st, fx.UNIVERSE, context)
+    model = J.model_as_of(spark, home, day).where("alpha = 1.0")
+    return report(J.score_as_of(rows, model, fx.industry_ids(spark, root), fx.PICK), 6)
 
 
 def _pair_sql(alpha=None):
@@ -108,22 +138,24 @@ def cost_sensitive_loss(spark, root):
     return report(pairwise_loss(fx.scored_returns(spark, root), margin=0.001, alpha=0.02), 8)
 
 
-def _validated(spark, root):
-    return ridge_scores(spark, root).where(f"role = 'val' AND {J.LABEL} IS NOT NULL").withColumnRenamed(J.LABEL, "ret")
+def _candidates(spark, root, beta):
+    """Every model of every window on its validation weeks: ridges by penalty, and boosting at its best round."""
+    known = ridge_scores(spark, root).where(f"role = 'val' AND {J.LABEL} IS NOT NULL").withColumnRenamed(J.LABEL, "ret")
+    ridges_ = J.registry(known.withColumn("candidate", F.concat(F.lit("ridge_"), F.col("alpha").cast("string"))), beta, ["window_id", "candidate"])
+    model, _, cuts = boosted(spark, root)
+    staged = MB.score_boosting(model_rows(spark, root).where(f"{J.LABEL} IS NOT NULL"), _plan(spark, root), model, cuts, ("val",), [J.LABEL], staged=True)
+    trees = J.staged_registry(staged.withColumnRenamed(J.LABEL, "ret"), beta).withColumn("candidate", F.lit("boosting"))
+    return ridges_.unionByName(trees, allowMissingColumns=True)
 
 
 @query("j8_model_registry")
 def registry(spark, root):
-    return report(J.registry(_validated(spark, root)), 6)
+    return report(_candidates(spark, root, 1.0), 6)
 
 
 @query("j9_best_by_validation")
 def best(spark, root):
-    valid = _validated(spark, root)
-    flipped = valid.withColumn("score", -F.col("score"))
-    both = J.registry(valid, 0.1).withColumn("candidate", F.lit("ridge")).unionByName(
-        J.registry(flipped, 0.1).withColumn("candidate", F.lit("flipped")))
-    return report(J.best_of(both), 6)
+    return report(J.best_of(_candidates(spark, root, 0.1)), 6)
 
 
 # ---------------------------------------------------------------- timing and allocation
@@ -227,7 +259,22 @@ def linear_path(spark, root):
     return report(O.weight_path(environment_frame(spark, root)))
 
 
-@query("o7_state_weight_path")
+# States 0 neutral, 1 attack, 2 defense; the target is that of the state before the week's value moves it.
+STATE_PATH = """
+en7 AS (SELECT entity, date, env_strength AS e, row_number() OVER (PARTITION BY entity ORDER BY date) AS n FROM env),
+path7 AS (SELECT entity, date, n, e, 0 AS state, 0 AS streak, least(greatest(least(greatest(0.7 * (CAST(0.2 AS DOUBLE) + 0.15 * least(greatest((e - 0.3) / 0.3, 0), 1)) + 0.3 * 0.1, 0.0), 0.2), 0.0), 1.0) AS w_g,
+    CASE WHEN e <= 0.3 OR e >= 0.6 THEN 0 ELSE 0 END AS after, CASE WHEN e <= 0.3 OR e >= 0.6 THEN 1 ELSE 0 END AS run FROM en7 WHERE n = 1
+  UNION ALL SELECT entity, date, n, e, state, streak, w_g,
+    CASE WHEN mid THEN 0 WHEN asked IS NOT NULL AND streak + 1 >= 2 THEN asked ELSE state END,
+    CASE WHEN mid OR (asked IS NOT NULL AND streak + 1 >= 2) THEN 0 WHEN asked IS NOT NULL THEN streak + 1 ELSE streak END
+  FROM (SELECT x.entity, x.date, x.n, x.e, p.after AS state, p.run AS streak, NOT (x.e <= 0.3) AND NOT (x.e >= 0.6) AS mid,
+      CASE WHEN x.e <= 0.3 AND p.after <> 1 THEN 1 WHEN x.e >= 0.6 AND p.after <> 2 THEN 2 END AS asked,
+      least(greatest(least(greatest(0.7 * CASE p.after WHEN 0 THEN CAST(0.2 AS DOUBLE) + 0.15 * least(greatest((x.e - 0.3) / 0.3, 0), 1) WHEN 1 THEN 0.05 ELSE 0.5 END
+        + 0.3 * p.w_g, p.w_g - 0.1), p.w_g + 0.1), 0.0), 1.0) AS w_g
+    FROM path7 p JOIN en7 x ON x.entity = p.entity AND x.n = p.n + 1))"""
+
+
+@query("o7_state_weight_path", S.with_base(final("path7", "entity, date", "w_g"), ENV, STATE_PATH, recursive=True))
 def state_path(spark, root):
     return report(O.weight_path(environment_frame(spark, root), Allocation(mode="state")))
 

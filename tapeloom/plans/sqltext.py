@@ -274,12 +274,39 @@ ctx AS (SELECT wd.date, {', '.join(picks)}, max(sb.bread_style) AS bread_style F
         JOIN sbread sb ON sb.date = wd.ds GROUP BY wd.date)"""]
 
 
-WINDOWS = """
-fn AS (SELECT entity, date, mom20, ret_std20, price_pos_20, row_number() OVER (PARTITION BY entity ORDER BY date) AS n FROM fac),
-lastrow AS (SELECT k.date AS sample_date, f.entity, max(f.n) AS r FROM weeks k JOIN fn f ON f.date <= k.date GROUP BY 1, 2 HAVING max(f.n) >= 50),
-windows AS (SELECT l.sample_date, l.entity, CAST(f.n - (l.r - 49) AS INT) AS t_pos, mom20, ret_std20, price_pos_20
+_ALL = ", ".join(FACTOR_COLUMNS)
+WINDOWS = f"""
+fn AS MATERIALIZED (SELECT entity, date, {", ".join(f"{ok(c)} AS {c}" for c in FACTOR_COLUMNS)}, row_number() OVER ({O}) AS n FROM allfac),
+closing AS (SELECT k.date AS sample_date, f.entity, max(f.n) AS r FROM weeks k JOIN fn f ON f.date <= k.date GROUP BY 1, 2 HAVING max(f.n) >= 50),
+lastrow AS MATERIALIZED (SELECT sample_date, c.entity, r FROM closing c JOIN fn f ON f.entity = c.entity AND f.n BETWEEN c.r - 49 AND c.r
+            GROUP BY 1, 2, 3 HAVING count(coalesce({_ALL})) > 0),
+windows AS MATERIALIZED (SELECT l.sample_date, l.entity, CAST(f.n - (l.r - 49) AS INT) AS t_pos, {_ALL}
             FROM lastrow l JOIN fn f ON f.entity = l.entity AND f.n BETWEEN l.r - 49 AND l.r)"""
 
+_MIDDLE = ", ".join(f"quantile_cont({c}, 0.5) AS {c}_m" for c in FACTOR_COLUMNS)
+_SPREAD = ", ".join(f"quantile_cont(abs({c} - {c}_m), 0.5) + 1e-6 AS {c}_d" for c in FACTOR_COLUMNS)
+_CLAMPED = ", ".join(f"least(greatest({c}, {c}_m - 3 * {c}_d), {c}_m + 3 * {c}_d) AS {c}" for c in FACTOR_COLUMNS)
+CLIPPED = f"""
+wz AS MATERIALIZED (SELECT sample_date, entity, t_pos, {", ".join(f"coalesce({c}, 0) AS {c}" for c in FACTOR_COLUMNS)} FROM windows),
+wm AS MATERIALIZED (SELECT sample_date, t_pos, {_MIDDLE} FROM wz GROUP BY 1, 2),
+wd2 AS (SELECT sample_date, t_pos, {_SPREAD} FROM wz JOIN wm USING (sample_date, t_pos) GROUP BY 1, 2),
+clipped AS MATERIALIZED (SELECT sample_date, entity, t_pos, {_CLAMPED} FROM wz JOIN wm USING (sample_date, t_pos) JOIN wd2 USING (sample_date, t_pos))"""
+
+
+def cells(relation: str, where: str = "TRUE") -> str:
+    """One row per cell of a relation of windows: ``factor, v``."""
+    return f"(SELECT sample_date, entity, t_pos, {_ALL} FROM {relation} WHERE {where}) UNPIVOT INCLUDE NULLS (v FOR factor IN ({_ALL}))"
+
+
+def digest(relation: str, where: str = "TRUE", first: int = 0) -> str:
+    return (f"SELECT sample_date, factor, count(*) AS n_cells, count(v) AS n_values, sum(coalesce(v, 0)) AS total, "
+            f"sum(coalesce(v, 0) * (t_pos + {1 - first})) AS weighted, min(v) AS low, max(v) AS high FROM {cells(relation, where)} GROUP BY 1, 2")
+
+
+def windows_sql(body: str, *more: str) -> str:
+    """``body`` over ``windows`` (all factors, 50 rows a sample) and ``lastrow`` (the samples)."""
+    return with_base(body, *FACTORS, *SMOOTH, all_factors_relation(), WINDOWS, *more, recursive=True)
+
 FLAGGED = """
 cand AS (SELECT DISTINCT w.date, b.entity FROM bars b JOIN weeks w ON date_trunc('week', w.date) = date_trunc('week', b.date)),
 mast AS (SELECT entity, min(date) AS ipo_date, CASE WHEN (SELECT max(date) FROM bars) - max(date) >= 60 THEN max(date) END AS delist_date

@@ -22,9 +22,9 @@ def skewed():
     return pd.DataFrame({"date": date, "entity": [f"e{i:03d}" for i in range(600)], "v": value, "u": rng.normal(0, 1, 600)})
 
 
-@pytest.mark.parametrize("limit", [None, 150, 1])
-def test_ranks(spark, skewed, limit):
-    got = X.ranks(spark.createDataFrame(skewed), ["date"], "entity", {"v": "rv", "u": "ru"}, limit).toPandas()
+@pytest.mark.parametrize("piece", [None, 150, 10])
+def test_ranks(spark, skewed, piece):
+    got = X.ranks(spark.createDataFrame(skewed), ["date"], "entity", {"v": "rv", "u": "ru"}, piece).toPandas()
     want = skewed.assign(wv=skewed.groupby("date")["v"].rank(), wu=skewed.groupby("date")["u"].rank())
     both = got.merge(want, on=["date", "entity"])
     assert len(both) == 600
@@ -32,15 +32,29 @@ def test_ranks(spark, skewed, limit):
     np.testing.assert_allclose(both["ru"], both["wu"])
 
 
-@pytest.mark.parametrize("limit", [150, 1])
-def test_positions_split_equals_whole(spark, skewed, limit):
+@pytest.mark.parametrize("piece", [150, 10])
+def test_positions_split_equals_whole(spark, skewed, piece):
     df = spark.createDataFrame(skewed)
     whole = X.positions_of(df, ["date"], "entity", {"v": "p"}).toPandas().sort_values("entity")
-    split = X.positions_of(df, ["date"], "entity", {"v": "p"}, limit).toPandas().sort_values("entity")
+    split = X.positions_of(df, ["date"], "entity", {"v": "p"}, piece).toPandas().sort_values("entity")
     assert whole["p"].tolist() == split["p"].tolist()
     assert sorted(split[split["date"] == "hot"]["p"]) == list(range(1, 501))
 
 
+@pytest.mark.parametrize("piece", [None, 40])
+def test_pairs_and_ids_do_not_depend_on_the_pieces(spark, skewed, piece):
+    df = spark.createDataFrame(skewed)
+    got = X.with_next(df, ["date"], ["v", "entity"], ["u", "entity"], piece).toPandas()
+    assert len(got) == 600 and got["u_2"].isna().sum() == 2
+    for date, group in skewed.groupby("date"):
+        order = group.sort_values(["v", "entity"])
+        want = dict(zip(order["entity"], order["entity"].shift(-1)))
+        assert {e: x for e, x in zip(got.loc[got["date"] == date, "entity"], got.loc[got["date"] == date, "entity_2"])} == {
+            e: None if x != x else x for e, x in want.items()}
+    names = X.text_positions(df.select("entity"), "entity", "id", piece).toPandas()
+    assert dict(zip(names["entity"], names["id"])) == {e: i for i, e in enumerate(sorted(skewed["entity"]))}
+
+
 @pytest.mark.parametrize("accuracy, bracket", [(2000, 0.002), (40, 0.06)])
 def test_quantiles_and_medians(spark, skewed, monkeypatch, accuracy, bracket):
     monkeypatch.setattr(X, "ACCURACY", accuracy)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tapeloom.config import Allocation, Stops
-from tapeloom.models.walkforward import LABEL, fit_ridge
 from tapeloom.operators import calendar as C
 from tapeloom.operators import stops as X
 from tapeloom.operators.allocation import weight_path
@@ -62,20 +61,6 @@ def test_tail_windows_match_brute_force(spark):
     assert sorted(got.itertuples(index=False, name=None)) == sorted(want)
 
 
-def test_ridge_matches_the_closed_form(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(0, [1.0, 5.0, 0.1], (150, 3)) + 2.0
-    y = x @ [0.3, -0.1, 4.0] + rng.normal(0, 0.5, 150)
-    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(**{LABEL: y})
-    df = spark.createDataFrame(pdf)
-    got = fit_ridge(df, ["a", "b", "c"]).transform(df).toPandas().sort_values("a")["score"].to_numpy()
-    z = x / x.std(axis=0)
-    zc, yc = z - z.mean(axis=0), y - y.mean()
-    beta = np.linalg.solve(zc.T @ zc + np.eye(3), zc.T @ yc)
-    want = (y.mean() + zc @ beta)[np.argsort(x[:, 0])]
-    np.testing.assert_allclose(got, want, atol=1e-5)
-
-
 def test_streamed_stops_equal_the_batch(spark, tmp_path):
     start = dt.date(2024, 1, 1)
     rng = np.random.default_rng(4)
