@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tapeloom.config import Allocation, Stops, WalkForward
+from tapeloom.config import Allocation, Costs, Stops, WalkForward
 from tapeloom.fixed_values import FACTOR_COLUMNS, MARKET_PROXY_PATTERNS
 from tapeloom.models import boosting as MB
 from tapeloom.models import moments as MM
@@ -25,6 +25,7 @@ from tapeloom.plans import fixtures as fx
 from tapeloom.plans import sqltext as S
 from tapeloom.plans.portfolio_queries import RANKED
 from tapeloom.plans.registry import final, query, report
+from tapeloom.plans.stopsql import stop_relations
 from tapeloom.session import shared_dir
 from tapeloom.sources.bars import master, table
 from tapeloom.sources.readers import market_proxy
@@ -338,12 +339,30 @@ def event_bars_streamed(spark, root):
     return report(spark.read.parquet(f"{home}/bars"))
 
 
-@query("s3_live_stops")
+LIVE = Stops(take_profit=0.1, stop_loss=0.05)
+STOP_EVENTS = S.with_base(final("""
+SELECT param_id, entity, date, 'RET' AS kind, path, weight, ret, contribution, CAST(NULL AS DOUBLE) AS entry_price, CAST(NULL AS DOUBLE) AS exec_price FROM st_rets
+UNION ALL SELECT param_id, entity, date, action, CASE action WHEN 'BUY' THEN 'add' WHEN 'SELL' THEN 'reduce' ELSE 'stop' END, NULL, NULL, NULL, entry_price, exec_price FROM st_trades""",
+    "param_id, entity, date, kind, path", "weight ret contribution entry_price exec_price", 7), *S.BOOK, stop_relations([("live", LIVE)], Costs()), recursive=True)
+
+
+@query("s3_live_stops", STOP_EVENTS)
 def live_stops(spark, root):
+    """The book's days in four deliveries, the last days of each partly delayed to the next; then a row that ends the stream."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
     home = _scratch(spark, "s3")
     rows = X.stop_days(fx.positions(spark, root), fx.bars(spark, root))
-    for part in (rows.where("date < DATE '2000-01-01'"), rows.where("date >= DATE '2000-01-01'")):
-        part.coalesce(1).write.mode("append").parquet(f"{home}/in")
-        events = live.live_stops(live.stream_table(spark, f"{home}/in"), Stops(take_profit=0.1, stop_loss=0.05))
+    span = rows.agg(F.min("day").alias("a"), (F.max("day") + 1).alias("b"))
+    share = (F.col("day") - F.col("a")) * 4 / (F.col("b") - F.col("a"))
+    delayed = (F.pmod(F.hash("entity", "day"), F.lit(3)) == 0) & (F.floor((F.col("day") + 20 - F.col("a")) * 4 / (F.col("b") - F.col("a"))) > F.floor(share))
+    placed = rows.join(F.broadcast(span), F.lit(True)).withColumn("delivery", F.floor(share) + F.when(delayed, 1).otherwise(0)).drop("a", "b")
+    end = rows.agg(F.max("day").alias("day"), F.max("ord").alias("ord")).select(
+        F.lit("~end").alias("entity"), F.date_add(F.to_date(F.lit("1970-01-01")), (F.col("day") + 100).cast("int")).alias("date"),
+        (F.col("day") + 100).alias("day"), (F.col("ord") + 100).alias("ord"), F.lit(-1).alias("signal"), F.lit(0.0).alias("weight"),
+        *[F.lit(float("nan")).alias(c) for c in ("open", "high", "low", "close", "prev_close")])
+    parts = [placed.where(F.col("delivery") == i).drop("delivery") for i in range(5)]
+    for part in [*parts[:4], parts[4].unionByName(end)]:
+        part.write.mode("append").parquet(f"{home}/in")
+        events = live.live_stops(live.stream_table(spark, f"{home}/in", 1000), LIVE)
         live.append_to(events, f"{home}/events", f"{home}/log").awaitTermination()
-    return report(spark.read.parquet(f"{home}/events"))
+    return report(spark.read.parquet(f"{home}/events"), 7)

@@ -7,8 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tapeloom.config import Costs, Stops
 from tapeloom.operators.stops import EVENTS, Bar, Holding, advance
@@ -80,27 +79,67 @@ HOLDING = (
     "weight double, last_ord long, entry double, peak double, armed boolean, closed_by_stop boolean, "
     "stop_day long, stop_signal long"
 )
+FIELDS = ("day", "ord", "signal", "weight", "open", "high", "low", "close", "prev_close")
+WAITING = "at long, date date, day long, signal long, weight double, open double, high double, low double, close double, prev_close double"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Stops(StatefulProcessor):
+    """Days of a name wait, by number, until the watermark has passed them; then they go through the state machine in order."""
+
+    def __init__(self, stops: Stops, costs: Costs, name: str) -> None:
+        self.stops, self.costs, self.name = stops, costs, name
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", HOLDING)
+        self.waiting = handle.getMapState("waiting", "ord long", WAITING)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        timers = set()
+        for batch in rows:
+            moments = batch["ts"].astype("datetime64[ms]").astype("int64").tolist()
+            for at, row in zip(moments, batch.itertuples()):
+                self.waiting.updateValue((int(row.ord),), (at, row.date, int(row.day), int(row.signal), *(float(getattr(row, f)) for f in FIELDS[3:])))
+                timers.add(at)
+        for at in timers:
+            self.handle.registerTimer(at)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        ready = sorted((int(number[0]), tuple(row)) for number, row in self.waiting.iterator() if row[0] <= passed)
+        if not ready:
+            return
+        held = Holding(*self.held.get()) if self.held.exists() else Holding()
+        out = []
+        for number, (_, date, day, signal, *prices) in ready:
+            self.waiting.removeKey((number,))
+            for kind, path, weight, ret, entry, price in advance(held, Bar(day, number, signal, *prices), self.stops, self.costs):
+                ret = None if ret is None or ret != ret else ret
+                out.append((self.name, key[0], date, kind, path, weight, ret, None if ret is None else weight * ret, entry, price))
+        self.held.update((held.weight, held.last_ord, held.entry, held.peak, held.armed, held.closed_by_stop, held.stop_day, held.stop_signal))
+        if out:
+            names = [f.split()[0] for f in EVENTS.split(", ")]
+            yield pd.DataFrame(out, columns=names).astype({n: "float64" for n in names[5:]})
+
+    def close(self) -> None:
+        pass
 
 
-def live_stops(days: DataFrame, stops: Stops, costs: Costs = Costs(), name: str = "live") -> DataFrame:
+def live_stops(days: DataFrame, stops: Stops, costs: Costs = Costs(), name: str = "live", late: str = "40 days") -> DataFrame:
     """Return and trade events from a stream of days (see ``stop_days``), with the batch state machine.
 
-    What is known about a name lives in the state store between batches.
+    Days may arrive in any order, and repeatedly, within ``late`` of the newest day seen. A name's days wait in the state
+    store until the watermark has passed them and are then walked in order, so at most the days of that span wait, and
+    the events are those of the batch. A day that arrives after the watermark has passed it is left out and counted (see
+    :func:`late_rows`). Days after the last watermark wait for the next run. Needs ``STATE_STORE`` as the session's state
+    store provider.
     """
-    fields = ("day", "ord", "signal", "weight", "open", "high", "low", "close", "prev_close")
-    names = [f.split()[0] for f in EVENTS.split(", ")]
+    timed = days.withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy("entity").transformWithStateInPandas(_Stops(stops, costs, name), EVENTS, "Append", "EventTime")
 
-    def step(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = Holding(*state.get) if state.exists else Holding()
-        rows = pd.concat(list(groups)).sort_values("ord")
-        out = []
-        for values, date in zip(zip(*(rows[f].tolist() for f in fields)), rows["date"].tolist()):
-            for kind, path, weight, ret, entry, price in advance(held, Bar(*values), stops, costs):
-                ret = None if ret is None or ret != ret else ret
-                part = None if ret is None else weight * ret
-                out.append((name, key[0], date, kind, path, weight, ret, part, entry, price))
-        state.update((held.weight, held.last_ord, held.entry, held.peak, held.armed, held.closed_by_stop, held.stop_day, held.stop_signal))
-        if out:
-            yield pd.DataFrame(out, columns=names).astype({n: "float64" for n in names[5:]})
 
-    return days.groupBy("entity").applyInPandasWithState(step, EVENTS, HOLDING, "append", GroupStateTimeout.NoTimeout)
+def late_rows(query: StreamingQuery) -> int:
+    """Rows of a finished query that came too late."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

@@ -75,10 +75,20 @@ def test_streamed_stops_equal_the_batch(spark, tmp_path):
     stops = Stops(rules=("fixed_tp_sl", "trailing_sl"), take_profit=0.12, stop_loss=0.06, trail_start=0.05, trail_drawdown=0.03)
     batch = X.simulate(positions, bars, [("live", stops)]).toPandas()
     rows = X.stop_days(positions, bars)
-    for part in (rows.where("date < DATE '2024-01-14'"), rows.where("date >= DATE '2024-01-14'")):
-        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        events = live.live_stops(live.stream_table(spark, f"{tmp_path}/in"), stops)
-        live.append_to(events, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
+    # Days arrive shuffled within a week, some twice, one far too late; the last row only moves the watermark on.
+    arrival = F.floor((F.dayofyear("date") + F.pmod(F.hash("entity", "date"), F.lit(5))) / 9)
+    end = rows.limit(1).withColumns({"entity": F.lit("end"), "date": F.lit("2024-03-01").cast("date"), "weight": F.lit(0.0)})
+    late = rows.where("date = DATE '2024-01-02' AND entity = 'a'").withColumn("close", F.lit(1.0))
+    steps = [rows.where(arrival == i) for i in range(4)]
+    late_count = 0
+    for part in (steps[0], steps[1].union(steps[0].where("date > DATE '2024-01-05'")), steps[2], steps[3].union(late), end):
+        part.repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        events = live.live_stops(live.stream_table(spark, f"{tmp_path}/in", 100), stops, late="9 days")
+        query = live.append_to(events, f"{tmp_path}/out", f"{tmp_path}/log")
+        query.awaitTermination()
+        late_count += live.late_rows(query)
+    assert late_count >= 1
     streamed = spark.read.parquet(f"{tmp_path}/out").toPandas()
     order = ["entity", "date", "kind"]
     assert {"SL", "TP"} & set(batch["kind"]) and "TRAIL_SL" in set(batch["kind"])
