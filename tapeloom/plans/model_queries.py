@@ -307,16 +307,16 @@ def _scratch(spark, name):
 
 
 @query("s1_streamed_upsert", S.with_base(final(
-    "SELECT entity, date, CASE WHEN date >= DATE '2000-01-01' AND date < DATE '2000-03-01' THEN close * 2 ELSE close END AS close FROM bars",
-    "entity, date", "close")))
+    "SELECT entity, date, open, high, low, CASE WHEN date >= DATE '2000-01-01' AND date < DATE '2000-03-01' THEN close * 2 ELSE close END AS close, "
+    "volume, total_turnover, num_trades FROM bars", "entity, date", "open high low close volume total_turnover num_trades", 7)))
 def streamed_upsert(spark, root):
     home = _scratch(spark, "s1")
-    bars = fx.bars(spark, root).select("entity", "date", "close")
+    bars = fx.bars(spark, root)
     revised = bars.where("date >= DATE '2000-01-01' AND date < DATE '2000-03-01'").withColumn("close", F.col("close") * 2)
     for step in (bars, revised):
-        step.coalesce(1).write.mode("append").parquet(f"{home}/in")
-        live.upsert_stream(live.stream_table(spark, f"{home}/in"), f"{home}/panel", f"{home}/log").awaitTermination()
-    return report(spark.read.parquet(f"{home}/panel").select("entity", "date", "close"))
+        step.write.mode("append").parquet(f"{home}/in")
+        live.upsert_stream(live.stream_table(spark, f"{home}/in", 1000), f"{home}/panel", f"{home}/log").awaitTermination()
+    return report(live.read_panel(spark, f"{home}/panel").select(bars.columns), 7)
 
 
 EVENT_BARS = """

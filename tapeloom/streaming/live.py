@@ -12,32 +12,101 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from tapeloom.config import Costs, Stops
 from tapeloom.operators.stops import EVENTS, Bar, Holding, advance
 from tapeloom.session import cut_lineage
-from tapeloom.sources.readers import read_parquet
 from tapeloom.sources.upsert import upsert
 
 MONTH = "month"
+# Parts of a month.
+BUCKETS = 16
 
 
-def merge_batch(batch: DataFrame, path: str, keys: Sequence[str] = ("entity", "date")) -> None:
-    """Upsert one batch into a panel stored by month; only touched months are read and rewritten.
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions of a panel, in order."""
+    jvm = spark.sparkContext._jvm
+    home = jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
+    fs = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(home):
+        return []
+    names = [s.getPath() for s in fs.listStatus(home)]
+    return sorted(int(p.getName()) for p in names if p.getName().isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    The merged months are written to the shared folder before they replace the
-    stored ones, so a lost executor never reads what it is overwriting.
+
+def _manifest(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """``month, bucket, version, batch``: where the parts of a version are; one row per month and bucket."""
+    return spark.read.schema("month string, bucket int, version long, batch long").parquet(f"{path}/_versions/{version}")
+
+
+def _parts(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """The rows of the named parts; only their folders are read."""
+    data = spark.read.option("mergeSchema", True).parquet(f"{path}/data").withColumns(
+        {MONTH: F.col(MONTH).cast("string"), "bucket": F.col("bucket").cast("int"), "version": F.col("version").cast("long")})
+    return data.join(F.broadcast(manifest.select(MONTH, "bucket", "version")), [MONTH, "bucket", "version"], "left_semi")
+
+
+def read_panel(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """A whole version of a stored panel, the newest unless named; None where nothing is stored yet.
+
+    A writer adds files and then a manifest, so a reader never sees half a batch.
+    """
+    versions = _manifests(spark, path)
+    if not versions:
+        return None
+    return _parts(spark, path, _manifest(spark, path, version or versions[-1])).drop(MONTH, "bucket", "version")
+
+
+def merge_batch(batch: DataFrame, path: str, keys: Sequence[str] = ("entity", "date"), batch_id: int | None = None, buckets: int = BUCKETS) -> None:
+    """Upsert one batch into a panel stored by month and hash bucket of the entity.
+
+    Only the parts that the batch touches are read; their merged rows are written as new files of the next version, each
+    part by its own task, however many a month has. The version's manifest is written last and makes it visible. A batch
+    whose number is in the newest manifest already was applied and is skipped. Files of a write that was cut off are
+    written over by its repetition; superseded files stay for readers of earlier versions until :func:`vacuum`.
     """
-    batch = batch.withColumn(MONTH, F.date_format("date", "yyyy-MM"))
-    stored = read_parquet(batch.sparkSession, path)
-    if stored is not None:
-        touched = batch.select(MONTH).distinct()
-        stored = stored.withColumn(MONTH, F.col(MONTH).cast("string")).join(F.broadcast(touched), MONTH, "left_semi")
-    merged = cut_lineage(upsert(stored, batch, keys))
-    writer = merged.repartition(MONTH).write.mode("overwrite").partitionBy(MONTH)
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    spark = batch.sparkSession
+    versions = _manifests(spark, path)
+    last = _manifest(spark, path, versions[-1]) if versions else None
+    if last is not None and batch_id is not None and (last.agg(F.max("batch")).first()[0] or -1) >= batch_id:
+        return
+    version = versions[-1] + 1 if versions else 1
+    placed = cut_lineage(batch.withColumns(
+        {MONTH: F.date_format("date", "yyyy-MM"), "bucket": F.pmod(F.xxhash64("entity"), F.lit(buckets)).cast("int")}))
+    touched = placed.select(MONTH, "bucket").distinct()
+    stored = None
+    if last is not None:
+        stored = _parts(spark, path, last.join(F.broadcast(touched), [MONTH, "bucket"], "left_semi")).drop("version")
+    merged = upsert(stored, placed, keys).withColumn("version", F.lit(version))
+    writer = merged.repartition(MONTH, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(MONTH, "bucket", "version").parquet(f"{path}/data")
+    number = F.lit(batch_id).cast("long").alias("batch")
+    new = touched.select(MONTH, "bucket", F.lit(version).cast("long").alias("version"), number)
+    if last is not None:
+        new = new.union(last.join(F.broadcast(touched), [MONTH, "bucket"], "left_anti"))
+    new.coalesce(1).write.mode("overwrite").parquet(f"{path}/_versions/{version}")
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Deletes manifests but the newest ``keep`` and the parts that only they name; returns the number of parts."""
+    versions = _manifests(spark, path)
+    old, new = versions[:-keep], versions[-keep:]
+    if not old:
+        return 0
+    def named(numbers: list[int]) -> set:
+        return {(r[MONTH], r["bucket"], r["version"]) for n in numbers for r in _manifest(spark, path, n).collect()}
+
+    jvm = spark.sparkContext._jvm
+    home = jvm.org.apache.hadoop.fs.Path(path)
+    fs = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    unused = named(old) - named(new)
+    for n in old:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/_versions/{n}"), True)
+    for month, bucket, version in unused:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/data/{MONTH}={month}/bucket={bucket}/version={version}"), True)
+    return len(unused)
 
 
 def upsert_stream(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Apply a stream of new and revised bars to a stored panel; replaying a batch changes nothing."""
     return (
-        bars.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, path))
+        bars.writeStream.foreachBatch(lambda batch, number: merge_batch(batch, path, batch_id=number))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

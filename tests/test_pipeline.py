@@ -1,6 +1,7 @@
 """Calendar, samples, models, streams and the registry."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pandas as pd
@@ -97,11 +98,26 @@ def test_streamed_stops_equal_the_batch(spark, tmp_path):
 
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
-    bars = spark.createDataFrame([("a", dt.date(2024, 1, 2), 1.0), ("a", dt.date(2024, 2, 1), 2.0)], "entity string, date date, close double")
-    revised = bars.where("close = 2").withColumn("close", F.lit(9.0))
-    for batch in (bars, revised, revised):
-        live.merge_batch(batch, f"{tmp_path}/panel")
-    assert sorted(r.close for r in spark.read.parquet(f"{tmp_path}/panel").collect()) == [1.0, 9.0]
+    path = f"{tmp_path}/panel"
+    assert live.read_panel(spark, path) is None
+    bars = spark.createDataFrame(
+        [(e, dt.date(2024, m, 2), float(m)) for e in "abcdefgh" for m in (1, 2)], "entity string, date date, close double")
+    revised = bars.where("close = 2 AND entity < 'c'").withColumn("close", F.lit(9.0)).withColumn("volume", F.lit(1.0))
+    live.merge_batch(bars, path, batch_id=0, buckets=3)
+    for batch_id in (1, 1, 0):
+        live.merge_batch(revised, path, batch_id=batch_id, buckets=3)
+    live.merge_batch(revised, path, buckets=3)
+    now = live.read_panel(spark, path).collect()
+    assert sorted((r["entity"], r["close"], r["volume"]) for r in now if r["date"].month == 2) == [
+        (e, 9.0 if e < "c" else 2.0, 1.0 if e < "c" else None) for e in "abcdefgh"]
+    assert len(now) == 16 and {r["close"] for r in now if r["date"].month == 1} == {1.0}
+    # The first version is still whole; a version without its mark is not seen.
+    assert {r["close"] for r in live.read_panel(spark, path, 1).collect()} == {1.0, 2.0}
+    os.remove(f"{path}/_versions/3/_SUCCESS")
+    assert live._manifests(spark, path) == [1, 2]
+    live.merge_batch(revised, path, batch_id=2, buckets=3)
+    assert live.vacuum(spark, path, keep=1) > 0 and live._manifests(spark, path) == [3]
+    assert sorted(map(str, live.read_panel(spark, path).collect())) == sorted(map(str, now))
 
 
 def test_state_path_waits_for_hysteresis_and_respects_the_cap(spark):
