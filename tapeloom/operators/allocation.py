@@ -5,6 +5,7 @@ Inputs are series keyed by ``entity`` with one row per day or week.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,7 +45,7 @@ def environment_ranks(bars: DataFrame) -> DataFrame:
     df = df.withColumn("_r", F.coalesce(R.pct_change("_cf"), F.lit(0.0)))
     full = F.count("_r").over(R.last_n(20)) >= 20
     df = df.withColumns(
-        {"_vol": F.when(full, R.rolling_std("_r", 20) * np.sqrt(252)), "_up": F.when(F.col("_r") > 0, 1.0).otherwise(0.0)}
+        {"_vol": F.when(full, R.rolling_std("_r", 20) * math.sqrt(252)), "_up": F.when(F.col("_r") > 0, 1.0).otherwise(0.0)}
     )
     df = df.withColumns({"_vr": R.rank_of_last("_vol", 252, 60), "_br": R.rank_of_last("_up", 252, 60)})
     return df.select("entity", "date", "close", R.forward_fill("_vr").alias("vol_rank"), R.forward_fill("_br").alias("breadth_rank"))

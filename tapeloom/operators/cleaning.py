@@ -55,8 +55,8 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), ze
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, columns: Sequence[str], by: Sequence[str] = (), zero_missing: bool = False) -> DataFrame:
-    """Standardise with stored parameters; the scaler has one row per window, so it is broadcast."""
-    joined = df.join(F.broadcast(scaler), list(by) if by else F.lit(True))
+    """Standardise with stored parameters, one row per group; the single row of an ungrouped scaler is broadcast."""
+    joined = df.join(scaler, list(by)) if by else df.join(F.broadcast(scaler), F.lit(True))
     scaled = {}
     for c in columns:
         z = (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std")
@@ -67,7 +67,7 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns: Sequence[str], by: S
 def scale_only(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Divide by the population deviation without centring; a constant column is left as it is."""
     spread = df.groupBy(*by).agg(*[F.stddev_pop(c).alias(f"{c}_std") for c in columns])
-    joined = df.join(F.broadcast(spread), list(by) if by else F.lit(True))
+    joined = df.join(spread, list(by)) if by else df.join(F.broadcast(spread), F.lit(True))
     return joined.withColumns(
         {c: F.when(F.col(f"{c}_std") > 0, F.col(c) / F.col(f"{c}_std")).otherwise(F.col(c)) for c in columns}
     ).select(*df.columns)

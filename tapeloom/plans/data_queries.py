@@ -279,23 +279,30 @@ def style_breadth(spark, root):
     return report(A.style_breadth(fx.sector_series(spark, root), 5))
 
 
-@query("f5_cross_section_features", S.with_base(final("""
-SELECT date, count(*) AS cs_n, count(*) FILTER (r > 0) AS cs_n_up, count(*) FILTER (NOT r > 0) AS cs_n_dn,
+CROSS_SECTION = """
+csf AS (SELECT date, count(*) AS cs_n, count(*) FILTER (r > 0) AS cs_n_up, count(*) FILTER (NOT r > 0) AS cs_n_dn,
   CAST(count(*) FILTER (r > 0) AS DOUBLE) / count(*) AS cs_ratio_up,
   CASE WHEN sum(w) > 0 THEN coalesce(sum(w) FILTER (r > 0), 0) / sum(w) ELSE 0 END AS cs_ratio_w_up, avg(r) AS cs_mean_ret, sum(w * r) AS cs_wmean_ret,
   stddev_pop(r) AS cs_std_ret, CAST(count(*) FILTER (r > 0.02) AS DOUBLE) / count(*) AS cs_frac_big_up,
   CAST(count(*) FILTER (r < -0.02) AS DOUBLE) / count(*) AS cs_frac_big_dn, quantile_cont(r, 0.1) AS cs_p10_ret,
   quantile_cont(r, 0.5) AS cs_p50_ret, quantile_cont(r, 0.9) AS cs_p90_ret, quantile_cont(r, 0.5) AS cs_median_ret
-FROM (SELECT date, coalesce(weight, 0) AS w, coalesce(ret, 0) AS r FROM stock_rets) GROUP BY date""", "date, cs_n, cs_n_up, cs_n_dn",
-    "cs_ratio_up cs_ratio_w_up cs_mean_ret cs_wmean_ret cs_std_ret cs_frac_big_up cs_frac_big_dn cs_p10_ret cs_p50_ret cs_p90_ret cs_median_ret", 8), *S.BOOK))
+  FROM (SELECT date, coalesce(weight, 0) AS w, coalesce(ret, 0) AS r FROM stock_rets) GROUP BY date)"""
+CS_COUNTS = "cs_n cs_n_up cs_n_dn"
+CS_VALUES = ("cs_ratio_up cs_ratio_w_up cs_mean_ret cs_wmean_ret cs_std_ret cs_frac_big_up cs_frac_big_dn cs_p10_ret cs_p50_ret "
+             "cs_p90_ret cs_median_ret")
+POSITION_FEATURES = """
+pf AS (SELECT date, count(DISTINCT entity) AS pos_n_stock, avg(score) AS pos_mean_score, stddev_pop(score) AS pos_std_score,
+  quantile_cont(score, 0.5) AS pos_median_score FROM positions GROUP BY 1)"""
+POS_VALUES = "pos_mean_score pos_std_score pos_median_score"
+
+
+@query("f5_cross_section_features", S.with_base(final("csf", "date, cs_n, cs_n_up, cs_n_dn", CS_VALUES, 8), *S.BOOK, CROSS_SECTION))
 def cross_section(spark, root):
     return report(A.cross_section_features(fx.stock_returns(spark, root)), 8)
 
 
-@query("f6_position_features", S.with_base(final("""
-SELECT date, count(DISTINCT entity) AS pos_n_stock, avg(score) AS pos_mean_score, stddev_pop(score) AS pos_std_score,
-  quantile_cont(score, 0.5) AS pos_median_score FROM positions GROUP BY 1""", "date, pos_n_stock", "pos_mean_score pos_std_score pos_median_score", 8),
-    S.SCORES, S.PICKED, S.POSITIONS))
+@query("f6_position_features", S.with_base(
+    final("pf", "date, pos_n_stock", POS_VALUES, 8), S.SCORES, S.PICKED, S.POSITIONS, POSITION_FEATURES))
 def position_features(spark, root):
     return report(A.position_features(fx.positions(spark, root)), 8)
 
@@ -311,14 +318,17 @@ def trade_features(spark, root):
     return report(A.trade_features(fx.trades(spark, root)))
 
 
-@query("f8_daily_features", S.with_base(final("""
-SELECT n.date, n.ret_total, coalesce(c.m, 0) AS cs_mean_ret, coalesce(p.s, 0) AS pos_mean_score, coalesce(t.trd_net_dir_norm, 0) AS trd_net_dir_norm
-FROM navs n LEFT JOIN (SELECT date, avg(coalesce(ret, 0)) AS m FROM stock_rets GROUP BY 1) c ON c.date = n.date
-LEFT JOIN (SELECT date, avg(score) AS s FROM positions GROUP BY 1) p ON p.date = n.date LEFT JOIN tf t ON t.date = n.date""",
-    "date", "ret_total cs_mean_ret pos_mean_score trd_net_dir_norm", 8), *S.BOOK, TRADE_FEATURES))
+F8_COUNTS = [*CS_COUNTS.split(), "pos_n_stock"]
+F8_VALUES = ["ret_total", *CS_VALUES.split(), *POS_VALUES.split(), "trd_buy_sell_ratio", "trd_net_dir_norm"]
+
+
+@query("f8_daily_features", S.with_base(final(
+    "SELECT n.date, n.ret_total, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in F8_COUNTS + F8_VALUES[1:])
+    + " FROM navs n LEFT JOIN csf ON csf.date = n.date LEFT JOIN pf ON pf.date = n.date LEFT JOIN tf ON tf.date = n.date",
+    "date, " + ", ".join(F8_COUNTS), F8_VALUES, 8), *S.BOOK, CROSS_SECTION, POSITION_FEATURES, TRADE_FEATURES))
 def daily_features(spark, root):
     out = A.daily_features(fx.nav(spark, root), fx.stock_returns(spark, root), fx.positions(spark, root), fx.trades(spark, root))
-    return report(out.select("date", "ret_total", "cs_mean_ret", "pos_mean_score", "trd_net_dir_norm"), 8)
+    return report(out, 8)
 
 
 @query("f9_peer_average", S.with_base(final("""
@@ -415,16 +425,16 @@ def optional_inputs(spark, root):
 # ---------------------------------------------------------------- samples
 
 
-@query("i1_training_rows", S.with_base(final("""
-SELECT s.date AS sample_date, s.entity, s.score, l.next_week_return, ids.id AS industry_id, coalesce(ctx."A_ret_1d", 0) AS "A_ret_1d"
+@query("i1_training_rows", S.with_base(final(
+    "SELECT s.date AS sample_date, s.entity, s.score, l.next_week_return, ids.id AS industry_id, "
+    + ", ".join(f'coalesce(ctx."{c}", 0) AS "{c}"' for c in S.CONTEXT_COLUMNS) + """
 FROM scores s JOIN labels_ l ON l.sample_date = s.date AND l.entity = s.entity JOIN (SELECT date, entity FROM caused WHERE cause IS NULL) u
   ON u.date = s.date AND u.entity = s.entity JOIN ids ON ids.entity = s.entity LEFT JOIN ctx ON ctx.date = s.date""",
-    "sample_date, entity, industry_id", ["score", "next_week_return", "A_ret_1d"], 8), S.SCORES, S.LABELS, S.IDS, S.FLAGGED, *S.context_relations()))
+    "sample_date, entity, industry_id", ["score", "next_week_return", *S.CONTEXT_COLUMNS], 6), S.SCORES, S.LABELS, S.IDS, S.FLAGGED, *S.context_relations()))
 def training_rows(spark, root):
     features = fx.scores(spark, root).withColumnRenamed("date", "sample_date")
     return report(I.training_rows(
-        features, fx.labels(spark, root), H.tradable(fx.flagged(spark, root)), fx.industry_ids(spark, root),
-        fx.context(spark, root).select("date", "A_ret_1d")), 8)
+        features, fx.labels(spark, root), H.tradable(fx.flagged(spark, root)), fx.industry_ids(spark, root), fx.context(spark, root)), 6)
 
 
 def _summary_sql():
