@@ -11,16 +11,17 @@ import os
 import time
 
 from tapeloom.plans import fixtures as fx
+from tapeloom.plans import model_queries as models
 from tapeloom.plans.catalogue import QUERIES
 from tapeloom.session import local_session
 
 HEADLINE = (
     "b1_week_ends", "b4_align_to_last_available", "d1_rolling_mean_max_min", "d3_ema", "d18_tail_windows",
     "e24_momentum", "e28_all_factors", "c1_mad_clip", "f1_sector_bars", "f3_context_features", "g1_weekly_labels",
-    "h8_universe", "i2_window_summary", "l1_industry_neutral", "l7_daily_positions", "m3_nav", "m6_fixed_stops_nav",
+    "h8_universe", "i2_window_summary", "j1_walk_forward_ridge", "l1_industry_neutral", "l7_daily_positions", "m3_nav", "m6_fixed_stops_nav",
     "n1_rank_ic", "n6_turnover", "n11_full_metrics", "o5_environment_strength", "q1_stop_sweep", "s2_event_bars",
 )
-STAGES = ("bars", "thin_bars", "indices", "weeks", "scores", "labels", "positions", "moves", "factor_windows", "flagged", "context")
+STAGES = ("bars", "thin_bars", "indices", "weeks", "scores", "labels", "positions", "moves", "factor_windows", "feature_store", "flagged", "context", "model_rows")
 
 
 def run(df) -> None:
@@ -36,7 +37,7 @@ def main() -> None:
     seconds = {}
     for stage in STAGES:
         start = time.perf_counter()
-        run(getattr(fx, stage)(spark, root))
+        run(getattr(fx if hasattr(fx, stage) else models, stage)(spark, root))
         seconds[f"stage_{stage}"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()
