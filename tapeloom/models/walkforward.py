@@ -15,6 +15,7 @@ from tapeloom.operators.pairwise import pairwise_loss
 from tapeloom.operators.samples import model_rows
 from tapeloom.operators.selection import industry_neutral, select_names
 from tapeloom.operators.universe import rule_columns, tradable
+from tapeloom.session import cut_lineage
 
 LABEL = "next_week_return"
 
@@ -87,7 +88,8 @@ def rows_as_of(bars: DataFrame, day, columns: Sequence[str], master: DataFrame |
     seen = past.where(F.col("date") == F.lit(at)).select("date", "entity").distinct()
     universe = tradable(rule_columns(seen, past, master, suspended, st, rules))
     packed = store.packed_windows(technical_factors(past), end, columns)
-    inside = packed.join(universe.select(F.col("date").alias("sample_date"), "entity"), store.KEYS, "left_semi")
+    # One row per name; read several times below.
+    inside = cut_lineage(packed.join(universe.select(F.col("date").alias("sample_date"), "entity"), store.KEYS, "left_semi"))
     features = store.summarised(store.clip_packed(inside, columns), columns)
     labels = features.select(*store.KEYS, F.lit(None).cast("double").alias(LABEL))
     return model_rows(features, labels, context=context)

@@ -106,7 +106,7 @@ def scores_in_range(spark, root):
 @query("j5_score_as_of_day")
 def score_as_of(spark, root):
     """The model stored last before the day, on the windows of that day's tradable names."""
-    day, home = "2000-06-14", fx.scratch(spark, root, "models")
+    day, home = "2001-03-25", fx.scratch(spark, root, "models")
     J.save_models(ridges(spark, root), _plan(spark, root), home)
     bars = fx.bars(spark, root)
     number = F.split("entity", "#")[1].cast("int")
