@@ -18,6 +18,8 @@ from tapeloom.llm.vectors import is_query, matrix, top_rows
 # Vectors per tree, vectors per leaf, what the covering radius shrinks by from level to level, and the points that a
 # centre must cover on average for a level to be worth opening.
 SHARD, LEAF, SHRINK, GATHER = 4096, 64, 1.3, 8
+# Points of leaves that are verified together.
+VERIFY = 512
 # Cells that vectors are dealt to by their nearest pivot, at most; anchors that meet a tree, and trees that are bounded, at once.
 PIVOTS, ANCHORS, METAS = 4096, 1024, 512
 HITS = "anchor long, positive long, positive_score double, id long, score double"
@@ -84,7 +86,8 @@ class CoverTree:
 
         Nodes wait in a heap by the greatest product they can reach. A node is opened while some window wants it: its
         reach is not below the window's low end and k-th score so far, nor all above its high end. Leaves are verified
-        point by point, by product, label and window. ``floor`` is a k-th score known from other trees.
+        point by point, by product, label and window, as soon as ``VERIFY`` points are due. ``floor`` is a k-th score known
+        from other trees.
         """
         norm = float(np.sqrt(vector @ vector))
         lifted = np.append(vector * (self.norm / norm if norm else 0.0), 0.0)
@@ -93,12 +96,30 @@ class CoverTree:
         least = np.maximum(low, [w[4] for w in windows])
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(windows)
         heap: list[tuple[float, float, int]] = [(-np.inf, -np.inf, 0)]
+        pending: list[slice] = []
+
+        def verify() -> None:
+            """Compares the points of the leaves taken so far with label and windows, one by one."""
+            ids, marks, points = (np.concatenate([x[s] for s in pending]) for x in (self.ids, self.marks, self.points))
+            pending.clear()
+            scores = points @ vector
+            near = np.flatnonzero((scores >= least.min()) & (scores <= high.max()) & ((marks == mark) == same) & (ids != anchor))
+            ids, scores = ids[near], scores[near]
+            for w in range(len(windows)):
+                good = (scores >= least[w]) & (scores <= high[w])
+                if good.any():
+                    both = np.concatenate([found[w][0], ids[good]]), np.concatenate([found[w][1], scores[good]])
+                    best = top_rows(both[1], both[0], k)
+                    found[w] = both[0][best], both[1][best]
+                    if len(best) == k:
+                        least[w] = max(least[w], found[w][1][-1])
+
+        taken = 0
         while heap:
             upper, lower, node = heapq.heappop(heap)
-            wants = (least <= -upper) & (high >= lower)
             if -upper < least.min():
                 break
-            if not wants.any():
+            if not ((least <= -upper) & (high >= lower)).any():
                 continue
             first, last = self.children[node]
             if last > first:
@@ -108,18 +129,13 @@ class CoverTree:
                     heapq.heappush(heap, (-highs[at], lows[at], first + at))
                 continue
             begin, end = self.runs[node]
-            scores = self.points[begin:end] @ vector
-            fits = (self.marks[begin:end] == mark) if same else (self.marks[begin:end] != mark)
-            fits &= self.ids[begin:end] != anchor
-            for w in np.flatnonzero(wants).tolist():
-                good = fits & (scores >= least[w]) & (scores <= high[w])
-                if good.any():
-                    ids = np.concatenate([found[w][0], self.ids[begin:end][good]])
-                    own = np.concatenate([found[w][1], scores[good]])
-                    best = top_rows(own, ids, k)
-                    found[w] = ids[best], own[best]
-                    if len(best) == k:
-                        least[w] = max(least[w], found[w][1][-1])
+            pending.append(slice(begin, end))
+            taken += end - begin
+            if taken >= VERIFY:
+                verify()
+                taken = 0
+        if pending:
+            verify()
         for window, (ids, scores) in zip(windows, found):
             yield from ((window[0], window[1], i, s) for i, s in zip(ids.tolist(), scores.tolist()))
 
