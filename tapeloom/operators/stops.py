@@ -1,10 +1,10 @@
 """Portfolio returns with take-profit, stop-loss, trailing stop and cooldown.
 
 Whether a name is stopped depends only on its own bars and on the signal date
-of the day, so names are independent: they are grouped by entity, walked in
-date order by a small state machine, and added up by date afterwards. A group
-has at most one row per trading day. A parameter grid is walked inside the
-group, so the data is shuffled once however many settings are tried.
+of the day, so names are independent: the days of many names are walked in
+date order together, under every setting of a grid (``stop_fold``), and added
+up by date afterwards. :func:`advance` moves one name by one day; streams, whose
+state is kept between batches, use it.
 """
 
 from __future__ import annotations
@@ -13,18 +13,13 @@ import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.config import Costs, Stops
 from tapeloom.operators.evaluation import performance
 from tapeloom.operators.simulate import daily_nav, market_days, transitions
-
-EVENTS = (
-    "param_id string, entity string, date date, kind string, path string, weight double, ret double, "
-    "contribution double, entry_price double, exec_price double"
-)
+from tapeloom.operators.stop_fold import fold
 
 
 @dataclass
@@ -170,33 +165,12 @@ def advance(held: Holding, bar: Bar, stops: Stops, costs: Costs) -> list[tuple]:
     return events
 
 
-def walk(settings: Sequence[tuple[str, Stops]], costs: Costs) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The grouped function: all settings over one entity's days."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
-        columns = ("day", "ord", "signal", "weight", "open", "high", "low", "close", "prev_close")
-        bars = [Bar(*row) for row in zip(*(group[c].tolist() for c in columns))]
-        entity, dates = group["entity"].iloc[0], group["date"].tolist()
-        out = []
-        for name, stops in settings:
-            held = Holding()
-            for bar, date in zip(bars, dates):
-                for kind, path, weight, ret, entry, price in advance(held, bar, stops, costs):
-                    ret = ret if ret is None or math.isfinite(ret) else None
-                    part = None if ret is None else weight * ret
-                    out.append((name, entity, date, kind, path, weight, ret, part, entry, price))
-        names = [f.split()[0] for f in EVENTS.split(", ")]
-        return pd.DataFrame(out, columns=names).astype({n: "float64" for n in names[5:]})
-
-    return run
-
-
 def stop_days(positions: DataFrame, bars: DataFrame) -> DataFrame:
     """Transitions with the signal date of each day, ready to be walked."""
     signals = positions.groupBy("date").agg(F.min("signal_date").alias("signal_date"))
     moves = transitions(positions, bars).join(F.broadcast(signals), "date", "left")
-    prices = [F.coalesce(F.col(c), F.lit(float("nan"))).alias(c) for c in ("open", "high", "low", "close", "prev_close")]
+    known = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c)
+    prices = [known(c) for c in ("open", "high", "low", "close", "prev_close")]
     return moves.select(
         "entity", "date", F.unix_date("date").alias("day"), "ord",
         F.coalesce(F.unix_date("signal_date"), F.lit(-1)).alias("signal"), "weight", *prices,
@@ -205,7 +179,7 @@ def stop_days(positions: DataFrame, bars: DataFrame) -> DataFrame:
 
 def simulate(positions: DataFrame, bars: DataFrame, settings: Iterable[tuple[str, Stops]], costs: Costs = Costs()) -> DataFrame:
     """Return and trade events of every name under each named stop setting."""
-    return stop_days(positions, bars).groupBy("entity").applyInPandas(walk(list(settings), costs), EVENTS)
+    return fold(stop_days(positions, bars), settings, costs)
 
 
 def returns_of(events: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tapeloom.config import Costs, Stops
-from tapeloom.operators.stops import EVENTS, Bar, Holding, advance
+from tapeloom.operators.stop_fold import EVENTS
+from tapeloom.operators.stops import Bar, Holding, advance
 from tapeloom.session import cut_lineage
 from tapeloom.sources.upsert import upsert
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tapeloom.config import Costs, Stops
 from tapeloom.operators import evaluation as E
 from tapeloom.operators import simulate as M
 from tapeloom.operators import stops as X
+from tapeloom.operators.stop_fold import fold
 
 FREE = Costs(0, 0, 0)
 START = dt.date(2024, 1, 1)
@@ -93,6 +95,56 @@ def test_missing_price_on_a_held_day_is_skipped():
     assert kinds(out) == [(0, "BUY")]
 
 
+def wild_days(seed, names=6, days=150):
+    """Days with gaps, missing prices, changing targets and signals, long enough for several chunks of the fold."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for name in range(names):
+        price = 100.0
+        for i in range(days):
+            prev, price = price, price * (1 + rng.normal(0, 0.04))
+            if rng.random() < 0.08:  # a day without the name
+                continue
+            low, high = price * (1 - abs(rng.normal(0, 0.03))), price * (1 + abs(rng.normal(0, 0.03)))
+            prices = [rng.uniform(low, high), high, low, price, prev]
+            prices = [None if rng.random() < 0.03 else p for p in prices]
+            target = float(rng.choice([0.0, 0.25, 0.5, -0.25], p=[0.2, 0.45, 0.25, 0.1]))
+            rows.append((f"e{name}", START + dt.timedelta(i), i + i // 5 * 2, i, i // 5, target, *prices))
+    return rows
+
+
+def test_fold_equals_the_days_walked_one_by_one(spark):
+    both = ("fixed_tp_sl", "trailing_sl")
+    settings = [
+        ("off", Stops(rules=())),
+        ("fixed", Stops(take_profit=0.06, stop_loss=0.05, cooldown_days=2)),
+        ("blocked", Stops(take_profit=0.03, stop_loss=0.03, cooldown_days=1, block_reentry_returns=True)),
+        ("trail", Stops(rules=("trailing_sl",), trail_start=0.04, trail_drawdown=0.03, cooldown_days=0)),
+        ("chain", Stops(rules=both, take_profit=0.1, stop_loss=0.06, trail_start=0.02, trail_drawdown=0.04)),
+        ("turned", Stops(rules=both[::-1] + ("unknown",), take_profit=0.05, stop_loss=0.06, trail_start=0.02, trail_drawdown=0.04)),
+    ]
+    rows = wild_days(5)
+    frame = spark.createDataFrame(rows, "entity string, date date, day int, ord int, signal int, weight double, "
+                                  "open double, high double, low double, close double, prev_close double")
+    want = []
+    for name, stops in settings:
+        held = {}
+        for entity, date, day, number, signal, weight, *prices in rows:
+            today = X.Bar(day, number, signal, weight, *(float("nan") if p is None else p for p in prices))
+            for kind, path, w, ret, entry, price in X.advance(held.setdefault(entity, X.Holding()), today, stops, Costs()):
+                ret = None if ret is None or ret != ret else ret
+                price = None if price is None or price != price else price
+                want.append((name, entity, date, kind, path, w, ret, None if ret is None else w * ret, entry, price))
+    got = [tuple(r) for r in fold(frame, settings, Costs()).collect()]
+    order = lambda r: tuple(map(str, r[:5]))
+    got, want = sorted(got, key=order), sorted(want, key=order)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    numbers = lambda rows: np.array([r[5:] for r in rows], dtype=float)
+    np.testing.assert_allclose(numbers(got), numbers(want), rtol=1e-12)
+    assert {"SL", "TP", "TRAIL_SL", "BUY", "SELL"} <= {r[3] for r in got}
+    assert fold(frame.limit(0), settings, Costs()).count() == 0
+
+
 @pytest.fixture(scope="module")
 def book(spark):
     days = [START + dt.timedelta(days=i) for i in range(6)]
