@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,33 +16,36 @@ DIGITS = 3
 TOLERANCE = 0.0005
 
 
+# Levels of the tree that rows descend from the table stored last, before they are stored again with their nodes.
+LEVELS = 4
+
+
 @dataclass
 class Node:
-    """``leaves`` shards starting with ``shard``; ``path`` holds the splits above: column, threshold, side."""
+    """``leaves`` shards starting with ``shard``; rows carry the ``number`` of the node they lie in."""
 
+    number: int
     leaves: int
     shard: int
     weight: int
-    path: tuple[tuple[str, str, bool], ...] = ()
 
 
-def _inside(node: Node) -> Column:
-    test = F.lit(True)
-    for column, threshold, right in node.path:
-        test = test & ((F.col(column) >= threshold) if right else (F.col(column) < threshold))
-    return test
+def _table(rows: DataFrame, lines: list[dict], schema: str) -> DataFrame:
+    """A small table, one line a node, to be broadcast: nodes of a level are at most as many as shards."""
+    text = F.lit(json.dumps(lines))
+    return F.broadcast(rows.sparkSession.range(1).select(F.inline(F.from_json(text, f"array<struct<{schema}>>"))))
 
 
-def _case(nodes: list[Node], value) -> Column:
-    """``value(i, node)`` of the node that a row lies in, null outside all."""
-    out = F.lit(None)
-    for i, node in enumerate(nodes):
-        out = F.when(_inside(node), value(i, node)).otherwise(out)
-    return out
+def _descend(rows: DataFrame, splits: list[dict]) -> DataFrame:
+    """Rows of split nodes move to a child, others stay."""
+    table = _table(rows, splits, "node:int,column:int,threshold:string,left:int,right:int")
+    child = F.when(F.element_at("keys", F.col("column")) >= F.col("threshold"), F.col("right")).otherwise(F.col("left"))
+    here = rows.join(table, "node", "left")
+    return here.select(F.coalesce(child, F.col("node")).alias("node"), *[c for c in rows.columns if c != "node"])
 
 
-def split_points(rows: DataFrame, nodes: list[Node], columns: list[str], tolerance: float) -> list[tuple[str, int]]:
-    """For each node the threshold on its column, and the weight left of it.
+def split_points(rows: DataFrame, nodes: list[Node], columns: list[int], tolerance: float) -> list[tuple[str, int]]:
+    """For each node the threshold on its column (a place in ``keys``, from 1), and the weight left of it.
 
     The wanted weight is bracketed digit by digit: each pass sums the weights of the next ``DIGITS`` digits of the
     order key for all nodes at once (at most 4096 sums a node, taken map-side) and keeps, per node, only the bin that
@@ -51,20 +55,19 @@ def split_points(rows: DataFrame, nodes: list[Node], columns: list[str], toleran
     prefix, below, answer = [""] * len(nodes), [0] * len(nodes), [None] * len(nodes)
     while any(a is None for a in answer):
         open_ = [i for i, a in enumerate(answer) if a is None]
-        test, digit = F.lit(None), F.lit(None)
-        for i in open_:
-            here = _inside(nodes[i]) & F.col(columns[i]).startswith(prefix[i])
-            test = F.when(here, F.lit(i)).otherwise(test)
-            digit = F.when(here, F.substring(F.col(columns[i]), len(prefix[i]) + 1, DIGITS)).otherwise(digit)
-        bins = rows.select(test.alias("node"), digit.alias("bin"), "weight").where("node IS NOT NULL").groupBy("node", "bin").agg(
+        wanted = _table(rows, [
+            {"node": nodes[i].number, "column": columns[i], "prefix": prefix[i], "aim": float(aims[i] - below[i])} for i in open_
+        ], "node:int,column:int,prefix:string,aim:double")
+        key = F.element_at("keys", F.col("column"))
+        digit = F.substring(key, F.length("prefix") + 1, F.lit(DIGITS))
+        bins = rows.join(wanted, "node").where(F.startswith(key, F.col("prefix"))).groupBy("node", "aim", digit.alias("bin")).agg(
             F.sum("weight").alias("w"))
         run = F.sum("w").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-        aim = F.element_at(F.array(*[F.lit(float(aims[i] - below[i])) for i in range(len(nodes))]), F.col("node") + 1)
         placed = bins.withColumn("run", run)
-        over = placed.where(F.col("run") >= aim).groupBy("node").agg(F.min(F.struct("bin", "run", "w")).alias("s"))
+        over = placed.where(F.col("run") >= F.col("aim")).groupBy("node").agg(F.min(F.struct("bin", "run", "w")).alias("s"))
         found = {r["node"]: r["s"] for r in over.collect()}
         for i in open_:
-            s = found.get(i)
+            s = found.get(nodes[i].number)
             if s is None:
                 answer[i] = ("", 0)
                 continue
@@ -96,44 +99,51 @@ def kd_shards(docs: DataFrame, key: Column, weight: Column, dimensions: dict[str
     there are ``leaves`` shards. Dimensions that depend on the text alone keep equal texts (``group``) together, except
     for a group that is heavier than the tolerance and lies on a border: that is split by key. Each level takes one
     aggregation for the widths and a few for the medians, over a stored narrow table; only sums per node reach the
-    driver, never rows. Shards are numbered in tree order, ``slot`` counts the rows of a shard from 0.
+    driver, never rows. Splits go back as small broadcast tables, so the plan grows with the depth (and is cut every
+    ``LEVELS`` levels), not with the number of shards. Shards are numbered in tree order, ``slot`` counts the rows of a shard from 0.
 
     Null keys and repeated rows are rows like others; an empty table gives an empty result.
     """
     parts = {name: F.coalesce(c.cast("long"), F.lit(0)) for name, c in dimensions.items()}
     tail = F.concat(F.lpad(F.hex(F.xxhash64(group)), 16, "0"), F.lpad(F.hex(F.coalesce(key.cast("long"), F.lit(0))), 16, "0"))
     extra = keep or {}
+    names = list(parts)
     table = docs.select(key.alias("key"), weight.cast("long").alias("weight"),
-                        *[F.concat(F.lpad(F.hex(c), 16, "0"), tail).alias(f"_k_{n}") for n, c in parts.items()],
+                        F.array(*[F.concat(F.lpad(F.hex(c), 16, "0"), tail) for c in parts.values()]).alias("keys"),
                         *[c.alias(f"_d_{n}") for n, c in parts.items()],
                         *[c.alias(n) for n, c in extra.items()])
-    rows = stored(table, "kd-rows")
-    spans = [f(f"_d_{n}").alias(f"{tag}_{n}") for n in parts for tag, f in (("low", F.min), ("high", F.max))]
+    rows = stored(table.withColumn("node", F.lit(0)), "kd-rows")
+    spans = [f(f"_d_{n}").alias(f"{tag}_{n}") for n in names for tag, f in (("low", F.min), ("high", F.max))]
     total = rows.agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"), *spans).first()
     if leaves is None:
         leaves = max(1, -(-(total["w"] or 0) // leaf_bytes))
-    nodes, done = [Node(leaves, 0, total["w"] or 0)], []
+    nodes, done, made, level = [Node(0, leaves, 0, total["w"] or 0)], [], 1, 0
     while nodes:
         done += [n for n in nodes if n.leaves == 1 or n.weight == 0]
         nodes = [n for n in nodes if n.leaves > 1 and n.weight > 0]
         if not nodes:
             break
-        at = _case(nodes, lambda i, n: F.lit(i))
-        widths = {r["node"]: r for r in rows.groupBy(at.alias("node")).agg(*spans).where("node IS NOT NULL").collect()}
-
-        def width(i: int, name: str) -> float:
-            r, whole = widths[i], max(1, total[f"high_{name}"] - total[f"low_{name}"])
+        if level and level % LEVELS == 0:
+            rows = stored(rows, "kd-rows")
+        level += 1
+        listed = _table(rows, [{"node": n.number} for n in nodes], "node:int")
+        widths = {r["node"]: r for r in rows.join(listed, "node", "left_semi").groupBy("node").agg(*spans).collect()}
+
+        def width(n: Node, name: str) -> float:
+            r, whole = widths[n.number], max(1, total[f"high_{name}"] - total[f"low_{name}"])
             return (r[f"high_{name}"] - r[f"low_{name}"]) / whole
 
-        columns = [f"_k_{max(parts, key=lambda name: width(i, name))}" for i in range(len(nodes))]
-        below = []
+        columns = [1 + max(range(len(names)), key=lambda j: width(n, names[j])) for n in nodes]
+        below, splits = [], []
         for node, column, (threshold, left) in zip(nodes, columns, split_points(rows, nodes, columns, tolerance)):
             half = node.leaves // 2
-            below.append(Node(half, node.shard, left, (*node.path, (column, threshold, False))))
-            below.append(Node(node.leaves - half, node.shard + half, node.weight - left, (*node.path, (column, threshold, True))))
-        nodes = below
-    shard = _case(done, lambda i, n: F.lit(n.shard)).cast("int")
-    dealt = rows.select("key", "weight", *extra, shard.alias("shard"))
+            below.append(Node(made, half, node.shard, left))
+            below.append(Node(made + 1, node.leaves - half, node.shard + half, node.weight - left))
+            splits.append({"node": node.number, "column": column, "threshold": threshold, "left": made, "right": made + 1})
+            made += 2
+        rows, nodes = _descend(rows, splits), below
+    shards = _table(rows, [{"node": n.number, "shard": n.shard} for n in done], "node:int,shard:int")
+    dealt = rows.join(shards, "node").select("key", "weight", *extra, "shard")
     return numbered(dealt, ["shard"], ["key", "weight", *extra], total["n"])
 
 
