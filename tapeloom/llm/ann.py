@@ -1,8 +1,8 @@
-"""Approximate nearest neighbours: balanced posting lists with replicated borders, found through a centroid graph."""
+"""Nearest neighbours: balanced posting lists with replicated borders, found through a centroid graph; the lists left out are checked by bounds."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import stored
-from tapeloom.llm.vectors import HIT, best_hits, is_query, matrix, top_rows, usable
+from tapeloom.llm.vectors import HIT, best_hits, is_query, matrix, usable
 
 # Wanted and largest rows of a posting list; lists never exceed MOST_LISTS centroids, longer ones are split by hash.
 LIST_ROWS, LIST_MOST, MOST_LISTS = 512, 1024, 4096
@@ -21,6 +21,8 @@ FIT_ROWS, TRIALS = 16_384, 256
 BORDER, COPIES, LINKS = 1.03, 3, 16
 # Recall aimed at when the ratio is chosen; queries of a block and lists of a group that one task holds.
 RECALL, BLOCK, GROUP = 0.96, 2048, 16
+# Queries of a block when the lists left out are checked: only hits above a known score come back, so blocks may be larger.
+CHECK_BLOCK = 8192
 SEED = 5
 
 
@@ -134,7 +136,7 @@ def member_lists(index: Centroids, lifted: np.ndarray) -> list[np.ndarray]:
 
 def approximate_top_k(vectors: DataFrame, every: int, k: int, key: str = "vec_id", vector: str = "embedding",
                       list_rows: int = LIST_ROWS) -> DataFrame:
-    """``query_id, rank, vec_id, score``: about the ``k`` largest inner products of each query with other rows.
+    """``query_id, rank, vec_id, score``: the ``k`` largest inner products of each query with other rows.
 
     Queries are the rows whose id is divisible by ``every``. Every row is indexed in the posting list of its nearest
     centroid and, near a border, in up to ``COPIES`` lists. Lists over ``LIST_MOST`` rows (a frequent vector) are split by
@@ -142,6 +144,10 @@ def approximate_top_k(vectors: DataFrame, every: int, k: int, key: str = "vec_id
     fitted ratio of its least distance. Queries go in blocks and lists in groups; a task holds one block and one group
     and returns ``k`` hits a query, scored in double precision on the original vectors.
 
+    The ratio holds for vectors like the sample's; queries that lie elsewhere, or in small clusters, would miss
+    neighbours. So a check follows: of the lists not taken, those that may hold a product above the query's ``k``-th
+    score so far, by their radius around the centroid or by their largest norm, are searched too.
+
     Only the centroids and the ratio come from a sample, of ``FIT_ROWS`` expected rows. Which rows take part: see
     :func:`vectors.usable`; zero vectors do not. A query without other rows has no result; an empty table gives an
     empty result.
@@ -184,22 +190,66 @@ def approximate_top_k(vectors: DataFrame, every: int, k: int, key: str = "vec_id
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
+        points = np.frombuffer(b"".join(group["v"]), np.float64).reshape(len(group), -1)
+        centre = shared.value.points[group["list"].iloc[0], :-1]
         return pd.DataFrame({"list": [group["list"].iloc[0]], "part": [group["part"].iloc[0]],
-                             "ids": [group["id"].to_numpy(np.int64).tobytes()], "points": [b"".join(group["v"])]})
+                             "ids": [group["id"].to_numpy(np.int64).tobytes()], "points": [points.tobytes()],
+                             "radius": [float(np.linalg.norm(points - centre, axis=1).max())], "norm": [float(np.linalg.norm(points, axis=1).max())]})
 
     packed = stored(spread.select("list", "part", "id", "v").groupBy("list", "part").applyInPandas(
-        pack, "list long, part long, ids binary, points binary"), "lists")
-    n_groups = max(1, -(-packed.count() // GROUP))
-    n_blocks = max(1, -(-n // every // BLOCK))
-    group_of = F.pmod(F.xxhash64("list", "part"), F.lit(n_groups)).alias("group")
-    groups = stored(packed.select("list", group_of).distinct(), "list-groups")
+        pack, "list long, part long, ids binary, points binary, radius double, norm double"), "lists")
+    # One row per list, MOST_LISTS at most.
+    spans = packed.groupBy("list").agg(F.max("radius").alias("radius"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("parts")).toPandas()
+    limits = spark.sparkContext.broadcast(tuple(spans[c].to_numpy() for c in ("list", "radius", "norm", "parts")))
+    n_groups = max(1, -(-int(spans["parts"].sum()) // GROUP))
+    group_of = F.pmod(F.col("list") + F.col("part"), F.lit(n_groups)).alias("group")
     asked = stored(rows.where(is_query(every)).mapInPandas(select, "id long, v binary, lists array<long>"), "asked")
-    block_of = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).alias("block")
-    per_list = groups.groupBy("list").agg(F.collect_set("group").alias("in_groups"))
-    wanted = asked.select("id", block_of, F.explode("lists").alias("list")).join(F.broadcast(per_list), "list").select(
-        "id", "block", F.explode("in_groups").alias("group"), "list").groupBy("id", "block", "group").agg(F.collect_set("list").alias("lists"))
-    left = wanted.join(asked.select("id", "v"), "id").select("block", "group", "id", "v", "lists")
-    right = packed.select("*", group_of).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    n_queries = asked.count()
+
+    def searched(wanted: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], queries: DataFrame, block: int) -> DataFrame:
+        """Hits of queries in the lists that ``wanted`` names, a block of queries and a group of lists at a time."""
+        n_blocks = max(1, -(-n_queries // block))
+        left = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks))).mapInPandas(
+            wanted, "block long, group long, id long, v binary, least double, lists array<long>")
+        right = packed.select("list", "ids", "points", group_of).withColumn(
+            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+        return left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(search, HIT)
+
+    def routed(batch: pd.DataFrame, query: np.ndarray, lists: np.ndarray, parts: np.ndarray) -> pd.DataFrame:
+        """One row per query and group of lists: pairs of a query's place in the batch and a list become rows."""
+        at = np.repeat(np.arange(len(query)), parts)
+        part = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+        pairs = pd.DataFrame({"query": query[at], "group": (lists[at] + part) % n_groups, "list": lists[at]}).drop_duplicates()
+        out = pairs.groupby(["query", "group"])["list"].agg(list).reset_index()
+        return batch[["block", "id", "v", "least"]].iloc[out["query"].to_numpy()].reset_index(drop=True).assign(group=out["group"], lists=out["list"])[
+            ["block", "group", "id", "v", "least", "lists"]]
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, _, _, parts = limits.value
+        count = dict(zip(known.tolist(), parts.tolist()))
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                part = batch.iloc[i: i + 512]
+                lists = np.concatenate(part["lists"].to_list()).astype(np.int64)
+                query = np.repeat(np.arange(len(part)), [len(x) for x in part["lists"]])
+                sizes = np.array([count.get(x, 0) for x in lists.tolist()], np.int64)
+                yield routed(part.assign(least=-np.inf), query, lists, sizes)
+
+    def left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, radius, norm, parts = limits.value
+        centres = shared.value.points[known, :-1]
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                part = batch.iloc[i: i + 512]
+                points = np.stack([np.frombuffer(b, np.float64) for b in part["v"]])
+                size = np.linalg.norm(points, axis=1)[:, None]
+                bound = np.minimum(points @ centres.T + size * radius, size * norm) + 1e-9 * size * norm.max()
+                may = bound >= part["least"].to_numpy()[:, None]
+                for j, lists in enumerate(part["lists"]):
+                    may[j] &= ~np.isin(known, lists)
+                query, at = np.nonzero(may)
+                if len(query):
+                    yield routed(part, query, known[at], parts[at])
 
     def search(queries: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -207,32 +257,47 @@ def approximate_top_k(vectors: DataFrame, every: int, k: int, key: str = "vec_id
             return empty
         own = queries["id"].to_numpy(np.int64)
         asked_ = np.stack([np.frombuffer(b, np.float64) for b in queries["v"]])
-        takes = [set(x) for x in queries["lists"]]
-        found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in own]
+        size = np.linalg.norm(asked_, axis=1)
+        least = queries["least"].to_numpy(float).copy()
+        takes: dict[int, list[int]] = {}
+        for i, some in enumerate(queries["lists"]):
+            for x in some:
+                takes.setdefault(int(x), []).append(i)
+        found = []
         for row in lists.itertuples():
-            who = np.array([i for i, t in enumerate(takes) if row.list in t])
-            if not len(who):
+            if row.list not in takes:
                 continue
             ids = np.frombuffer(row.ids, np.int64)
             points = np.frombuffer(row.points, np.float64).reshape(len(ids), -1)
-            scores = asked_[who] @ points.T
-            scores[own[who][:, None] == ids[None, :]] = -np.inf
-            for s, i in zip(scores, who):
-                best = top_rows(s, ids, k + 8)
-                best = best[s[best] > -np.inf]
-                found[i].append((ids[best], s[best], points[best]))
-        out = []
-        for i, parts_ in enumerate(found):
-            if not parts_:
-                continue
-            ids, s, points = (np.concatenate(x) for x in zip(*parts_))
-            ids, at = np.unique(ids, return_index=True)
-            best = top_rows(s[at], ids, k + 8)
-            # One fixed order of summation, so that equal vectors score equal.
-            exact = np.cumsum(points[at][best] * asked_[i], axis=1)[:, -1] if len(best) else np.zeros(0)
-            top = top_rows(exact, ids[best], k)
-            out.append(pd.DataFrame({"query_id": np.full(len(top), own[i]), "vec_id": ids[best][top], "score": exact[top]}))
-        return pd.concat(out) if out else empty
-
-    hits = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(search, HIT)
-    return best_hits(hits, k)
+            # What a sum may differ by when its terms are added in another order.
+            slack = points.shape[1] * 4e-16 * float(np.linalg.norm(points, axis=1).max())
+            for j in range(0, len(takes[row.list]), 2048):
+                who = np.array(takes[row.list][j: j + 2048])
+                scores = asked_[who] @ points.T
+                scores[own[who][:, None] == ids[None, :]] = -np.inf
+                hit = (scores >= (least[who] - slack * size[who])[:, None]) & (scores > -np.inf)
+                many = np.flatnonzero(hit.sum(axis=1) > k)
+                if len(many):
+                    kth = np.partition(scores[many], len(ids) - k, axis=1)[:, len(ids) - k] - slack * size[who[many]]
+                    least[who[many]] = np.maximum(least[who[many]], kth)
+                    hit[many] = (scores[many] >= kth[:, None]) & (scores[many] > -np.inf)
+                q, at = np.nonzero(hit)
+                for i in range(0, len(q), 65_536):
+                    a, b = who[q[i: i + 65_536]], at[i: i + 65_536]
+                    # One fixed order of summation, so that equal vectors score equal.
+                    found.append((a, ids[b], np.cumsum(points[b] * asked_[a], axis=1)[:, -1]))
+        if not found:
+            return empty
+        q, ids, exact = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((ids, -exact, q))
+        q, ids, exact = q[order], ids[order], exact[order]
+        fresh = np.r_[True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])]
+        q, ids, exact = q[fresh], ids[fresh], exact[fresh]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return pd.DataFrame({"query_id": own[q[keep]], "vec_id": ids[keep], "score": exact[keep]})
+
+    near = stored(best_hits(searched(taken, asked, BLOCK), k), "near")
+    # A query with fewer than k hits so far has no score to beat.
+    kth = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    open_ = asked.join(kth, "id", "left").select("id", "v", "lists", F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
+    return best_hits(near.select("query_id", "vec_id", "score").unionByName(searched(left_out, open_, CHECK_BLOCK)), k)

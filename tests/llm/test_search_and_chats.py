@@ -63,6 +63,22 @@ def test_posting_lists_recall(vectors):
     assert ann.approximate_top_k(vectors.limit(0), 20, 20).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["queries elsewhere", "one long vector", "small clusters"])
+def test_posting_lists_on_other_rows(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(250, 8))[rng.integers(0, 250, 2000)] + 0.1 * rng.normal(size=(2000, 8))
+    if kind == "queries elsewhere":
+        x[::20] = rng.normal(size=(100, 8))
+    if kind == "one long vector":
+        x[17] *= 1000
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    want = truth(rows, 20, 20)
+    found = {}
+    for r in sorted(ann.approximate_top_k(rows, 20, 20, list_rows=16).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found == {q: [i for i, _ in best] for q, best in want.items()}
+
+
 @pytest.fixture(scope="module")
 def talks(spark):
     rng = random.Random(1)
