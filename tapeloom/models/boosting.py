@@ -27,6 +27,8 @@ HISTORY = "window_id long, round long, valid_loss double, is_best boolean"
 TRAIN, VALID = 1, 2
 # Rows of a block, rounds between two writings of the predictions, and histograms that a task holds before it hands them on.
 BLOCK, SNAPSHOT, HELD = 4096, 20, 64
+# Rows up to which a window is one group and grows its trees in one task; larger ones meet as sums, one job per level.
+WHOLE = 16_384
 
 
 @dataclass(frozen=True)
@@ -166,6 +168,51 @@ class Span:
         return np.where((weeks < self.first) | (weeks > self.last), 0, np.where(weeks >= self.valid, VALID, TRAIN))
 
 
+def histogram(x: np.ndarray, g: np.ndarray, bins: int) -> np.ndarray:
+    """``(gradient sums, rows)`` per feature and bin, flat, of binned rows."""
+    width = x.shape[1]
+    at = (x + np.arange(width) * bins).ravel()
+    return np.stack([np.bincount(at, np.repeat(g, width), width * bins), np.bincount(at, minlength=width * bins)], axis=1).ravel()
+
+
+def ended(losses: Sequence[float], round_: int, cfg: Boosting) -> bool:
+    return round_ >= cfg.rounds or round_ - int(np.argmin(losses)) >= cfg.patience
+
+
+def grow_window(bins: np.ndarray, y: np.ndarray, keys: np.ndarray, roles: np.ndarray, base: float, window: int, cfg: Boosting) -> tuple[list[float], list[Tree]]:
+    """Held-out losses and trees of one window whose rows are at hand; the same trees as from sums."""
+    score, losses, trees = np.full(len(y), base), [], []
+    while True:
+        off = (score - y)[roles == VALID]
+        losses.append(float(off @ off) / len(off) if len(off) else 0.0)
+        round_ = len(trees)
+        if ended(losses, round_, cfg):
+            return losses, trees
+        features = sampled_features(bins.shape[1], cfg, window, round_)
+        use = np.flatnonzero((roles == TRAIN) & sampled_rows(keys, cfg, window, round_))
+        x, g = bins[np.ix_(use, features)].astype(np.int64), (score - y)[use]
+        growth, rows, wanted = Growth(), {0: np.arange(len(use))}, [0]
+        sums = {0: histogram(x, g, cfg.bins)}
+        while wanted:
+            for node in wanted:
+                growth.known[node] = best_split(sums[node].reshape(-1, cfg.bins, 2), features, cfg)
+            _, _, unknown = growth.replay(cfg.leaves)
+            wanted = []
+            for node in unknown:
+                left, right = growth.children[node] = (growth.count, growth.count + 1)
+                growth.count += 2
+                mine = rows.pop(node)
+                low = bins[use[mine], growth.known[node][1]] <= growth.known[node][2]
+                rows[left], rows[right] = mine[low], mine[~low]
+                # The smaller child is added up, its sibling is what remains of the parent.
+                few, more = sorted((left, right), key=lambda c: len(rows[c]))
+                sums[few] = histogram(x[rows[few]], g[rows[few]], cfg.bins)
+                sums[more] = sums.pop(node) - sums[few]
+                wanted += [left, right]
+        trees.append(growth.finished(cfg))
+        score = score + trees[-1].predict(bins)
+
+
 class _Block:
     """Rows of one block: bins, labels, keys, weeks and predictions per window."""
 
@@ -186,7 +233,8 @@ BLOCKS = "bins binary, y binary, row_keys binary, weeks binary, scores binary"
 def fit_boosting(samples: DataFrame, plan: DataFrame, cfg: Boosting = Boosting(), label: str = "next_week_return") -> tuple[DataFrame, DataFrame, list[np.ndarray]]:
     """``(MODEL, HISTORY, cut points)``: the trees of every window, the held-out loss after every round, the bins.
 
-    All windows grow in the same jobs, one job per level of their trees. The last ``held_out_weeks`` training weeks are
+    A window within ``WHOLE`` rows is one group and grows in one task, all such windows in one job. Larger windows grow
+    together in the same jobs, one job per level of their trees, and never meet in a task. The last ``held_out_weeks`` training weeks are
     not trained on; a window stops after ``patience`` rounds without a lower squared loss on them, at the latest after
     ``rounds``. Round 0 is the mean label. Predictions are written every ``SNAPSHOT`` rounds; what was added since is
     recomputed from the trees, so a lost executor costs no more than that. Rows without a label are left out; windows
@@ -217,11 +265,36 @@ def fit_boosting(samples: DataFrame, plan: DataFrame, cfg: Boosting = Boosting()
                                     "weeks": [own["week_ord"].to_numpy(np.int64).tobytes()], "scores": [np.tile(base, (len(own), 1)).tobytes()]})
 
     keyed = rows.select("features", label, "week_ord", F.xxhash64("sample_date", "entity").alias("k"))
-    blocks = cut_lineage(keyed.mapInPandas(packed, BLOCKS)).persist(StorageLevel.MEMORY_AND_DISK)
     recent: list[list[Tree]] = [[] for _ in spans]
     trees: list[list[Tree]] = [[] for _ in spans]
     losses: list[list[float]] = [[] for _ in spans]
-    running = set(range(n_windows))
+    whole = [w for w, s in enumerate(spans) if sum(per_week[k][0] for k in range(s.first, s.last + 1) if k in per_week) <= WHOLE]
+    running = set(range(n_windows)) - set(whole)
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = binned(np.stack(batch["features"].to_numpy()), cuts)
+                yield pd.DataFrame({"week_ord": batch["week_ord"], "k": batch["k"], "y": batch[label].astype(float), "bins": [r.tobytes() for r in x]})
+
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["week_ord", "k"])
+        w = int(group["w"].iloc[0])
+        bins = np.frombuffer(b"".join(group["bins"]), np.uint8).reshape(len(group), width)
+        own, grown = grow_window(bins, group["y"].to_numpy(float), group["k"].to_numpy(np.int64).view(np.uint64),
+                                 spans[w].roles(group["week_ord"].to_numpy(np.int64)), base[w], spans[w].window, cfg)
+        return pd.DataFrame({"w": w, "round": np.arange(len(own)), "loss": own, "tree": [t.coded() for t in grown] + [None]})
+
+    if whole:
+        served = spark.createDataFrame([(w, k) for w in whole for k in range(spans[w].first, spans[w].last + 1)], "w long, week_ord long")
+        gathered = keyed.mapInPandas(coded, "week_ord long, k long, y double, bins binary").join(F.broadcast(served), "week_ord")
+        for r in sorted(gathered.repartition(len(whole), "w").groupBy("w").applyInPandas(grow, "w long, round long, loss double, tree string").collect(),
+                        key=lambda r: (r["w"], r["round"])):
+            losses[r["w"]].append(r["loss"])
+            if r["tree"] is not None:
+                trees[r["w"]].append(Tree.decoded(r["tree"]))
+    if running:
+        blocks = cut_lineage(keyed.mapInPandas(packed, BLOCKS)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def sums(growing: dict[int, Growth], wanted: dict[int, list[int]], features: dict[int, np.ndarray], round_: int, with_loss: bool) -> list:
         """Best splits ``(window, node, gain, ...)`` of the wanted nodes and, as node -1, the held-out losses."""
@@ -242,10 +315,7 @@ def fit_boosting(samples: DataFrame, plan: DataFrame, cfg: Boosting = Boosting()
                         at = placed[w].nodes(block.bins)
                         for node in nodes:
                             mine = np.flatnonzero(use & (at == node))
-                            x = block.bins[np.ix_(mine, features[w])].astype(np.int64) + np.arange(len(features[w])) * cfg.bins
-                            size = len(features[w]) * cfg.bins
-                            g = np.repeat(block.scores[mine, w] - block.y[mine], len(features[w]))
-                            hist = np.stack([np.bincount(x.ravel(), g, size), np.bincount(x.ravel(), minlength=size)], axis=1).ravel()
+                            hist = histogram(block.bins[np.ix_(mine, features[w])].astype(np.int64), block.scores[mine, w] - block.y[mine], cfg.bins)
                             total[w, node] = total.get((w, node), 0.0) + hist
                     if len(total) > HELD:
                         yield frame(total)
@@ -281,8 +351,7 @@ def fit_boosting(samples: DataFrame, plan: DataFrame, cfg: Boosting = Boosting()
             if first:
                 # The losses are those before this round's tree.
                 for w in sorted(running):
-                    best = int(np.argmin(losses[w]))
-                    if round_ >= cfg.rounds or round_ - best >= cfg.patience or 0 not in growing[w].known:
+                    if ended(losses[w], round_, cfg) or 0 not in growing[w].known:
                         running.discard(w)
                         del growing[w]
             first, wanted = False, {}
@@ -314,7 +383,8 @@ def fit_boosting(samples: DataFrame, plan: DataFrame, cfg: Boosting = Boosting()
             blocks = cut_lineage(blocks.mapInPandas(applied, BLOCKS)).persist(StorageLevel.MEMORY_AND_DISK)
             older.unpersist()
             recent = [[] for _ in spans]
-    blocks.unpersist()
+    if len(whole) < n_windows:
+        blocks.unpersist()
     best = [int(np.argmin(x)) for x in losses]
     model = [(s.window, 0, Tree({}, {0: b}).coded()) for s, b in zip(spans, base)]
     model += [(s.window, i + 1, t.coded()) for s, own, last in zip(spans, trees, best) for i, t in enumerate(own[:last])]

@@ -140,6 +140,26 @@ def test_boosting_equals_a_plain_booster(spark, samples, plan, rows, share, monk
         assert table[window]["val_score"] == group["val_score"].max() and table[window]["epoch_count"] == group["round"].max()
 
 
+def test_windows_grown_whole_equal_those_grown_from_sums(spark, samples, plan, monkeypatch):
+    cfg = B.Boosting(rounds=12, patience=4, held_out_weeks=4, step=0.4, leaves=5, min_rows=15, bins=8)
+    # Every job counts: small windows must not start one per level of every tree.
+    found = {}
+    for whole in (0, 16_384):
+        monkeypatch.setattr(B, "WHOLE", whole)
+        group = f"boosting-{whole}"
+        spark.sparkContext.setJobGroup(group, group)
+        model, history, _ = B.fit_boosting(samples, plan, cfg)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        trees = [(r["window_id"], r["round"], B.Tree.decoded(r["tree"])) for r in model.orderBy("window_id", "round").collect()]
+        found[whole] = trees, [tuple(r) for r in history.orderBy("window_id", "round").collect()], jobs
+    spark.sparkContext._jsc.clearJobGroup()
+    (a, old, many), (b, new, few) = found[0], found[16_384]
+    assert 2 * few < many and len(a) == len(b) > 6
+    for (w, i, t), (v, j, u) in zip(a, b):
+        assert (w, i, t.splits) == (v, j, u.splits) and np.allclose(list(t.values.values()), list(u.values.values()), atol=1e-9)
+    assert [(w, i, x) for w, i, _, x in old] == [(w, i, x) for w, i, _, x in new] and np.allclose([x[2] for x in old], [x[2] for x in new])
+
+
 def test_model_store_is_read_as_of_a_day(spark, samples, plan, tmp_path):
     path = str(tmp_path / "models")
     J.save_models(M.fit_ridges(samples, plan), plan, path)
