@@ -62,6 +62,8 @@ def forget() -> None:
 
 bars = stored("bars")(B.brand_bars)
 thin_bars = stored("thin_bars")(B.supplier_bars)
+# For queries that read the bars once: not stored, so only the columns they use are aggregated and shuffled.
+thin_rows = B.supplier_bars
 indices = stored("indices")(B.index_bars)
 calendar = stored("calendar")(B.calendar_days)
 

@@ -174,7 +174,7 @@ def rolling_query(name, columns, expressions, sql_columns, source="bars", digits
 
     @query(name, sql)
     def run(spark, root):
-        bars = (fx.thin_bars if source == "sbars" else fx.bars)(spark, root)
+        bars = (fx.thin_rows if source == "sbars" else fx.bars)(spark, root)
         out = bars.select("*", *[e.alias(c) for c, e in expressions().items()]).select("entity", "date", *columns)
         return report(out, digits, **special)
 
@@ -219,7 +219,7 @@ def kurtosis(spark, root):
 @query("d6_rolling_corr", S.with_base(final(
     f"SELECT entity, date, {S.corr('close', 'volume')} AS corr20 FROM sbars", "entity, date", "corr20", 6)))
 def corr(spark, root):
-    bars = fx.thin_bars(spark, root).select("entity", "date", R.rolling_corr("close", "volume", 20).alias("corr20"))
+    bars = fx.thin_rows(spark, root).select("entity", "date", R.rolling_corr("close", "volume", 20).alias("corr20"))
     return report(bars.withColumn("corr20", finite("corr20")), 6)
 
 
@@ -227,7 +227,7 @@ def corr(spark, root):
     f"SELECT entity, date, (close - {S.last('avg(close)', 60)}) / ({S.last('stddev_samp(close)', 60)} + 1e-12) AS z60 FROM sbars",
     "entity, date", "z60", 6)))
 def zscore(spark, root):
-    return report(fx.thin_bars(spark, root).select("entity", "date", R.rolling_zscore("close", 60).alias("z60")), 6)
+    return report(fx.thin_rows(spark, root).select("entity", "date", R.rolling_zscore("close", 60).alias("z60")), 6)
 
 
 @query("d8_pct_change_filled", S.with_base(final(f"""
@@ -235,7 +235,7 @@ SELECT entity, date, x / lag(x, 5) OVER ({S.O}) - 1 AS change5 FROM (
   SELECT entity, date, last_value(g IGNORE NULLS) OVER ({S.O}) AS x FROM (
     SELECT entity, date, CASE WHEN volume > 10 THEN close END AS g FROM sbars))""", "entity, date", "change5")))
 def pct_change(spark, root):
-    gappy = fx.thin_bars(spark, root).select("entity", "date", F.when(F.col("volume") > 10, F.col("close")).alias("g"))
+    gappy = fx.thin_rows(spark, root).select("entity", "date", F.when(F.col("volume") > 10, F.col("close")).alias("g"))
     filled = gappy.withColumn("x", R.forward_fill("g"))
     return report(filled.select("entity", "date", R.pct_change("x", 5).alias("change5")))
 
@@ -270,7 +270,7 @@ def rank_of_last(spark, root):
 SELECT entity, date, last_value(g IGNORE NULLS) OVER ({S.O}) AS filled FROM (
   SELECT entity, date, CASE WHEN volume > 20 THEN volume END AS g FROM sbars)"""))
 def forward_fill(spark, root):
-    gappy = fx.thin_bars(spark, root).withColumn("g", F.when(F.col("volume") > 20, F.col("volume")))
+    gappy = fx.thin_rows(spark, root).withColumn("g", F.when(F.col("volume") > 20, F.col("volume")))
     return gappy.select("entity", "date", R.forward_fill("g").alias("filled"))
 
 

@@ -104,3 +104,16 @@ def test_rank_of_last(spark):
     got = by_key(df.withColumn("r", R.rank_of_last("close", 20, 5)))["r"]
     want = pdf["close"].rolling(20, min_periods=5).apply(lambda x: pd.Series(x).rank(pct=True).iloc[-1])
     np.testing.assert_allclose(got, want.to_numpy())
+
+
+@pytest.mark.parametrize("name", ["d16_forward_fill", "d2_rolling_std", "d9_lag_diff", "d6_rolling_corr"])
+def test_windows_over_supplier_bars_shuffle_only_their_columns(spark, name):
+    from tapeloom.plans.catalogue import QUERIES
+
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    # Read from the order lines, not from a stored table of all columns.
+    assert all("lineitem" in f for f in out.inputFiles())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" in plan or name == "d16_forward_fill"
+    assert "total_turnover" not in plan and "num_trades" not in plan
+    assert out.count() > 0
