@@ -81,13 +81,13 @@ def rows_as_of(bars: DataFrame, day, columns: Sequence[str], master: DataFrame |
     """
     spark = bars.sparkSession
     past = bars.where(F.col("date") <= F.lit(day).cast("date"))
-    at = past.agg(F.max("date").alias("d")).first()["d"]
+    at, n = past.agg(F.max("date"), F.count(F.lit(1))).first()
     if at is None:
         raise ValueError(f"no market day at or before {day}")
     end = spark.range(1).select(F.col("id").alias("week_ord"), F.lit(at).alias("date"))
     seen = past.where(F.col("date") == F.lit(at)).select("date", "entity").distinct()
     universe = tradable(rule_columns(seen, past, master, suspended, st, rules))
-    packed = store.packed_windows(technical_factors(past), end, columns)
+    packed = store.packed_windows(technical_factors(store.by_entity(past, n)), end, columns)
     # One row per name; read several times below.
     inside = cut_lineage(packed.join(universe.select(F.col("date").alias("sample_date"), "entity"), store.KEYS, "left_semi"))
     features = store.summarised(store.clip_packed(inside, columns), columns)

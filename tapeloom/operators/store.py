@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.fixed_values import SCALE_EPS
@@ -20,32 +20,53 @@ from tapeloom.session import cut_lineage
 KEYS = ["sample_date", "entity"]
 # Entities of a date that one task clips, values of a cell that are ordered together, and bins a range of keys is cut into.
 PART, GATHER, BINS = 1024, 256, 64
+# Bars whose factors one task computes.
+DEALT = 4096
 STATISTICS = ("last", "mean", "std", "d1", "d5", "d10", "m5", "m10", "m20")
 
 
+def by_entity(bars: DataFrame, rows: int) -> DataFrame:
+    """Bars dealt by entity, about ``DEALT`` of the ``rows`` to a task.
+
+    All factors of a bar cost far more than its bytes, by which Spark merges partitions: 25 names of 1,785 days would meet
+    in one or two tasks. A task has costs of its own too, so there are not as many as shuffles have.
+    """
+    return bars.repartition(max(1, -(-rows // DEALT)), "entity")
+
+
 def packed_windows(panel: DataFrame, weeks: DataFrame, columns: Sequence[str], length: int = WINDOW) -> DataFrame:
     """``sample_date, entity`` and one array per column: the last ``length`` rows of each entity at each week end, oldest first.
 
-    A row closes the windows of all week ends from its own date up to the entity's next row. One shuffle by entity, the
-    one that the factors already took. Entities with fewer rows, and windows without a single value, have no sample.
+    A row closes the windows of all week ends from its own date up to the entity's next row; only windows that are closed
+    are cut out, one entity at a time. One shuffle by entity, the one that the factors already took. Entities with fewer
+    rows, and windows without a single value, have no sample.
     """
-    w = Window.partitionBy("entity").orderBy("date")
-    rows = panel.select("entity", "date", F.row_number().over(w).alias("_row"), F.lead("date").over(w).alias("_next"),
-                        F.collect_list(F.struct(*columns)).over(w.rowsBetween(1 - length, Window.currentRow)).alias("_w"))
     first_at = next_week_ord(panel.select("date").distinct(), weeks)
     last = weeks.agg(F.max("week_ord").alias("_last"))
-    spans = (
-        rows.where(F.col("_row") >= length)
-        .join(F.broadcast(first_at.toDF("date", "_from")), "date")
-        .join(F.broadcast(first_at.toDF("_next", "_until")), "_next", "left")
-        .join(F.broadcast(last), F.lit(True))
-        .withColumn("_to", F.coalesce(F.col("_until") - 1, F.col("_last")))
-        .where("_from <= _to")
-    )
-    alive = spans.where(F.exists("_w", lambda s: F.coalesce(*[s[c] for c in columns]).isNotNull()))
-    at_week = alive.withColumn("week_ord", F.explode(F.sequence("_from", "_to"))).join(
+    rows = panel.select("entity", "date", *columns).join(F.broadcast(first_at.toDF("date", "_from")), "date")
+    rows = rows.join(F.broadcast(last), F.lit(True)).where("_from <= _last")
+    kinds = {c: panel.schema[c].dataType.simpleString() for c in ("entity", *columns)}
+
+    def closed(group: pa.Table) -> pa.Table:
+        group = group.sort_by("date").combine_chunks()
+        opens = group.column("_from").to_numpy().astype(np.int64)
+        until = np.append(opens[1:], group.column("_last")[0].as_py() + 1) - 1
+        alive = np.zeros(len(opens) + 1, np.int64)
+        for c in columns:
+            alive[1:] |= group.column(c).is_valid().to_numpy()
+        alive = alive.cumsum()
+        ends = np.flatnonzero((opens <= until) & (np.arange(len(opens)) >= length - 1))
+        ends = ends[alive[ends + 1] > alive[ends + 1 - length]]
+        places = pa.array((ends[:, None] + np.arange(1 - length, 1)).ravel())
+        offsets = pa.array(np.arange(0, len(ends) * length + 1, length, dtype=np.int32))
+        cut = [pa.ListArray.from_arrays(offsets, group.column(c).take(places).combine_chunks()) for c in columns]
+        return pa.table([group.column("entity").take(pa.array(ends)), pa.array(opens[ends]), pa.array(until[ends]), *cut], ["entity", "_from", "_to", *columns])
+
+    arrays = ", ".join(f"`{c}` array<{kinds[c]}>" for c in columns)
+    spans = rows.groupBy("entity").applyInArrow(closed, f"entity {kinds['entity']}, _from long, _to long, {arrays}")
+    at_week = spans.withColumn("week_ord", F.explode(F.sequence("_from", "_to"))).join(
         F.broadcast(weeks.select("week_ord", F.col("date").alias("sample_date"))), "week_ord")
-    return at_week.select("sample_date", "entity", *[F.col(f"_w.{c}").alias(c) for c in columns])
+    return at_week.select("sample_date", "entity", *columns)
 
 
 def write_store(packed: DataFrame, path: str) -> None:
@@ -175,12 +196,17 @@ def clip_packed(packed: DataFrame, columns: Sequence[str], k: float = 3.0, part:
     sized = packed.join(F.broadcast(sizes), "sample_date")  # one row per week of the calendar
     schema = packed.select(*KEYS, *columns).schema
 
-    def whole(group: pd.DataFrame) -> pd.DataFrame:
-        cells = _matrix(group, columns)
+    def whole(group: pa.Table) -> pa.Table:
+        batch = group.combine_chunks().to_batches()[0]
+        cells = _cells(batch, columns)
+        cells = np.where(np.isfinite(cells), cells, 0.0)
         middle = np.median(cells, axis=0)
-        return _shaped(group, _clamped(cells, middle, np.median(np.abs(cells - middle), axis=0), k), columns)
+        cells = _clamped(cells, middle, np.median(np.abs(cells - middle), axis=0), k)
+        offsets = pa.array(np.arange(0, len(cells) * cells.shape[2] + 1, cells.shape[2], dtype=np.int32))
+        clipped = [pa.ListArray.from_arrays(offsets, pa.array(cells[:, i].ravel())) for i in range(len(columns))]
+        return pa.table([*(batch.column(c) for c in KEYS), *clipped], [*KEYS, *columns])
 
-    small = sized.where(F.col("_n") <= part).select(*KEYS, *columns).groupBy("sample_date").applyInPandas(whole, schema)
+    small = sized.where(F.col("_n") <= part).select(*KEYS, *columns).groupBy("sample_date").applyInArrow(whole, schema)
     if sizes.where(F.col("_n") > part).isEmpty():
         return small
     cut = F.pmod(F.xxhash64("entity"), F.ceil(F.col("_n") / part)).alias("part")

@@ -152,7 +152,8 @@ def market_caps(spark: SparkSession, root: str) -> DataFrame:
 @stored("factor_windows")
 def factor_windows(spark: SparkSession, root: str) -> DataFrame:
     """Fifty-row windows of all factors at every week end, one array per factor, as computed."""
-    return store.packed_windows(technical_factors(bars(spark, root)), weeks(spark, root), FACTOR_COLUMNS)
+    panel = bars(spark, root)
+    return store.packed_windows(technical_factors(store.by_entity(panel, panel.count())), weeks(spark, root), FACTOR_COLUMNS)
 
 
 def feature_store(spark: SparkSession, root: str) -> DataFrame:

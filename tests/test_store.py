@@ -106,3 +106,28 @@ def test_summaries_digest_and_scaler(packed):
     assert np.isclose(scaler["mean"], v.mean()) and np.isclose(scaler["std"], v.std() + 1e-6)
     short = S.truncate_packed(packed, ["a"], 2).first()
     assert len(short["a"]) == 2
+
+
+def test_only_closed_windows_are_cut_out(spark):
+    days = [dt.date(2020, 1, 6) + dt.timedelta(d) for d in range(60) if d % 7 < 5]
+    rows = [(f"e{i}", d, None if (k + i) % 3 else float(k), float(k * i) if k > 6 else None) for i in range(40) for k, d in enumerate(days)]
+    bars = spark.createDataFrame(rows, "entity string, date date, a double, b double")
+    weeks = week_ends(bars.select("date").distinct().where("date < '2020-02-20'"))
+    packed = S.packed_windows(bars, weeks, ["a", "b"], 4)
+    # Lists of every bar's last rows took most of the factors' time; Spark must not form them for bars that close no week.
+    assert "collect_list" not in packed._jdf.queryExecution().toString()
+    want = {}
+    for r in weeks.collect():
+        for i in range(40):
+            own = [x for x in rows if x[0] == f"e{i}" and x[1] <= r["date"]][-4:]
+            if len(own) == 4 and any(x[2] is not None or x[3] is not None for x in own):
+                want[r["date"], f"e{i}"] = [x[2] for x in own], [x[3] for x in own]
+    assert {(r["sample_date"], r["entity"]): (r["a"], r["b"]) for r in packed.collect()} == want and len(want) > 200
+    assert packed.where("false").isEmpty() and S.packed_windows(bars, weeks.where("false"), ["a", "b"], 4).isEmpty()
+
+
+def test_bars_are_dealt_by_their_number_not_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(S, "DEALT", 100)
+    bars = spark.range(800).select(F.concat(F.lit("e"), F.col("id") % 20).alias("entity"), F.col("id").alias("x"))
+    dealt = S.by_entity(bars, 800).select("entity", F.spark_partition_id().alias("p")).distinct().toPandas()
+    assert len(dealt) == 20 and dealt["p"].nunique() > 3
